@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from carelattice.functions.text import strip
 
-_LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+# The characters that end a line. A carriage return with a line feed
+# makes one more line, which is blank and skipped.
+_LINE_BREAK = "[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 # Record key -> (segment, field, last field the segment must reach).
 # A visit segment yields its location only when it also reaches the provider field.
@@ -29,7 +31,7 @@ MAX_MESSAGE_BYTES = 262_144
 def segments(message: Column) -> Column:
     """Message -> array of segments, each an array of its ``|`` fields."""
     lines = F.transform(F.split(message, _LINE_BREAK), strip)
-    return F.transform(F.filter(lines, lambda line: line != ""), lambda line: F.split(line, "[|]"))
+    return F.transform(F.filter(lines, lambda line: line != ""), lambda line: F.split(line, "\\|"))
 
 
 def segment_name(segment: Column) -> Column:

@@ -1,10 +1,11 @@
 """Ordering within a key, safe when one key holds a large share of all rows.
 
-A window over a key sends all of the key's rows to one task. Here the few heaviest
-keys are first cut into runs at values sampled from their own order columns; the
-window then works per (key, run), and a small per-run summary carries counts,
-sums and last rows over the run borders. Results equal the plain window's: the
-sample only decides where the cuts fall.
+A window over a key sends all of the key's rows to one task. Here the rows per key
+are counted first (one narrow aggregation). Where no key is oversized, a plain window
+does the work. Otherwise the few heaviest keys are cut into runs at values sampled
+from their own order columns; the window then works per (key, run), and a small
+per-run summary carries counts, sums and last rows over the run borders. Results
+equal the plain window's: the sample only decides where the cuts fall.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ class Ordered:
         self.keys = keys
         self.order = order
         self.descending = descending
-        position = F.struct(*order)
+        self._groups = keys
+        self._df = df
         hot = (
             df.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("_rows"))
@@ -63,39 +65,53 @@ class Ordered:
             .orderBy(F.desc("_rows"))
             .limit(MAX_HOT_KEYS)
         )
+        found = hot.collect()
+        if found:
+            self._cut(df.sparkSession.createDataFrame(found, hot.schema))
+
+    def _cut(self, hot: DataFrame) -> None:
+        """Add `_run`, and `_split` for the keys that are cut."""
+        position = F.struct(*self.order)
         rate = F.greatest(F.lit(1), F.floor(F.col("_rows") / F.lit(RUNS * SAMPLES_PER_RUN)))
         cuts = (
             null_safe_join(
-                df.select(*keys, position.alias("_position")), F.broadcast(hot), keys, "inner"
+                self._df.select(*self.keys, position.alias("_position")),
+                F.broadcast(hot), self.keys, "inner",
             )
             .where(F.pmod(F.xxhash64("_position"), rate) == 0)
-            .groupBy(*keys)
+            .groupBy(*self.keys)
             .agg(F.array_sort(F.collect_set("_position")).alias("_sampled"))
-            .select(*keys, _cuts(F.col("_sampled"), RUNS).alias("_cuts"))
+            .select(*self.keys, _cuts(F.col("_sampled"), RUNS).alias("_cuts"))
         )
-        beyond = (lambda c: c > position) if descending else (lambda c: c <= position)
-        self._df = null_safe_join(df, F.broadcast(cuts), keys, "left").select(
-            *df.columns,
+        beyond = (lambda c: c > position) if self.descending else (lambda c: c <= position)
+        self._df = null_safe_join(self._df, F.broadcast(cuts), self.keys, "left").select(
+            *self._df.columns,
             F.col("_cuts").isNotNull().alias("_split"),
             F.coalesce(F.size(F.filter("_cuts", beyond)), F.lit(0)).alias("_run"),
         )
+        # `_split` follows from the key; as a window key it lets the filter of `_carry`
+        # reach the scan, so summaries read the cut keys only.
+        self._groups = [*self.keys, "_run", "_split"]
 
     def _window(self):
         directed = [F.desc(c) if self.descending else F.asc(c) for c in self.order]
-        # `_split` follows from the key; as a partition column it lets the filter of
-        # `_carry` reach the scan, so summaries read the cut keys only.
-        return Window.partitionBy(*self.keys, "_run", "_split").orderBy(*directed)
+        return Window.partitionBy(*self._groups).orderBy(*directed)
 
-    def _carry(self, per_run: Column, over_runs, name: str) -> DataFrame:
-        """Per-run summary of the cut keys, brought to each following run.
+    @property
+    def _is_cut(self) -> bool:
+        return self._groups is not self.keys
 
-        At most MAX_HOT_KEYS x (RUNS + sampling slack) rows, so it is broadcast.
+    def _carry(self, df: DataFrame, name: str, per_run: Column, over_runs) -> DataFrame:
+        """Add what the runs before a row's own run amount to; null where there are none.
+
+        The summary has a row per cut key and run, at most MAX_HOT_KEYS x 2 RUNS, so
+        it is broadcast.
         """
+        if not self._is_cut:
+            return df.withColumn(name, F.lit(None))
         runs = self._df.where("_split").groupBy(*self.keys, "_run").agg(per_run.alias("_one"))
         before = Window.partitionBy(*self.keys).orderBy("_run")
-        return runs.select(*self.keys, "_run", over_runs(F.col("_one"), before).alias(name))
-
-    def _with_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
+        carry = runs.select(*self.keys, "_run", over_runs(F.col("_one"), before).alias(name))
         return null_safe_join(df, F.broadcast(carry), [*self.keys, "_run"], "left")
 
     @staticmethod
@@ -104,13 +120,11 @@ class Ordered:
 
     def number(self, name: str) -> Ordered:
         """Add the row number within the key, from 1."""
-        carry = self._carry(F.count(F.lit(1)), self._sum_before, "_before")
         local = self._df.withColumn(name, F.row_number().over(self._window()).cast("long"))
-        self._df = (
-            self._with_carry(local, carry)
-            .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-            .drop("_before")
-        )
+        carried = self._carry(local, "_before", F.count(F.lit(1)), self._sum_before)
+        self._df = carried.withColumn(
+            name, F.col(name) + F.coalesce("_before", F.lit(0).cast("long"))
+        ).drop("_before")
         return self
 
     def previous(self, **values: str) -> Ordered:
@@ -118,12 +132,9 @@ class Ordered:
         held = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
         position = F.struct(*self.order)
         last = F.min_by(held, position) if self.descending else F.max_by(held, position)
-        carry = self._carry(last, lambda one, before: F.lag(one).over(before), "_last")
         local = self._df.withColumn("_previous", F.lag(held).over(self._window()))
-        joined = self._with_carry(local, carry).withColumn(
-            "_previous", F.coalesce("_previous", "_last")
-        )
-        self._df = joined.select(
+        carried = self._carry(local, "_last", last, lambda one, before: F.lag(one).over(before))
+        self._df = carried.withColumn("_previous", F.coalesce("_previous", "_last")).select(
             *self._df.columns, *[F.col(f"_previous.{n}").alias(n) for n in values]
         )
         return self
@@ -131,14 +142,12 @@ class Ordered:
     def running_sum(self, name: str, value: Column) -> Ordered:
         """Add the sum of `value` from the first row of the key up to this row."""
         self._df = self._df.withColumn("_value", value)
-        carry = self._carry(F.sum("_value"), self._sum_before, "_before")
         frame = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = self._df.withColumn(name, F.sum("_value").over(frame))
-        self._df = (
-            self._with_carry(local, carry)
-            .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-            .drop("_before", "_value")
-        )
+        carried = self._carry(local, "_before", F.sum("_value"), self._sum_before)
+        self._df = carried.withColumn(
+            name, F.col(name) + F.coalesce("_before", F.lit(0).cast("long"))
+        ).drop("_before", "_value")
         return self
 
     def frame(self) -> DataFrame:
@@ -160,18 +169,23 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     )
 
 
-def dense_numbers(df: DataFrame, order: list[str], name: str, runs: int = 256) -> DataFrame:
-    """Number all rows from 1 in `order`, without gaps and without a single-task sort.
+def dense_numbers(
+    df: DataFrame, order: list[str], name: str, run_rows: int = SPLIT_ABOVE, max_runs: int = 256
+) -> DataFrame:
+    """Number all rows from 1 in `order`, without gaps.
 
-    The whole table is cut into runs at sampled positions; row numbers are local to
-    a run and shifted by the sizes of the runs before it.
+    Up to `run_rows` rows are numbered by one window. A larger table is cut into runs
+    at sampled positions; row numbers are local to a run and shifted by the sizes of
+    the runs before it, so no task sorts the whole table.
     """
+    total = df.count()
+    if total <= run_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    runs = min(max_runs, -(-total // run_rows))
     position = F.struct(*order)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    rate = F.greatest(F.lit(1), F.floor(total / F.lit(runs * SAMPLES_PER_RUN)))
     cuts = (
         df.select(position.alias("_position"))
-        .where(F.pmod(F.xxhash64("_position"), rate) == 0)
+        .where(F.pmod(F.xxhash64("_position"), F.lit(max(1, total // (runs * SAMPLES_PER_RUN)))) == 0)
         .agg(F.array_sort(F.collect_set("_position")).alias("_sampled"))
         .select(_cuts(F.col("_sampled"), runs))
         .scalar()
@@ -190,5 +204,8 @@ def dense_numbers(df: DataFrame, order: list[str], name: str, runs: int = 256) -
     return (
         cut.withColumn("_local", local)
         .join(F.broadcast(offsets), "_run", "left")
-        .select(*df.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).alias(name))
+        .select(
+            *df.columns,
+            (F.col("_local") + F.coalesce("_before", F.lit(0).cast("long"))).alias(name),
+        )
     )

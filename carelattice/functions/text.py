@@ -7,9 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.strip() removes, as a Java regex class.
-SPACE = (
-    "[\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# The characters Python's str.strip() removes.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # A backslash that escapes an ordinary character stands for that character; Spark
@@ -19,12 +21,12 @@ _LOOSE_ESCAPE = r"(\\[\\%_])|\\([^\\%_])"
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return text.isNull() | ~text.rlike(f"(?s)[^{SPACE[1:]}")
+    return F.coalesce(strip(text) == "", F.lit(True))
 
 
 def contains_pattern(q: str) -> str:

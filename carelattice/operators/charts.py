@@ -7,15 +7,29 @@ from pyspark.sql import functions as F
 
 from carelattice import schemas
 from carelattice.functions.ordered import Ordered
+from carelattice.session import cut_lineage
 
 # Rows nested into one document page.
 PAGE_ROWS = 1_000
 
 
-def _with_page(rows: DataFrame, order: list[str], page_rows: int, split_above: int) -> DataFrame:
-    numbered = Ordered(rows, ["patient_id"], order, split_above=split_above).number("_n").frame()
+def _with_page(
+    rows: DataFrame, sizes: DataFrame, order: list[str], page_rows: int, split_above: int
+) -> DataFrame:
+    """Add `page`: the row number within the patient over `page_rows`, from 0.
+
+    `sizes` (patient_id, n) is a narrow aggregate that says who needs more than one
+    page. Usually nobody does, and no row is ordered; otherwise only the rows of those
+    patients are, from a table written once.
+    """
+    large = sizes.where(F.col("n") > page_rows).select("patient_id")
+    if large.isEmpty():
+        return rows.withColumn("page", F.lit(0))
+    single = rows.join(large, "patient_id", "left_anti").withColumn("page", F.lit(0))
+    several = cut_lineage(rows.join(large, "patient_id", "left_semi"), "pages")
+    numbered = Ordered(several, ["patient_id"], order, split_above=split_above).number("_n")
     page = F.floor((F.col("_n") - 1) / F.lit(page_rows)).cast("int")
-    return numbered.withColumn("page", page).drop("_n")
+    return single.unionByName(numbered.frame().withColumn("page", page).drop("_n"))
 
 
 def chart_rows(
@@ -71,7 +85,14 @@ def patient_chart(
     rows = chart_rows(encounters, records, ids, **columns).withColumn(
         "_record_id", F.col("record.id")
     )
-    paged = _with_page(rows, ["encounter_id", "_record_id"], page_rows, split_above)
+    counts = records.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = (
+        encounters.select("patient_id", F.col("id").alias("encounter_id"))
+        .join(counts, "encounter_id", "left")
+        .groupBy("patient_id")
+        .agg(F.sum(F.coalesce("_rows", F.lit(1).cast("long"))).alias("n"))
+    )
+    paged = _with_page(rows, sizes, ["encounter_id", "_record_id"], page_rows, split_above)
     blocks = paged.groupBy("patient_id", "page", "encounter_id").agg(
         F.any_value("encounter").alias("encounter"),
         F.array_sort(F.collect_list("record")).alias("records"),
@@ -104,8 +125,9 @@ def disclosure_packet(
     """Nested packets: the patient's records by id, paged; unknown patients are empty."""
     released = [c for c in schemas.RELEASED_RECORD if c in records.columns]
     rows = packet_rows(records, ids).select("patient_id", "id", F.struct(*released).alias("record"))
+    sizes = rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))
     packets = (
-        _with_page(rows, ["id"], page_rows, split_above)
+        _with_page(rows, sizes, ["id"], page_rows, split_above)
         .groupBy("patient_id", "page")
         .agg(F.array_sort(F.collect_list("record")).alias("records"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelattice.functions.text import SPACE, is_blank, split_items, strip
+from carelattice.functions.text import is_blank, split_items, strip
 from carelattice.session import cut_lineage
 
 
@@ -49,7 +49,7 @@ def person_keys(patients: DataFrame, coverages: DataFrame | None = None) -> Data
     """
     held = patients.select(
         "id",
-        F.regexp_replace(F.lower(strip(F.col("name"))), f"{SPACE}+", " ").alias("name"),
+        F.regexp_replace(F.lower(strip(F.col("name"))), "\\s+", " ").alias("name"),
         swap_safe_dob(F.col("dob")).alias("_dob"),
         "ssn", "phone", "mrn",
     )
@@ -90,23 +90,28 @@ def _deletion_hashes(value: Column, max_distance: int) -> Column:
 
     Two texts within edit distance k share at least one of them.
     """
-    def one_deleted(text: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(text))
-        shorter = F.transform(
-            places,
-            lambda i: F.concat(
-                F.substring(text, F.lit(1), i - 1),
-                F.substring(text, i + 1, F.length(text)),
+    def shorter(state: Column) -> Column:
+        text, start = state["text"], state["start"]
+        one_less = F.transform(
+            F.sequence(start, F.length(text)),
+            lambda i: F.struct(
+                F.concat(
+                    F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))
+                ).alias("text"),
+                i.alias("start"),
             ),
         )
-        return F.when(F.length(text) > 0, shorter).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<struct<text:string,start:int>>")
+        return F.when(start <= F.length(text), one_less).otherwise(none)
 
-    reached = F.array(value)
-    newest = reached
+    # Deleting from left to right reaches every set of places once.
+    newest = F.array(F.struct(value.alias("text"), F.lit(1).alias("start")))
+    reached = [newest]
     for _ in range(max_distance):
-        newest = F.array_distinct(F.flatten(F.transform(newest, one_deleted)))
-        reached = F.array_union(reached, newest)
-    return F.array_distinct(F.transform(reached, lambda t: F.xxhash64(t)))
+        newest = F.flatten(F.transform(newest, shorter))
+        reached.append(newest)
+    texts = F.concat(*reached)
+    return F.array_distinct(F.transform(texts, lambda s: F.xxhash64(s["text"])))
 
 
 def near_values(

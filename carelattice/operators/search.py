@@ -1,7 +1,5 @@
 """Record text search, for one query and for a table of queries."""
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,14 +11,10 @@ from carelattice.functions.ordered import dense_numbers
 from carelattice.functions.text import contains_pattern, contains_pattern_of
 from carelattice.session import cut_lineage
 
-try:
-    import ahocorasick
-except ImportError:  # the plain loop below then looks for the anchors
-    ahocorasick = None
-
-# Queries looked for in one pass over the texts, and characters of an anchor: what a
-# pass sends to the executors stays under 10,000 x 64 characters.
+# Queries looked for in one pass over the texts, anchors per query, and characters of an
+# anchor: what a pass sends to the executors stays under 10,000 x 3 x 64 characters.
 QUERIES_PER_PASS = 10_000
+ANCHORS_PER_QUERY = 3
 ANCHOR_CHARS = 64
 # Patterns of one pass up to this size are broadcast; larger ones are shuffled.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -35,37 +29,57 @@ def record_search(records: DataFrame, q: str, columns: list[str] | None = None)
 
 
 def _anchored(queries: DataFrame) -> DataFrame:
-    """Each valid query with its pattern and the longest literal piece it must contain."""
-    pieces = F.split(F.lower("q"), "[%_\\\\]")
-    longest = F.element_at(
-        F.array_sort(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))),
-        -1,
+    """Each valid query with its pattern and its longest literal pieces: a text that
+    matches the pattern contains them all."""
+    pieces = F.filter(F.array_distinct(F.split(F.lower("q"), "[%_\\\\]")), lambda p: p != "")
+    by_length = F.array_sort(
+        F.transform(pieces, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("piece")))
+    )
+    anchors = F.transform(
+        F.slice(by_length, 1, ANCHORS_PER_QUERY), lambda s: F.substring(s["piece"], 1, ANCHOR_CHARS)
     )
     return queries.where(F.length("q") >= 1).select(
         "query_id",
         contains_pattern_of(F.col("q")).alias("pattern"),
-        F.substring(longest["p"], 1, ANCHOR_CHARS).alias("anchor"),
+        F.array_distinct(anchors).alias("anchors"),
     )
 
 
-def _finder(anchors: dict[str, list[int]]):
-    """text -> ids of the queries whose anchor it contains, in one pass over the text."""
-    always = anchors.get("", [])
-    words = {a: ids for a, ids in anchors.items() if a}
-    if not words:
-        return lambda text: list(always)
-    if ahocorasick is None:
-        return lambda text: always + [i for a, ids in words.items() if a in text for i in ids]
-    automaton = ahocorasick.Automaton()
-    for anchor, ids in words.items():
-        automaton.add_word(anchor, (anchor, ids))
-    automaton.make_automaton()
+def _candidates(anchors: dict[str, list[int]], needed: dict[int, int]):
+    """Texts -> numbers of the queries whose anchors each contains, one pass per text.
+
+    The function is self-contained: executors need not have this package.
+    """
+    def find_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        always = [number for number, n in needed.items() if n == 0]
+        try:
+            import ahocorasick
+        except ImportError:
+            def found(text: str) -> set[str]:
+                return {anchor for anchor in anchors if anchor in text}
+        else:
+            automaton = ahocorasick.Automaton()
+            for anchor in anchors:
+                automaton.add_word(anchor, anchor)
+            if anchors:
+                automaton.make_automaton()
+
+            def found(text: str) -> set[str]:
+                return {anchor for _, anchor in automaton.iter(text)} if anchors else set()
+
+        def numbers(text: str | None) -> list[int]:
+            if text is None:
+                return []
+            hits: dict[int, int] = {}
+            for anchor in found(text):
+                for number in anchors[anchor]:
+                    hits[number] = hits.get(number, 0) + 1
+            return always + [number for number, n in hits.items() if n == needed[number]]
 
-    def find(text: str) -> list[int]:
-        found = {anchor: ids for _, (anchor, ids) in automaton.iter(text)}
-        return always + [i for ids in found.values() for i in ids]
+        for texts in batches:
+            yield texts.map(numbers)
 
-    return find
+    return F.pandas_udf(find_all, "array<long>")
 
 
 def record_search_many(records: DataFrame, queries: DataFrame) -> DataFrame:
@@ -76,9 +90,15 @@ def record_search_many(records: DataFrame, queries: DataFrame) -> DataFrame:
     text is shuffled and no pairs are formed beyond those candidates. More queries
     than one pass holds are searched in further passes.
     """
-    numbered = dense_numbers(_anchored(queries), ["query_id", "pattern"], "_number")
-    passes = F.floor((F.col("_number") - 1) / QUERIES_PER_PASS).alias("_pass")
-    numbered = cut_lineage(numbered.select("*", passes), "queries")
+    numbered = cut_lineage(
+        _anchored(queries).withColumn("_number", F.monotonically_increasing_id()), "queries"
+    )
+    if numbered.count() <= QUERIES_PER_PASS:
+        numbered = numbered.withColumn("_pass", F.lit(0))
+    else:
+        placed = dense_numbers(numbered, ["_number"], "_place")
+        passes = F.floor((F.col("_place") - 1) / QUERIES_PER_PASS).alias("_pass")
+        numbered = cut_lineage(placed.select(*numbered.columns, passes), "passes")
     sizes = numbered.groupBy("_pass").agg(F.sum(F.octet_length("pattern"))).collect()
     hits = [
         _one_pass(records, numbered.where(F.col("_pass") == number), size <= MAX_BROADCAST_BYTES)
@@ -90,17 +110,12 @@ def record_search_many(records: DataFrame, queries: DataFrame) -> DataFrame:
 
 def _one_pass(records: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     anchors: dict[str, list[int]] = {}
-    for row in queries.select("_number", "anchor").collect():
-        anchors.setdefault(row["anchor"], []).append(row["_number"])
-
-    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = _finder(anchors)
-        for texts in batches:
-            yield texts.map(lambda t: find(t) if t is not None else [])
-
-    candidates.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    find_udf = F.pandas_udf(candidates, "array<long>")
-    possible = records.withColumn("_number", F.explode(find_udf(F.lower("body"))))
+    needed: dict[int, int] = {}
+    for number, own in queries.select("_number", "anchors").collect():
+        needed[number] = len(own)
+        for anchor in own:
+            anchors.setdefault(anchor, []).append(number)
+    possible = records.withColumn("_number", F.explode(_candidates(anchors, needed)(F.lower("body"))))
     patterns = queries.select("_number", "query_id", "pattern")
     return (
         possible.join(F.broadcast(patterns) if small else patterns, "_number")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from carelattice.functions.ordered import dense_numbers, first_rows
 from carelattice.functions.text import strip
 from carelattice.schemas import DEFAULT_CONSENTS, DEFAULT_CREATED_VIA
+from carelattice.session import cut_lineage
 
 # Intake payload fields.
 DEMOGRAPHICS = [
@@ -103,8 +104,11 @@ def _has_null_item(path: str) -> Column:
 
 
 def validate_intake(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) payloads; rejected rows keep their input and a reason."""
-    parsed = parse_intake(payloads, column)
+    """(valid, rejected) payloads; rejected rows keep their input and a reason.
+
+    The parsed payloads are written once, so that later steps do not parse again.
+    """
+    parsed = cut_lineage(parse_intake(payloads, column), "intake")
     valid = parsed.where(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = parsed.where(F.col("reject_reason").isNotNull()).select(
         *payloads.columns, "reject_reason"

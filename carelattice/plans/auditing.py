@@ -291,9 +291,9 @@ def exact_duplicates(t: Tables) -> DataFrame:
     SELECT p_brand, p_type, p_size, a.p_name AS value_a, b.p_name AS value_b,
            CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance
     FROM n a JOIN n b USING (p_brand, p_type, p_size)
-    WHERE a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 3""")
+    WHERE a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 2""")
 def near_values(t: Tables) -> DataFrame:
-    return identity.near_values(t.part, ["p_brand", "p_type", "p_size"], "p_name", 3)
+    return identity.near_values(t.part, ["p_brand", "p_type", "p_size"], "p_name", 2)
 
 
 def _people(t: Tables) -> DataFrame:
