@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Keys below this many rows are left whole.
 SPLIT_ABOVE = 1_000_000
+# Rows of a table numbered as a whole that one task takes.
+NUMBERED_RUN = 100_000
 # At most this many keys are cut: any other key holds less than 1/1000 of the rows.
 MAX_HOT_KEYS = 1_000
 # Runs per cut key, and sampled positions per run.
@@ -170,7 +172,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
 
 
 def dense_numbers(
-    df: DataFrame, order: list[str], name: str, run_rows: int = SPLIT_ABOVE, max_runs: int = 256
+    df: DataFrame, order: list[str], name: str, run_rows: int = NUMBERED_RUN, max_runs: int = 256
 ) -> DataFrame:
     """Number all rows from 1 in `order`, without gaps.
 

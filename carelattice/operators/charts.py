@@ -22,7 +22,7 @@ def _with_page(
     page. Usually nobody does, and no row is ordered; otherwise only the rows of those
     patients are, from a table written once.
     """
-    large = sizes.where(F.col("n") > page_rows).select("patient_id")
+    large = cut_lineage(sizes.where(F.col("n") > page_rows).select("patient_id"), "large")
     if large.isEmpty():
         return rows.withColumn("page", F.lit(0))
     single = rows.join(large, "patient_id", "left_anti").withColumn("page", F.lit(0))

@@ -40,53 +40,98 @@ def accounting_of_disclosures(
     )
 
 
-def _in_range(on: Column, start: Column, end: Column) -> Column:
-    """True inside [start, end]; a missing or unreadable bound is open."""
-    first = start.try_cast("date")
-    last = end.try_cast("date")
-    return F.coalesce(on >= first, F.lit(True)) & F.coalesce(on <= last, F.lit(True))
+def _asked(roi_requests: DataFrame) -> DataFrame:
+    """Requests with their range as dates; a missing or unreadable bound is null: open."""
+    return roi_requests.select(
+        F.col("id").alias("request_id"),
+        "patient_id",
+        F.col("date_range_start").try_cast("date").alias("_from"),
+        F.col("date_range_end").try_cast("date").alias("_to"),
+    )
+
+
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
 
 
 def minimum_necessary_packet(roi_requests: DataFrame, records: DataFrame) -> DataFrame:
-    """Per request, only the patient's records inside the requested date range."""
-    asked = roi_requests.select(
-        F.col("id").alias("request_id"), "patient_id", "date_range_start", "date_range_end"
+    """Per request, only the patient's records inside the requested date range.
+
+    A request unfolds to the months of its range, open ends closed by the patient's
+    first and last record, and meets the records on (patient, month). A patient with
+    many requests and many records so joins only what the ranges touch.
+    """
+    day = F.to_date("created_at")
+    dated = records.where(F.col("created_at").isNotNull()).withColumn("_month", _month(day))
+    spans = dated.groupBy("patient_id").agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    start, end = F.greatest("_from", "_first"), F.least("_to", "_last")
+    asked = (
+        _asked(roi_requests).join(spans, "patient_id")
+        .where(start <= end)
+        .select(
+            "request_id", "patient_id", start.alias("_from"), end.alias("_to"),
+            F.explode(F.sequence(_month(start), _month(end))).alias("_month"),
+        )
     )
     return (
-        records.join(asked, "patient_id")
-        .where(_in_range(F.to_date("created_at"), F.col("date_range_start"), F.col("date_range_end")))
-        .drop("date_range_start", "date_range_end")
+        dated.join(asked, ["patient_id", "_month"])
+        .where(day.between(F.col("_from"), F.col("_to")))
+        .select("request_id", *records.columns)
     )
 
 
-def excess_release(roi_requests: DataFrame, records: DataFrame) -> DataFrame:
+def excess_release(
+    roi_requests: DataFrame, records: DataFrame, split_above: int = SPLIT_ABOVE
+) -> DataFrame:
     """Per request: records released, records inside the range, and the excess.
 
-    Records are counted per patient and day before they meet the requests, so a
-    patient with very many records joins as one row per day.
+    Records are counted per patient and day; the range bounds are set among the days
+    and a running sum is read at each bound. The work is linear in requests and days,
+    however many of both one patient has.
     """
+    asked = _asked(roi_requests)
     daily = records.groupBy("patient_id", F.to_date("created_at").alias("_day")).agg(
         F.count(F.lit(1)).alias("_rows")
     )
-    asked = roi_requests.select(
-        F.col("id").alias("request_id"), "patient_id", "date_range_start", "date_range_end"
+    totals = daily.groupBy("patient_id").agg(
+        F.sum("_rows").alias("_released"),
+        F.sum(F.when(F.col("_day").isNotNull(), F.col("_rows"))).alias("_dated"),
+    )
+    bounds = asked.select(
+        "patient_id", "request_id",
+        F.inline(
+            F.array(
+                F.struct(F.col("_from").alias("_day"), F.lit(0).alias("_place")),
+                F.struct(F.col("_to").alias("_day"), F.lit(2).alias("_place")),
+            )
+        ),
     )
-    inside = _in_range(F.col("_day"), F.col("date_range_start"), F.col("date_range_end"))
+    days = daily.withColumn("_place", F.lit(1))
+    line = bounds.unionByName(days, allowMissingColumns=True).where(F.col("_day").isNotNull())
     counted = (
-        asked.join(daily, "patient_id")
+        Ordered(line, ["patient_id"], ["_day", "_place", "request_id"], split_above=split_above)
+        .running_sum("_upto", F.coalesce("_rows", F.lit(0)))
+        .frame()
+        .where(F.col("request_id").isNotNull())
         .groupBy("request_id")
         .agg(
-            F.sum("_rows").alias("n_released"),
-            F.sum(F.when(inside, F.col("_rows")).otherwise(0)).alias("n_in_range"),
+            F.max(F.when(F.col("_place") == 0, F.col("_upto"))).alias("_before"),
+            F.max(F.when(F.col("_place") == 2, F.col("_upto"))).alias("_until"),
         )
     )
     none = F.lit(0).cast("long")
-    return asked.select("request_id", "patient_id").join(counted, "request_id", "left").select(
-        "request_id",
-        "patient_id",
-        F.coalesce("n_released", none).alias("n_released"),
-        F.coalesce("n_in_range", none).alias("n_in_range"),
-        F.coalesce(F.col("n_released") - F.col("n_in_range"), none).alias("n_excess"),
+    until = F.coalesce("_until", "_dated", none)
+    return (
+        asked.select("request_id", "patient_id")
+        .join(totals, "patient_id", "left")
+        .join(counted, "request_id", "left")
+        .select(
+            "request_id",
+            "patient_id",
+            F.coalesce("_released", none).alias("n_released"),
+            F.greatest(until - F.coalesce("_before", none), none).alias("n_in_range"),
+        )
+        .withColumn("n_excess", F.col("n_released") - F.col("n_in_range"))
     )
 
 

@@ -14,7 +14,8 @@ def _active(status_code: Column, error: Column) -> Column:
     return F.coalesce(error.isNull() & (status_code < 400), F.lit(False))
 
 
-def _checked(responses: DataFrame) -> DataFrame:
+def check_responses(responses: DataFrame) -> DataFrame:
+    """Each payer call's outcome; calls for a blank id are refused and left out."""
     failed = F.col("error").isNotNull()
     return responses.where(~is_blank(F.col("insurance_id"))).select(
         strip(F.col("insurance_id")).alias("insurance_id"),
@@ -26,8 +27,15 @@ def _checked(responses: DataFrame) -> DataFrame:
     )
 
 
+def _latest(responses: DataFrame) -> DataFrame:
+    return first_rows(
+        check_responses(responses), ["insurance_id"],
+        [F.desc("checked_at"), F.asc("active"), F.asc_nulls_first("raw_status"), F.asc("payer")],
+    )
+
+
 def eligibility_outcome(coverages: DataFrame, responses: DataFrame) -> DataFrame:
-    """Per coverage with a member id: the outcome of each payer response.
+    """Per coverage with a member id: the outcome of the latest payer response.
 
     `outcome` is `rejected` for a blank member id, `no_response` where the payer was
     not asked, else `checked`. A null member id is not asked about and has no row.
@@ -38,7 +46,7 @@ def eligibility_outcome(coverages: DataFrame, responses: DataFrame) -> DataFrame
     blank = asked.where(F.col("insurance_id") == "").withColumn("outcome", F.lit("rejected"))
     checked = (
         asked.where(F.col("insurance_id") != "")
-        .join(_checked(responses), "insurance_id", "left")
+        .join(_latest(responses), "insurance_id", "left")
         .withColumn(
             "outcome",
             F.when(F.col("checked_at").isNull(), F.lit("no_response")).otherwise(F.lit("checked")),
@@ -54,10 +62,7 @@ def refresh_coverage(coverages: DataFrame, responses: DataFrame) -> DataFrame:
     without a response stay as they are. Rows without a member id skip the join, so
     they do not meet in one task.
     """
-    latest = first_rows(
-        _checked(responses), ["insurance_id"],
-        [F.desc("checked_at"), F.asc("active"), F.asc_nulls_first("raw_status")],
-    ).select(
+    latest = _latest(responses).select(
         "insurance_id",
         F.when(F.col("raw_status").isNull(), F.lit("unknown"))
         .when(F.col("active"), F.lit("active"))

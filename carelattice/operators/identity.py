@@ -18,12 +18,14 @@ def exact_links(rows: DataFrame, key: list[str], id: str = "id") -> DataFrame:
 
     Every copy is linked to the group's smallest id, one row per copy: no pairs.
     Rows with a blank key part are no copies of anything. Keys are compared by their
-    SHA-256, so long texts are not shuffled.
+    SHA-256, written once, so long texts are read once and never shuffled.
     """
     complete = rows
     for column in key:
         complete = complete.where(~is_blank(F.col(column).cast("string")))
-    keyed = complete.select(F.col(id).alias("id"), _fingerprint(key).alias("_key"))
+    keyed = cut_lineage(
+        complete.select(F.col(id).alias("id"), _fingerprint(key).alias("_key")), "keys"
+    )
     leads = (
         keyed.groupBy("_key")
         .agg(F.min("id").alias("lead_id"), F.count(F.lit(1)).alias("_n"))
@@ -151,9 +153,12 @@ def match_links(
     and surname, or names within `max_distance` edits. Equal values are linked to
     their smallest id, so a block of copies gives one link per copy.
     """
-    keys = person_keys(patients, coverages)
-    names = keys.groupBy("block", "name").agg(
-        F.min("id").alias("lead_id"), F.min("initial_name").alias("initial_name")
+    keys = cut_lineage(person_keys(patients, coverages), "person-keys")
+    names = cut_lineage(
+        keys.groupBy("block", "name").agg(
+            F.min("id").alias("lead_id"), F.min("initial_name").alias("initial_name")
+        ),
+        "person-names",
     )
     same_name = keys.join(names.drop("initial_name"), ["block", "name"]).select(
         "id", "lead_id", F.lit("same_name").alias("rule")
@@ -182,11 +187,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min("v").alias("_m"))
-    hub = F.least("_m", "u")
-    return (
-        both.where(F.col("v") > F.col("u")).join(smallest, "u")
-        .select(F.col("v").alias("u"), hub.alias("v"))
-        .distinct()
+    return both.where(F.col("v") > F.col("u")).join(smallest, "u").select(
+        F.col("v").alias("u"), F.least("_m", "u").alias("v")
     )
 
 

@@ -167,8 +167,8 @@ def stream_id_walk(t: Tables) -> DataFrame:
     events = roles.access_events(_Streams(t)).withColumn("ts", F.col("ts").cast("timestamp"))
     reads = compliance.as_reads(events, "user_id", "ts", "event_id", "k")
     path = new_path(t.spark, "walks")
-    stateful.start_walk_alerts(reads, f"{path}/runs", f"{path}/checkpoint").awaitTermination()
-    found = stateful.walk_alerts(t.spark, f"{path}/runs", reads, min_run=2)
+    stateful.start_walk_alerts(reads, path, f"{path}/checkpoint").awaitTermination()
+    found = stateful.walk_alerts(t.spark, path, reads, min_run=2)
     return found.withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("first_at", "last_at")}
     )

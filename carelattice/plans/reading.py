@@ -248,11 +248,23 @@ def disclosure_documents(t: Tables) -> DataFrame:
     )
 
 
+@query(f"SELECT * FROM ({roles.RESPONSES_SQL}) r")
+def check_responses(t: Tables) -> DataFrame:
+    return eligibility.check_responses(roles.payer_responses(t))
+
+
+_LATEST_SQL = f"""c AS ({roles.COVERAGES_SQL}), r AS ({roles.RESPONSES_SQL}),
+    latest AS (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY insurance_id
+        ORDER BY checked_at DESC, active, raw_status NULLS FIRST, payer) AS rn FROM r) x
+      WHERE rn = 1)"""
+
+
 @query(f"""
-    WITH c AS ({roles.COVERAGES_SQL}), r AS ({roles.RESPONSES_SQL})
+    WITH {_LATEST_SQL}
     SELECT c.id, c.member_id AS insurance_id, r.active, r.payer, r.raw_status, r.checked_at,
            r.error, CASE WHEN r.checked_at IS NULL THEN 'no_response' ELSE 'checked' END AS outcome
-    FROM c LEFT JOIN r ON r.insurance_id = c.member_id WHERE c.member_id <> ''
+    FROM c LEFT JOIN latest r ON r.insurance_id = c.member_id WHERE c.member_id <> ''
     UNION ALL
     SELECT id, '', NULL, NULL, NULL, NULL, NULL, 'rejected' FROM c WHERE member_id = ''""")
 def eligibility_outcome(t: Tables) -> DataFrame:
@@ -263,10 +275,7 @@ def eligibility_outcome(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    WITH c AS ({roles.COVERAGES_SQL}), r AS ({roles.RESPONSES_SQL}),
-    latest AS (
-      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY insurance_id
-        ORDER BY checked_at DESC, active, raw_status NULLS FIRST) AS rn FROM r) x WHERE rn = 1)
+    WITH {_LATEST_SQL}
     SELECT c.id, CASE WHEN checked_at IS NULL OR raw_status IS NULL THEN 'unknown'
                       WHEN active THEN 'active' ELSE 'inactive' END AS status,
            checked_at AS verified_at

@@ -51,10 +51,14 @@ def align_generation(df: DataFrame, table: str, as_of: Column | None = None) ->
 
 
 def read_table(
-    spark: SparkSession, root: str, table: str, as_of: Column | None = None
+    spark: SparkSession, root: str, table: str, as_of: Column | None = None, mixed: bool = True
 ) -> DataFrame:
-    """One clinic table from Parquet; files of older generations may lie beside newer ones."""
-    files = spark.read.option("mergeSchema", "true").parquet(f"{root}/{table}")
+    """One clinic table from Parquet.
+
+    With `mixed`, files of older generations may lie beside newer ones: Spark then
+    reads every file's schema, which a table of one generation can be spared.
+    """
+    files = spark.read.option("mergeSchema", mixed).parquet(f"{root}/{table}")
     return align_generation(files, table, as_of)
 
 

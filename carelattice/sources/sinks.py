@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 from carelattice.functions.ordered import first_rows
 
 
-def append_table(rows: DataFrame, root: str, table: str) -> None:
-    rows.write.mode("append").parquet(f"{root}/{table}")
+def append_table(rows: DataFrame, root: str, table: str, partition_by: list[str] | None = None) -> None:
+    """Append rows, in folders by `partition_by` (a date for logs and appointments)."""
+    rows.write.mode("append").partitionBy(*partition_by or []).parquet(f"{root}/{table}")
+
+
+def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """Save as a catalog table bucketed by `key`, so that joins and groupings on the key
+    between tables with the same number of buckets need no shuffle."""
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+    return rows.sparkSession.table(table)
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:

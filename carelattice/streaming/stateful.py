@@ -69,14 +69,13 @@ def booking_results(spark: SparkSession, path: str, requests: DataFrame) -> Data
     return read_batches(spark, path, schema).drop("batch_id")
 
 
-def open_runs(prior: DataFrame, reads: DataFrame) -> DataFrame:
-    """The run each principal of the batch was in when earlier batches ended."""
-    present = reads.select("principal").distinct()
-    return first_rows(
-        prior.join(present, "principal", "left_semi"),
-        ["principal"],
-        [F.desc("batch_id"), F.desc("at"), F.desc("seq")],
-    ).drop("batch_id")
+# Every so many batches the state table holds all principals again, so a batch reads
+# at most this many state folders.
+FULL_STATE_EVERY = 50
+
+
+def _last_run(runs: DataFrame, latest: list) -> DataFrame:
+    return first_rows(runs, ["principal"], [*latest, F.desc("at"), F.desc("seq")])
 
 
 def start_walk_alerts(
@@ -88,15 +87,27 @@ def start_walk_alerts(
 ) -> StreamingQuery:
     """Follow id walks over access events (shape of `compliance.as_reads`).
 
-    A batch stores its runs; the last run of each principal goes on in the next batch.
-    Runs, once extended, appear again under the same start: see `walk_alerts`.
+    A batch writes its runs to `path`/runs and the last run of each of its principals to
+    `path`/state, where the next batches find it. A run that goes on appears again under
+    the same start: see `walk_alerts`.
     """
     schema = _READS.format(**_types(reads, id="principal", seq="seq", key="id"))
 
     def follow(batch: DataFrame, batch_id: int) -> None:
-        prior = read_batches(batch.sparkSession, path, schema, before=batch_id)
-        carried = open_runs(prior, batch).select(*batch.columns)
-        write_batch(walk_runs(batch.unionByName(carried), split_above), path, batch_id)
+        earlier = read_batches(batch.sparkSession, f"{path}/state", schema, before=batch_id)
+        full = max(batch_id - 1, 0) // FULL_STATE_EVERY * FULL_STATE_EVERY
+        state = _last_run(earlier.where(F.col("batch_id") >= full), [F.desc("batch_id")]).drop(
+            "batch_id"
+        )
+        present = batch.select("principal").distinct()
+        carried = state.join(present, "principal", "left_semi").select(*batch.columns)
+        write_batch(walk_runs(batch.unionByName(carried), split_above), f"{path}/runs", batch_id)
+        runs = read_batches(batch.sparkSession, f"{path}/runs", schema)
+        now = _last_run(runs.where(F.col("batch_id") == batch_id), []).drop("batch_id")
+        if batch_id % FULL_STATE_EVERY == 0:
+            absent = state.join(present, "principal", "left_anti")
+            now = now.unionByName(absent.select(*now.columns))
+        write_batch(now, f"{path}/state", batch_id)
 
     return (
         reads.writeStream.foreachBatch(follow)
@@ -110,7 +121,7 @@ def walk_alerts(spark: SparkSession, path: str, reads: DataFrame, min_run: int =
     """The runs found so far, each at its longest, in the shape of `id_walk_detection`."""
     schema = _READS.format(**_types(reads, id="principal", seq="seq", key="id"))
     return (
-        read_batches(spark, path, schema)
+        read_batches(spark, f"{path}/runs", schema)
         .groupBy("principal", "first_at", "first_id")
         .agg(
             F.max("at").alias("last_at"),

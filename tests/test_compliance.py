@@ -28,11 +28,12 @@ def test_accounting(table):
     ]
 
 
-def test_minimum_necessary(table):
+@pytest.mark.parametrize("split_above", [3, 1_000])
+def test_minimum_necessary(table, split_above):
     requests = table(
         "id int, patient_id int, date_range_start string, date_range_end string",
         (1, 5, "2026-01-02", "2026-01-03"), (2, 5, None, "2026-01-02"), (3, 5, "oops", None),
-        (4, 9, None, None),
+        (4, 9, None, None), (5, 5, "2026-01-03", "2026-01-01"), (6, 5, "2026-02-01", "2027-01-01"),
     )
     records = table(
         "id int, patient_id int, created_at timestamp",
@@ -41,9 +42,10 @@ def test_minimum_necessary(table):
     )
     packet = compliance.minimum_necessary_packet(requests, records)
     assert rows(packet, "request_id", "id") == [(1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
-    excess = compliance.excess_release(requests, records)
+    excess = compliance.excess_release(requests, records, split_above)
     assert rows(excess, "request_id", "n_released", "n_in_range", "n_excess") == [
         (1, 3, 2, 1), (2, 3, 2, 1), (3, 3, 3, 0), (4, 0, 0, 0),
+        (5, 3, 0, 3), (6, 3, 0, 3),
     ]
 
 

@@ -185,9 +185,10 @@ def test_eligibility(table):
         ("B2", 404, None, ts("2026-02-01"), "p"), ("C3", None, "timed out", ts("2026-02-01"), "p"),
         (" ", 200, None, ts("2026-02-01"), "p"),
     )
+    assert eligibility.check_responses(responses).count() == 4
     found = eligibility.eligibility_outcome(coverages, responses)
     assert rows(found, "id", "outcome", "active", "raw_status", "error") == [
-        (1, "checked", True, 200, None), (1, "checked", True, 399, None),
+        (1, "checked", True, 399, None),
         (2, "checked", False, 404, None), (3, "rejected", None, None, None),
         (5, "checked", False, None, "timed out"), (6, "no_response", None, None, None),
     ]

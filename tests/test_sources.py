@@ -106,3 +106,19 @@ def test_batches_are_replay_safe(spark, table, tmp_path):
     sinks.write_batch(table("a int", (2,)), path, 1)
     assert rows(sinks.read_batches(spark, path, "a int"), "a") == [(1,), (2,)]
     assert rows(sinks.read_batches(spark, path, "a int", before=1), "a") == [(1,)]
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    kept = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "-1")
+    try:
+        left = sinks.save_bucketed(spark.range(100).selectExpr("id as k", "id"), "bucketed_left", "k", 4)
+        right = sinks.save_bucketed(spark.range(100).selectExpr("id as k"), "bucketed_right", "k", 4)
+        joined = left.join(right, "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 100
+    finally:
+        spark.conf.set(kept, before)
+        spark.sql("drop table if exists bucketed_left")
+        spark.sql("drop table if exists bucketed_right")

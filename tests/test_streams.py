@@ -74,12 +74,13 @@ def test_a_replayed_batch_changes_nothing(spark, table, requests, tmp_path):
     )
 
 
-@pytest.mark.parametrize("split_above", [20, 100_000])
-def test_id_walks(spark, table, tmp_path, split_above):
+@pytest.mark.parametrize("split_above, full_every", [(20, 2), (100_000, 50)])
+def test_id_walks(spark, table, tmp_path, monkeypatch, split_above, full_every):
+    monkeypatch.setattr(stateful, "FULL_STATE_EVERY", full_every)
     rng = random.Random(9)
     made, last = [], {}
     for seq in range(240):
-        who = rng.choice("aab")
+        who = rng.choice("aab") if 60 < seq < 200 else rng.choice("ac")
         n = last[who] + 1 if who in last and rng.random() < 0.8 else rng.randint(1, 500)
         last[who] = n
         made.append((who, ts(f"2026-01-01 00:{seq // 60:02d}:{seq % 60:02d}"), seq, n))
