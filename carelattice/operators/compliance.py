@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelattice.functions.ordered import SPLIT_ABOVE, Ordered
-from carelattice.functions.text import PHI_PATTERNS, live_rows, redact
+from carelattice.functions.text import PHI_PATTERNS, find_phi, live_rows, redact
+from carelattice.session import cut_lineage
 
 # Breach notification rules.
 MEDIA_THRESHOLD = 500
@@ -85,13 +86,16 @@ def excess_release(
 ) -> DataFrame:
     """Per request: records released, records inside the range, and the excess.
 
-    Records are counted per patient and day; the range bounds are set among the days
-    and a running sum is read at each bound. The work is linear in requests and days,
+    Records are counted per patient and day, written once; the range bounds are set
+    among the days and a running sum is read at each bound. The work is linear in requests and days,
     however many of both one patient has.
     """
     asked = _asked(roi_requests)
-    daily = records.groupBy("patient_id", F.to_date("created_at").alias("_day")).agg(
-        F.count(F.lit(1)).alias("_rows")
+    daily = cut_lineage(
+        records.groupBy("patient_id", F.to_date("created_at").alias("_day")).agg(
+            F.count(F.lit(1)).alias("_rows")
+        ),
+        "daily",
     )
     totals = daily.groupBy("patient_id").agg(
         F.sum("_rows").alias("_released"),
@@ -137,9 +141,8 @@ def excess_release(
 
 def parse_audit(audit_logs: DataFrame) -> DataFrame:
     """Audit messages -> method, path, patient id and status; unparsed parts are null."""
-    def part(regex: str, group: int = 1) -> Column:
-        found = F.regexp_extract("message", regex, group)
-        return F.when(found != "", found)
+    def part(regex: str) -> Column:
+        return F.nullif(F.regexp_extract("message", regex, 1), F.lit(""))
 
     return audit_logs.select(
         "*",
@@ -245,10 +248,10 @@ def scan_phi(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
             F.struct(
                 F.lit(c).alias("column"),
                 F.lit(kind).alias("kind"),
-                F.regexp_extract_all(F.col(c), F.lit(regex), F.lit(0)).alias("found"),
+                find_phi(F.col(c), kind).alias("found"),
             )
             for c in columns
-            for kind, regex in PHI_PATTERNS.items()
+            for kind in PHI_PATTERNS
         ]
     )
     return (

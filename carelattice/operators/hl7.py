@@ -24,18 +24,17 @@ def _kept(messages: DataFrame) -> list[str]:
     return [c for c in messages.columns if c != "message"]
 
 
-def parse_hl7(messages: DataFrame, with_items: bool = False) -> DataFrame:
-    """One record per message, in a single pass.
+def with_segments(messages: DataFrame) -> DataFrame:
+    """The messages with `_segments` in place of their text: split once, read often."""
+    return messages.select(*_kept(messages), hl7.segments(F.col("message")).alias("_segments"))
 
-    The item lists are empty, as the record mapping never reads their segments;
-    `with_items` fills them.
-    """
-    kept = _kept(messages)
-    parsed = messages.select(*kept, hl7.segments(F.col("message")).alias("_segments"))
-    nothing = F.array().cast("array<string>")
+
+def records_of(split: DataFrame, with_items: bool = False) -> DataFrame:
+    """One record per message of `with_segments`."""
     segs = F.col("_segments")
-    return parsed.select(
-        *kept,
+    nothing = F.array().cast("array<string>")
+    return split.select(
+        *[c for c in split.columns if c != "_segments"],
         *[hl7.record_field(segs, key).alias(key) for key in hl7.RECORD_FIELDS],
         *[
             (hl7.items(segs, key) if with_items else nothing).alias(key)
@@ -44,6 +43,15 @@ def parse_hl7(messages: DataFrame, with_items: bool = False) -> DataFrame:
     )
 
 
+def parse_hl7(messages: DataFrame, with_items: bool = False) -> DataFrame:
+    """One record per message, in a single pass.
+
+    The item lists are empty, as the record mapping never reads their segments;
+    `with_items` fills them.
+    """
+    return records_of(with_segments(messages), with_items)
+
+
 def hl7_segments(messages: DataFrame) -> DataFrame:
     """One row per segment: its position in the message, name and fields."""
     kept = _kept(messages)
@@ -54,10 +62,9 @@ def hl7_segments(messages: DataFrame) -> DataFrame:
 
 def hl7_clinical_items(messages: DataFrame) -> DataFrame:
     """Allergies and medications of each message, in segment order."""
-    kept = _kept(messages)
-    parsed = messages.select(*kept, hl7.segments(F.col("message")).alias("_segments"))
-    return parsed.select(
-        *kept, *[hl7.items(F.col("_segments"), key).alias(key) for key in hl7.ITEM_FIELDS]
+    return with_segments(messages).select(
+        *_kept(messages),
+        *[hl7.items(F.col("_segments"), key).alias(key) for key in hl7.ITEM_FIELDS],
     )
 
 

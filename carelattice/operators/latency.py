@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelattice.functions.ordered import SPLIT_ABOVE, Ordered
-from carelattice.session import cut_lineage
 
 
 def exact_quantiles(
@@ -56,10 +55,10 @@ def pair_intake(log: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Each logged registration with the request line before it in the same file.
 
     `started_at` is the response time less the logged elapsed time. `request_body` is
-    null where the line before is not a request. The parsed lines are written once.
+    null where the line before is not a request. The log is read more than once: give
+    this a stored table of parsed lines, not lines still to be parsed.
     """
-    intake = log.where((F.col("method") == "POST") & (F.col("path") == "/intake"))
-    lines = cut_lineage(intake, "intake-lines")
+    lines = log.where((F.col("method") == "POST") & (F.col("path") == "/intake"))
     ordered = Ordered(lines, ["source"], ["ts", "status", "message"], split_above=split_above)
     paired = ordered.previous(request_body="body", requested_at="ts").frame()
     return paired.where(F.col("status") == 201).select(

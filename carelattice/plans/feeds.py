@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carelattice.operators import compliance, latency
 from carelattice.plans import auditing, roles, writing
 from carelattice.plans.registry import Tables, query
-from carelattice.session import new_path
+from carelattice.session import cut_lineage, new_path
 from carelattice.sources.readers import parse_app_log
 from carelattice.streaming import feeds, stateful
 
@@ -74,7 +74,8 @@ def app_log(t: Tables) -> DataFrame:
            value AS elapsed_s
     FROM p WHERE status = 201""")
 def pair_intake(t: Tables) -> DataFrame:
-    paired = latency.pair_intake(parse_app_log(_log_lines(t).drop("event_id")))
+    log = cut_lineage(parse_app_log(_log_lines(t).drop("event_id")), "log")
+    paired = latency.pair_intake(log)
     return paired.select(
         "source",
         F.col("answered_at").cast("timestamp_ntz").alias("answered_at"),

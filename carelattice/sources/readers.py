@@ -109,38 +109,57 @@ def stream_hl7(spark: SparkSession, path: str) -> DataFrame:
     return _message_rows(spark.readStream.format("text").option("wholetext", True).load(path))
 
 
+_MARK = "\x01"
+# A log line of either format: time, level, service, message.
+_LOG_LINE = (
+    "^([0-9-]{10} [0-9:]{8}(?:[,.][0-9]{3})?) +([A-Z]+) +(?:\\[([^\\]]*)\\] )?(.*)$"
+)
+# What follows in a message without its body: method, path, status.
+_REQUEST = "^(GET|POST|PUT|PATCH|DELETE) (/[^ ]*)(?: +([0-9]{3})(?= |$))?.*$"
+
+
+def _groups(text: str, regex: str, n: int) -> Column:
+    """The groups of one match as an array, from one run of the regex; else the text alone."""
+    marked = _MARK.join(f"${i}" for i in range(1, n + 1))
+    return F.split(F.regexp_replace(text, regex, marked), _MARK)
+
+
 def parse_app_log(lines: DataFrame) -> DataFrame:
     """Log lines (`value`) of either format -> typed columns; other lines are kept as text."""
-    def part(text: str, regex: str, group: int = 1) -> Column:
-        found = F.regexp_extract(text, regex, group)
-        return F.when(found != "", found)
-
-    head = "^([0-9-]{10} [0-9:]{8}(?:[,.][0-9]{3})?) +([A-Z]+) +(?:\\[([^\\]]*)\\] )?(.*)$"
-    split = lines.select(
-        *[c for c in lines.columns if c != "value"],
-        F.regexp_replace(F.regexp_extract("value", head, 1), ",", ".")
-        .try_cast("timestamp").alias("ts"),
-        part("value", head, 2).alias("level"),
-        part("value", head, 3).alias("service"),
-        F.coalesce(part("value", head, 4), F.col("value")).alias("message"),
-    )
+    kept = [c for c in lines.columns if c != "value"]
+
+    def group(parts: str, i: int, n: int) -> Column:
+        return F.when(F.size(parts) == n, F.nullif(F.get(parts, F.lit(i)), F.lit("")))
+
+    def number(regex: str) -> Column:
+        return F.nullif(F.regexp_extract("_rest", regex, 1), F.lit(""))
+
     body = "body=(\\{.*\\})"
-    split = split.withColumn("body", part("message", body)).withColumn(
-        "_rest", F.regexp_replace("message", body, "")
+    headed = lines.select(*kept, "value", _groups("value", _LOG_LINE, 4).alias("_head"))
+    split = headed.select(
+        *kept,
+        F.replace(group("_head", 0, 4), F.lit(","), F.lit(".")).try_cast("timestamp").alias("ts"),
+        group("_head", 1, 4).alias("level"),
+        group("_head", 2, 4).alias("service"),
+        F.coalesce(group("_head", 3, 4), "value").alias("message"),
+    )
+    bodied = split.select(
+        "*",
+        F.nullif(F.regexp_extract("message", body, 1), F.lit("")).alias("body"),
+        F.regexp_replace("message", body, "").alias("_rest"),
     )
-    millis = part("_rest", " ([0-9.]+)ms(?: |$)").try_cast("double") / 1000
-    return split.select(
-        *[c for c in lines.columns if c != "value"],
+    asked = bodied.select("*", _groups("_rest", _REQUEST, 3).alias("_request"))
+    millis = number(" ([0-9.]+)ms(?: |$)").try_cast("double") / 1000
+    return asked.select(
+        *kept,
         "ts",
         "level",
         "service",
-        part("_rest", "^(GET|POST|PUT|PATCH|DELETE) ").alias("method"),
-        part("_rest", "^[A-Z]+ (/[^ ]*)").alias("path"),
-        part("_rest", "^[A-Z]+ /[^ ]* +([0-9]{3})(?: |$)").cast("int").alias("status"),
-        F.coalesce(part("_rest", " elapsed=([0-9.]+)s").try_cast("double"), millis).alias(
-            "elapsed_s"
-        ),
-        part("_rest", " patient_id=([0-9]{1,9})").cast("int").alias("patient_id"),
+        group("_request", 0, 3).alias("method"),
+        group("_request", 1, 3).alias("path"),
+        group("_request", 2, 3).cast("int").alias("status"),
+        F.coalesce(number(" elapsed=([0-9.]+)s").try_cast("double"), millis).alias("elapsed_s"),
+        number(" patient_id=([0-9]{1,9})").cast("int").alias("patient_id"),
         "body",
         "message",
     )

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelattice.functions import hl7
-from carelattice.operators.hl7 import parse_hl7, validate_hl7
+from carelattice.operators.hl7 import records_of, validate_hl7, with_segments
 
 
 def _control_id() -> Column:
     """The message control id of the header segment, else the message's own id."""
     headers = F.filter(
-        hl7.segments(F.col("message")), lambda s: (hl7.segment_name(s) == "MSH") & (F.size(s) > 9)
+        "_segments", lambda s: (hl7.segment_name(s) == "MSH") & (F.size(s) > 9)
     )
     control = F.get(F.get(headers, F.lit(0)), F.lit(9))
     return F.when(control != "", control).otherwise(F.col("message_id").cast("string"))
@@ -25,11 +25,11 @@ def stream_records(messages: DataFrame, repeat_window: str = "1 hour") -> DataFr
     """
     accepted = validate_hl7(messages).where(F.col("reject_reason").isNull()).drop("reject_reason")
     once = (
-        accepted.withColumn("control_id", _control_id())
+        with_segments(accepted).withColumn("control_id", _control_id())
         .withWatermark("arrived_at", repeat_window)
         .dropDuplicatesWithinWatermark(["control_id"])
     )
-    return parse_hl7(once, with_items=True)
+    return records_of(once, with_items=True)
 
 
 def stream_rejects(messages: DataFrame) -> DataFrame:

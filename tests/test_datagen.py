@@ -5,6 +5,7 @@ import pytest
 from carelattice import schemas
 from carelattice.datagen import generate_clinic
 from carelattice.operators import identity, latency, quality, reads
+from carelattice.session import cut_lineage
 from carelattice.sources.readers import parse_app_log
 from tests.conftest import rows
 
@@ -69,7 +70,7 @@ def test_planted_duplicates_are_clustered(clinic):
 
 
 def test_logged_registrations(clinic):
-    log = parse_app_log(clinic["log_lines"])
+    log = cut_lineage(parse_app_log(clinic["log_lines"]), "log")
     paired = latency.pair_intake(log)
     assert paired.count() == N
     assert paired.where("elapsed_s between 4.0 and 5.0").count() == N
