@@ -152,6 +152,20 @@ class Ordered:
         ).drop("_before", "_value")
         return self
 
+    def total(self, name: str, value: Column) -> Ordered:
+        """Add the sum of `value` over all rows of the key to each of them."""
+        local = self._df.withColumn(name, F.sum(value).over(Window.partitionBy(*self._groups)))
+        if self._is_cut:
+            # One row per cut key.
+            whole = self._df.where("_split").groupBy(*self.keys).agg(F.sum(value).alias("_whole"))
+            local = (
+                null_safe_join(local, F.broadcast(whole), self.keys, "left")
+                .withColumn(name, F.coalesce("_whole", name))
+                .drop("_whole")
+            )
+        self._df = local
+        return self
+
     def frame(self) -> DataFrame:
         return self._df.drop("_run", "_split")
 

@@ -23,13 +23,12 @@ def exact_quantiles(
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = (
+    placed = (
         Ordered(counts, keys, [value], split_above=split_above)
         .running_sum("_upto", F.col("_c"))
+        .total("n", F.col("_c"))
         .frame()
     )
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    placed = ranked.join(totals, keys)
 
     def at(rank: Column) -> Column:
         holds = (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))

@@ -115,20 +115,19 @@ def next_appointment(appointments: DataFrame, closed: tuple[str, ...] = CLOSED_A
 
 
 def recent_results(
-    encounters: DataFrame,
-    records: DataFrame,
-    n: int = 5,
-    order: tuple[str, ...] = ("encounter_id", "id"),
+    encounters: DataFrame, records: DataFrame, n: int = 5, order: tuple[str, ...] = ("id",)
 ) -> DataFrame:
-    """The first `n` result records of each patient, in chart order.
+    """The first `n` result records of each patient, in chart order: encounters by id,
+    and records by `order` within one.
 
     The chart's patient is the encounter's; the record's own patient column is not read.
+    No encounter can give more than `n`, so its others are left out before the join.
     """
+    within = [F.asc(c) for c in order]
     results = records.where(is_result(F.col("reference_range"))).drop("patient_id")
     owner = encounters.select(F.col("id").alias("encounter_id"), "patient_id")
-    return first_rows(
-        results.join(owner, "encounter_id"), ["patient_id"], [F.asc(c) for c in order], n
-    )
+    joined = first_rows(results, ["encounter_id"], within, n).join(owner, "encounter_id")
+    return first_rows(joined, ["patient_id"], [F.asc("encounter_id"), *within], n)
 
 
 def encounter_summary(encounters: DataFrame, records: DataFrame) -> DataFrame:

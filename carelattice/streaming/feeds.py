@@ -18,16 +18,25 @@ def _control_id() -> Column:
     return F.when(control != "", control).otherwise(F.col("message_id").cast("string"))
 
 
-def stream_records(messages: DataFrame, repeat_window: str = "1 hour") -> DataFrame:
+def stream_records(
+    messages: DataFrame, repeat_window: str = "1 hour", spread: int = 16
+) -> DataFrame:
     """Feed of messages (`message_id`, `message`, `arrived_at`) -> records with items.
 
-    A control id seen again within `repeat_window` is a resent message and is dropped.
+    A control id seen again within `repeat_window` is a resent message and is dropped:
+    first within each of `spread` parts of its copies, then among what is left, so one
+    message resent very often does not reach one task in full.
     """
     accepted = validate_hl7(messages).where(F.col("reject_reason").isNull()).drop("reject_reason")
+    part = F.pmod(F.xxhash64("message_id"), F.lit(spread))
     once = (
-        with_segments(accepted).withColumn("control_id", _control_id())
+        with_segments(accepted)
+        .withColumn("control_id", _control_id())
+        .withColumn("_part", part)
         .withWatermark("arrived_at", repeat_window)
+        .dropDuplicatesWithinWatermark(["control_id", "_part"])
         .dropDuplicatesWithinWatermark(["control_id"])
+        .drop("_part")
     )
     return records_of(once, with_items=True)
 

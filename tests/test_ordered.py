@@ -31,6 +31,7 @@ def test_ordered_equals_plain_windows(events, descending, split_above):
         .number("n")
         .previous(before="id", t_before="t")
         .running_sum("odds", odd)
+        .total("rows", F.lit(1))
         .frame()
     )
     order = [F.desc(c) if descending else F.asc(c) for c in ("t", "id")]
@@ -40,6 +41,7 @@ def test_ordered_equals_plain_windows(events, descending, split_above):
         .withColumn("before", F.lag("id").over(window))
         .withColumn("t_before", F.lag("t").over(window))
         .withColumn("odds", F.sum(odd).over(window))
+        .withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("k")))
         .withColumn("odds", F.coalesce("odds", F.lit(0)))
     )
     got = got.withColumn("odds", F.coalesce("odds", F.lit(0))).select(*plain.columns)

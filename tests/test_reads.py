@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from carelattice.functions.text import STATUS_VARIANTS
 from carelattice.operators import charts, eligibility, reads, search

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from carelattice import schemas
+from carelattice import session as session_module
 from carelattice.operators.hl7 import parse_hl7
 from carelattice.operators.writes import validate_intake
 from carelattice.sources import readers, sinks
@@ -122,3 +125,17 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.set(kept, before)
         spark.sql("drop table if exists bucketed_left")
         spark.sql("drop table if exists bucketed_right")
+
+
+def test_the_work_folder_is_the_cluster_s(tmp_path):
+    def session(master, **settings):
+        conf = SimpleNamespace(get=lambda key, default: settings.get(key, default))
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    named = session("yarn", **{"spark.checkpoint.dir": "hdfs://shared/work/"})
+    assert session_module.work_folder(named) == "hdfs://shared/work"
+    with pytest.raises(RuntimeError):
+        session_module.work_folder(session("yarn"))
+    local = session("local[2]")
+    assert session_module.work_folder(local) == session_module.work_folder(local)
