@@ -144,6 +144,78 @@ def near_values(
     )
 
 
+_WILD = "\uffff"
+
+
+def _edit_patterns(value: Column, max_distance: int) -> Column:
+    """All (pattern, wild, deleted) reached by up to `max_distance` edits, an edit being a
+    character replaced by a wildcard or left out.
+
+    Two texts are within k edits of each other exactly when they share a pattern with
+    wild + deleted in one + deleted in the other <= k.
+    """
+    def edited(state: Column) -> Column:
+        text, start = state["text"], state["start"]
+
+        def at(i: Column) -> Column:
+            before, after = F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))
+            replaced = F.struct(
+                F.concat(before, F.lit(_WILD), after).alias("text"), (i + 1).alias("start"),
+                (state["wild"] + 1).alias("wild"), state["deleted"].alias("deleted"),
+            )
+            left_out = F.struct(
+                F.concat(before, after).alias("text"), i.alias("start"),
+                state["wild"].alias("wild"), (state["deleted"] + 1).alias("deleted"),
+            )
+            return F.array(replaced, left_out)
+
+        none = F.array().cast("array<struct<text:string,start:int,wild:int,deleted:int>>")
+        reached = F.flatten(F.transform(F.sequence(start, F.length(text)), at))
+        return F.when(start <= F.length(text), reached).otherwise(none)
+
+    zero = F.lit(0)
+    newest = F.array(
+        F.struct(value.alias("text"), F.lit(1).alias("start"), zero.alias("wild"), zero.alias("deleted"))
+    )
+    reached = [newest]
+    for _ in range(max_distance):
+        newest = F.flatten(F.transform(newest, edited))
+        reached.append(newest)
+    return F.array_distinct(
+        F.transform(
+            F.concat(*reached),
+            lambda s: F.struct(
+                s["text"].alias("_pattern"), s["wild"].alias("_wild"), s["deleted"].alias("_deleted")
+            ),
+        )
+    )
+
+
+def near_links(values: DataFrame, value: str, max_distance: int) -> DataFrame:
+    """(id, lead_id) that connect all values (`block`, `value`, `id`) of a block which
+    chains of at most `max_distance` edits connect. Each link is itself that near.
+
+    Values that share an edit pattern are all linked to the one least deleted from: any
+    two of them that are near enough are also near enough to that one. So every pattern
+    gives one link per value, never the pairs of its group.
+    """
+    patterns = values.select("block", "id", F.inline(_edit_patterns(F.col(value), max_distance)))
+    group = ["block", "_pattern", "_wild"]
+    leads = (
+        patterns.groupBy(*group)
+        .agg(F.min(F.struct("_deleted", "id")).alias("_lead"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > 1)
+    )
+    lead = F.col("_lead.id")
+    edits = F.col("_wild") + F.col("_deleted") + F.col("_lead._deleted")
+    return (
+        patterns.join(leads, group)
+        .where((edits <= max_distance) & (F.col("id") != lead))
+        .select(F.greatest("id", lead).alias("id"), F.least("id", lead).alias("lead_id"))
+        .distinct()
+    )
+
+
 def match_links(
     patients: DataFrame, coverages: DataFrame | None = None, max_distance: int = 2
 ) -> DataFrame:
@@ -151,7 +223,7 @@ def match_links(
 
     They share a block (see `person_keys`) and have the same name, the same initial
     and surname, or names within `max_distance` edits. Equal values are linked to
-    their smallest id, so a block of copies gives one link per copy.
+    their smallest id and near ones by `near_links`: no rule forms the pairs of a block.
     """
     keys = cut_lineage(person_keys(patients, coverages), "person-keys")
     names = cut_lineage(
@@ -168,17 +240,8 @@ def match_links(
         F.col("lead_id").alias("id"), F.col("_first").alias("lead_id"),
         F.lit("initial_and_surname").alias("rule"),
     )
-    near = near_values(names, ["block"], "name", max_distance)
-    lead = names.select("block", "name", "lead_id")
-    near_name = (
-        near.join(lead.withColumnsRenamed({"name": "value_a", "lead_id": "_a"}), ["block", "value_a"])
-        .join(lead.withColumnsRenamed({"name": "value_b", "lead_id": "_b"}), ["block", "value_b"])
-        .select(
-            F.greatest("_a", "_b").alias("id"),
-            F.least("_a", "_b").alias("lead_id"),
-            F.lit("near_name").alias("rule"),
-        )
-    )
+    near = near_links(names.withColumn("id", F.col("lead_id")), "name", max_distance)
+    near_name = near.withColumn("rule", F.lit("near_name"))
     links = same_name.unionByName(same_initial).unionByName(near_name)
     return links.where(F.col("id") != F.col("lead_id")).distinct()
 

@@ -309,19 +309,28 @@ def _people(t: Tables) -> DataFrame:
     )
 
 
-_LINKS_SQL = """
-    SELECT a.c_custkey AS lead_id, b.c_custkey AS id FROM customer a
-    JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment
-     AND a.c_custkey < b.c_custkey AND levenshtein(a.c_name, b.c_name) <= 1"""
-
-
-@query(f"SELECT id, lead_id, 'near_name' AS rule FROM ({_LINKS_SQL}) l")
+@query("""
+    WITH v AS (
+      SELECT c_nationkey, c_mktsegment, c_custkey AS id, c_name AS p, 0 AS w, 0 AS d FROM customer
+      UNION SELECT c_nationkey, c_mktsegment, c_custkey,
+             substr(c_name, 1, i - 1) || substr(c_name, i + 1), 0, 1
+      FROM customer, unnest(range(1, length(c_name) + 1)) AS u(i)
+      UNION SELECT c_nationkey, c_mktsegment, c_custkey,
+             substr(c_name, 1, i - 1) || '*' || substr(c_name, i + 1), 1, 0
+      FROM customer, unnest(range(1, length(c_name) + 1)) AS u(i)),
+    l AS (SELECT *, first_value(id) OVER g AS lead, first_value(d) OVER g AS lead_d FROM v
+          WINDOW g AS (PARTITION BY c_nationkey, c_mktsegment, p, w ORDER BY d, id))
+    SELECT DISTINCT greatest(id, lead) AS id, least(id, lead) AS lead_id, 'near_name' AS rule
+    FROM l WHERE id <> lead AND w + d + lead_d <= 1""")
 def match_links(t: Tables) -> DataFrame:
     return identity.match_links(_people(t), max_distance=1)
 
 
-_CLUSTERS_SQL = f"""
-    WITH RECURSIVE l AS ({_LINKS_SQL}),
+_CLUSTERS_SQL = """
+    WITH RECURSIVE l AS (
+      SELECT a.c_custkey AS lead_id, b.c_custkey AS id FROM customer a
+      JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment
+       AND a.c_custkey < b.c_custkey AND levenshtein(a.c_name, b.c_name) <= 1),
     edge AS (SELECT id AS a, lead_id AS b FROM l UNION ALL SELECT lead_id, id FROM l),
     reach AS (SELECT c_custkey AS a, c_custkey AS b FROM customer
               UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b)

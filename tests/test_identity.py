@@ -72,6 +72,48 @@ def test_near_values_equal_brute_force(table, distance):
     assert rows(identity.near_values(df, ["block"], "word", distance)) == expected
 
 
+def _roots(edges):
+    """node -> smallest node it is connected with"""
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return {n: root(n) for n in parent}
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_near_links_connect_what_near_pairs_connect(table, distance):
+    rng = random.Random(10 + distance)
+    words = {
+        (rng.choice("pq"), "".join(rng.choice("abcdé") for _ in range(rng.randint(0, 8))))
+        for _ in range(150)
+    }
+    numbered = [(b, w, i) for i, (b, w) in enumerate(sorted(words))]
+    near = [
+        (i, j)
+        for (b, w, i), (c, v, j) in itertools.combinations(numbered, 2)
+        if b == c and _edits(w, v) <= distance
+    ]
+    links = identity.near_links(table("block string, word string, id int", *numbered), "word", distance)
+    found = [tuple(r) for r in links.select("lead_id", "id").collect()]
+    assert set(found) <= set(near)
+    assert _roots(found) == _roots(near)
+
+
+def test_a_block_of_near_values_gives_few_links(table):
+    # 400 names, each near 36 others: 7,200 pairs.
+    names = [("b", f"name{i:03d}", i) for i in range(400)]
+    links = identity.near_links(table("block string, word string, id int", *names), "word", 1)
+    assert links.count() < 3 * 400
+    assert set(_roots([tuple(r) for r in links.collect()]).values()) == {0}
+
+
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "two_stars"])
 def test_components_equal_union_find(table, shape):
     rng = random.Random(5)
@@ -81,19 +123,7 @@ def test_components_equal_union_find(table, shape):
         "star": [(50, i) for i in range(1, 50)],
         "two_stars": [(50, i) for i in range(1, 25)] + [(25, i) for i in range(26, 50)] + [(30, 3)],
     }[shape]
-    parent = {n: n for e in edges for n in e}
-
-    def root(n):
-        while parent[n] != n:
-            n = parent[n]
-        return n
-
-    for a, b in edges:
-        if a != b:
-            low, high = sorted((root(a), root(b)))
-            parent[high] = low
-    linked = {n for a, b in edges if a != b for n in (a, b)}
-    expected = sorted((n, root(n)) for n in linked)
+    expected = sorted(_roots([e for e in edges if e[0] != e[1]]).items())
     found = identity.connected_components(table("id int, lead_id int", *edges))
     assert rows(found, "id", "component") == expected
 
