@@ -87,6 +87,12 @@ def person_keys(patients: DataFrame, coverages: DataFrame | None = None) -> Data
     )
 
 
+def _spread(values: DataFrame) -> DataFrame:
+    """The values evenly over as many tasks as a shuffle has: each becomes many patterns."""
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return values.repartition(n)
+
+
 def _deletion_hashes(value: Column, max_distance: int) -> Column:
     """Hashes of all texts left after deleting up to `max_distance` characters.
 
@@ -126,7 +132,7 @@ def near_values(
     distance then decides. Exact for any block size.
     """
     distinct = rows.where(F.col(value).isNotNull()).select(*block, value).distinct()
-    hashed = distinct.select(
+    hashed = _spread(distinct).select(
         *block, value, F.explode(_deletion_hashes(F.col(value), max_distance)).alias("_hash")
     )
     other = hashed.withColumnRenamed(value, "_other")
@@ -181,13 +187,13 @@ def _edit_patterns(value: Column, max_distance: int) -> Column:
     for _ in range(max_distance):
         newest = F.flatten(F.transform(newest, edited))
         reached.append(newest)
-    return F.array_distinct(
-        F.transform(
-            F.concat(*reached),
-            lambda s: F.struct(
-                s["text"].alias("_pattern"), s["wild"].alias("_wild"), s["deleted"].alias("_deleted")
-            ),
-        )
+    # A pattern reached in two ways (one of two equal letters left out) stays twice: a
+    # distinct over structs would cost more than the row.
+    return F.transform(
+        F.concat(*reached),
+        lambda s: F.struct(
+            s["text"].alias("_pattern"), s["wild"].alias("_wild"), s["deleted"].alias("_deleted")
+        ),
     )
 
 
@@ -199,7 +205,7 @@ def near_links(values: DataFrame, value: str, max_distance: int) -> DataFrame:
     two of them that are near enough are also near enough to that one. So every pattern
     gives one link per value, never the pairs of its group.
     """
-    patterns = values.select("block", "id", F.inline(_edit_patterns(F.col(value), max_distance)))
+    patterns = _spread(values).select("block", "id", F.inline(_edit_patterns(F.col(value), max_distance)))
     group = ["block", "_pattern", "_wild"]
     leads = (
         patterns.groupBy(*group)
