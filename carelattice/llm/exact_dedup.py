@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelattice.llm.arrowtext import flat_bytes, id_and_text, slabs
@@ -105,14 +105,25 @@ def text_prints(
 
 def _differing(docs: DataFrame, candidates: DataFrame, chunk: int, copies_per_salt: int) -> DataFrame:
     """doc_id, print, n_bytes of the candidates whose text is not that of their `keep_id`."""
-    texts = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    # A merge join at every size: the texts are dealt by id once, the candidates may be many.
+    texts = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).hint("merge")
     holding = texts.join(candidates, "doc_id").select(
         "doc_id", "print", "n_bytes", "keep_id",
+        (F.col("doc_id") == F.col("keep_id")).alias("stays"),
         F.ceil(F.col("group_size") / copies_per_salt).cast("int").alias("salts"),
         F.col("text").cast("binary").alias("bytes"),
     ).filter(F.length("bytes") == F.col("n_bytes"))
-    pieces = holding.select(
-        "doc_id", "print", "n_bytes", "keep_id", "salts",
+    # The row that stays goes to every salt, a copy to one.
+    salted = holding.withColumn(
+        "salt",
+        F.explode(
+            F.when(F.col("stays"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(
+                F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+            )
+        ),
+    )
+    pieces = salted.select(
+        "doc_id", "print", "n_bytes", "keep_id", "stays", "salt",
         F.posexplode(
             F.expr(
                 f"transform(sequence(0L, greatest(n_bytes - 1, 0L) div {chunk}),"
@@ -120,15 +131,10 @@ def _differing(docs: DataFrame, candidates: DataFrame, chunk: int, copies_per_sa
             )
         ).alias("piece", "content"),
     )
-    same = ["print", "n_bytes", "keep_id", "piece", "salt"]
-    kept = pieces.filter("doc_id = keep_id").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    ).select(*same, F.col("content").alias("kept_content")).dropDuplicates(same)
-    copies = pieces.filter("doc_id != keep_id").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")
-    )
+    # Chunks stream by in order, the one that stays first; no group is held.
+    meeting = Window.partitionBy("print", "n_bytes", "keep_id", "piece", "salt").orderBy(F.desc("stays"))
     return (
-        copies.join(kept, same)
+        pieces.withColumn("kept_content", F.first("content").over(meeting))
         .filter("content != kept_content")
         .select("doc_id", "print", "n_bytes", "keep_id")
         .distinct()
@@ -159,7 +165,7 @@ def exact_duplicates(
             .filter("group_size > 1"),
             "print-groups",
         )
-        candidates = cut_lineage(pending.join(groups, key).distinct(), "copies")
+        candidates = cut_lineage(pending.distinct().join(groups, key), "copies")
         differing = cut_lineage(_differing(texts, candidates, chunk, copies_per_salt), "differing")
         if differing.isEmpty():
             rounds.append(candidates)
