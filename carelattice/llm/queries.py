@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carelattice.llm import exact_dedup
+from carelattice.llm import byte_bpe, exact_dedup
 from carelattice.llm.registry import query, table
 
 
@@ -21,3 +22,9 @@ from carelattice.llm.registry import query, table
 )
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.token_digests(table(spark, folder, "documents"), vocabulary)
