@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carelattice.llm import byte_bpe, exact_dedup
+from carelattice.llm import byte_bpe, decontamination, exact_dedup, secret_scan
 from carelattice.llm.registry import query, table
 
 
@@ -28,3 +28,16 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.token_digests(table(spark, folder, "documents"), vocabulary)
+
+
+@query()
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    matches = decontamination.benchmark_matches(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return decontamination.contamination(matches)
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.span_digests(secret_scan.secret_spans(table(spark, folder, "documents")))
