@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carelattice.llm import byte_bpe, decontamination, exact_dedup, secret_scan
+from carelattice.llm import byte_bpe, decontamination, exact_dedup, html_text, secret_scan
 from carelattice.llm.registry import query, table
 
 
@@ -41,3 +41,8 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @query()
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.secret_spans(table(spark, folder, "documents")))
+
+
+@query()
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, folder, "pages"))
