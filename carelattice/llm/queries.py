@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carelattice.llm import byte_bpe, decontamination, exact_dedup, html_text, secret_scan
+from carelattice.llm import byte_bpe, decontamination, exact_dedup, html_text, secret_scan, toxicity
 from carelattice.llm.registry import query, table
 
 
@@ -46,3 +46,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_pages(table(spark, folder, "pages"))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.toxicity_scores(docs, model)
