@@ -4,8 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carelattice.llm import byte_bpe, decontamination, exact_dedup, html_text, secret_scan, toxicity
+from carelattice.llm import (
+    byte_bpe,
+    decontamination,
+    exact_dedup,
+    html_text,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+)
 from carelattice.llm.registry import query, table
 
 
@@ -53,3 +63,49 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.learn(docs, table(spark, folder, "labels"))
     return toxicity.toxicity_scores(docs, model)
+
+
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(40)], 4099
+
+
+@query(
+    f"""
+    WITH RECURSIVE
+    shards AS (
+        SELECT i, ('0x' || substr(md5('offset-shard-' || lpad(i::VARCHAR, 2, '0')), 1, 15))::BIGINT % {SLOTS} AS o,
+               ('0x' || substr(md5('step-shard-' || lpad(i::VARCHAR, 2, '0')), 1, 15))::BIGINT % ({SLOTS} - 1) + 1 AS s
+        FROM range({len(SHARDS)}) t(i)
+    ),
+    orders AS (SELECT list(o ORDER BY i) AS offsets, list(s ORDER BY i) AS steps FROM shards),
+    turns AS (
+        SELECT 0 AS turn, NULL::BIGINT AS slot, list_transform(range({SLOTS}), lambda x: true) AS free,
+               list_transform(range({len(SHARDS)}), lambda x: 0::BIGINT) AS seen
+        UNION ALL
+        SELECT turn + 1, found, list_transform(free, lambda x, k: x AND k != found + 1),
+               list_transform(seen, lambda x, k: CASE WHEN k = turn % {len(SHARDS)} + 1 THEN taken + 1 ELSE x END)
+        FROM (
+            SELECT turn, free, seen, taken, (o + taken * s) % {SLOTS} AS found
+            FROM (
+                SELECT *, list_filter(range(seen[turn % {len(SHARDS)} + 1], {SLOTS}), lambda j: free[(o + j * s) % {SLOTS} + 1])[1] AS taken
+                FROM (SELECT turn, free, seen, offsets[turn % {len(SHARDS)} + 1] AS o, steps[turn % {len(SHARDS)} + 1] AS s
+                      FROM turns, orders WHERE turn < {SLOTS})
+            )
+        )
+    ),
+    owners AS (
+        SELECT slot::INTEGER AS slot, 'shard-' || lpad(((turn - 1) % {len(SHARDS)})::VARCHAR, 2, '0') AS shard
+        FROM turns WHERE turn > 0
+    )
+    SELECT doc_id, slot, shard
+    FROM (SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {SLOTS})::INTEGER AS slot FROM documents)
+    JOIN owners USING (slot)
+    """
+)
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(table(spark, folder, "documents"), SHARDS, SLOTS)
+
+
+@query()
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
