@@ -14,6 +14,7 @@ from carelattice.llm import (
     secret_scan,
     sharding,
     simhash,
+    suffix_dedup,
     toxicity,
 )
 from carelattice.llm.registry import query, table
@@ -109,3 +110,8 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@query()
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
