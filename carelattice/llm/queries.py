@@ -11,6 +11,7 @@ from carelattice.llm import (
     decontamination,
     exact_dedup,
     html_text,
+    passage_chains,
     secret_scan,
     sharding,
     simhash,
@@ -115,3 +116,10 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query()
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = passage_chains.repeated_passages(table(spark, folder, "documents"))
+    others = F.expr("array_sort(array_distinct(transform(passages, p -> p.other)))")
+    return found.withColumn("other_ids", F.coalesce(others, F.array().cast("array<bigint>"))).drop("passages")
