@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,3 +47,26 @@ def slabs(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterat
 def crc_fold(id_column: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo `folds`."""
     return F.crc32(id_column.cast("string").cast("binary")) % folds
+
+
+def rows_where(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], text_column: str) -> DataFrame:
+    """The whole rows that a task's test keeps, in one pass without a shuffle.
+
+    `start` runs once for each task and gives the test: it takes a batch with the texts (null as
+    empty) in column 1 and returns a flag for each row.
+    """
+    names = docs.columns
+    place = names.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            texts = batch.column(place).fill_null("")
+            done = 0
+            numbers = pa.array(np.arange(batch.num_rows))
+            for part in slabs(iter([pa.RecordBatch.from_arrays([numbers, texts], ["row", "text"])])):
+                flags = pa.array(np.asarray(keep(part), bool))
+                yield batch.slice(done, part.num_rows).filter(flags)
+                done += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)

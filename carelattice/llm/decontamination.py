@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelattice.llm.arrowtext import flat_bytes, id_and_text, slabs
+from carelattice.llm.arrowtext import flat_bytes, id_and_text, rows_where, slabs
 from carelattice.llm.wordarrays import SpanHasher, lower_ascii, word_spans
 
 WINDOW = 10
@@ -213,6 +213,23 @@ def _in_block(docs: DataFrame, items: list[tuple[object, str]], item_kind: str,
     )
 
 
+def _item_blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int):
+    """The items to search for, the type of their ids, and in how many blocks they are sent."""
+    items = (
+        benchmark.select(F.col(item_column).alias("item_id"), F.col(text_column).alias("text"))
+        .dropna()
+        .distinct()
+    )
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, dict(items.dtypes)["item_id"], max(1, math.ceil(size / block_bytes))
+
+
+def _listed(items: DataFrame, block: int, blocks: int) -> list[tuple[object, str]]:
+    """The items of one block; bounded by the size of a block."""
+    held = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+    return [(row.item_id, row.text) for row in held.collect()]
+
+
 def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     id_column: str = "doc_id", text_column: str = "text",
@@ -227,19 +244,10 @@ def benchmark_matches(
     tables give no rows, or documents without matches. Other columns are not read.
     """
     texts = id_and_text(docs, id_column, text_column)
-    items = (
-        benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text_column).alias("text"))
-        .dropna()
-        .distinct()
-    )
-    item_kind = dict(items.dtypes)["item_id"]
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    items, item_kind, blocks = _item_blocks(benchmark, item_column, item_text_column, block_bytes)
     results = []
     for block in range(blocks):
-        held = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        # Bounded: about `block_bytes` of text.
-        listed = [(row.item_id, row.text) for row in held.collect()]
+        listed = _listed(items, block, blocks)
         results.append(_in_block(texts, listed, item_kind, window))
     if blocks == 1:
         return results[0]
@@ -266,3 +274,27 @@ def contamination(matches: DataFrame) -> DataFrame:
         F.sha2(F.expr(f"array_join({items}, ',')"), 256).alias("items_sha256"),
         F.expr("size(matches) > 0").alias("contaminated"),
     )
+
+
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text",
+    item_column: str = "item_id", item_text_column: str = "text", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, in which no window of any item occurs."""
+    items, _, blocks = _item_blocks(benchmark, item_column, item_text_column, block_bytes)
+    for block in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(_listed(items, block, blocks))
+
+        def start(shared=shared):
+            test, hasher = TestSet(shared.value, window), SpanHasher()
+
+            def clean(batch: pa.RecordBatch) -> np.ndarray:
+                hit = _matches(test, *words_of(*flat_bytes(batch.column(1)), hasher))[0]
+                flags = np.ones(batch.num_rows, bool)
+                flags[hit] = False
+                return flags
+
+            return clean
+
+        docs = rows_where(docs, start, text_column)
+    return docs

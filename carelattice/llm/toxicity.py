@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelattice.llm.arrowtext import crc_fold, id_and_text, slabs
+from carelattice.llm.arrowtext import crc_fold, id_and_text, rows_where, slabs
 
 FOLDS = 5
 MAX_TRAINING = 20_000
@@ -420,3 +420,17 @@ def toxicity_scores(
         "doc_id", F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is under 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        model = shared.value
+        matcher = Matcher(model.lexicon)
+        return lambda batch: [
+            model.score(context_features(text.as_py(), matcher)) < 0.5 for text in batch.column(1)
+        ]
+
+    return rows_where(docs, start, text_column)
