@@ -17,12 +17,17 @@ FIRST_NAMES = ["Ada", "Bruno", "Celia", "Dario", "Esme", "Farid", "Greta", "Hugo
 LAST_NAMES = ["Abbot", "Brandt", "Castellan", "Duarte", "Eklund", "Farrow", "Grimaldi", "Holloway"]
 STREETS = ["Alder Way", "Beacon St", "Cobble Ln", "Dune Rd", "Ember Ct"]
 PAYERS = ["Northern Mutual", "Lakeside Health", "Summit Plan", "Public Aid", "Senior Aid", None]
+def _weighted(*pairs: tuple[int, int]) -> list[int]:
+    """(value, weight) pairs as a list to draw from."""
+    return [value for value, weight in pairs for _ in range(weight)]
+
+
 # Mixes of the demo clinic.
 PLAN_TYPES = ["PPO", "PPO", "HMO", "Medicaid", "Medicare", "self_pay"]
 COVERAGE_STATUSES = ["active", "active", "active", "inactive", "unknown"]
 ENCOUNTER_TYPES = ["office_visit", "office_visit", "lab", "imaging", "telehealth"]
-ENCOUNTERS_PER_PATIENT = [0, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 4]
-RECORDS_PER_ENCOUNTER = [1, 1, 1, 1, 1, 1, 2, 2, 3]
+ENCOUNTERS_PER_PATIENT = _weighted((0, 1), (1, 4), (2, 4), (3, 2), (4, 1))
+RECORDS_PER_ENCOUNTER = _weighted((1, 6), (2, 2), (3, 1))
 APPOINTMENTS_PER_PATIENT = [0, 0, 1, 1, 1, 2]
 ALLERGIES = ["", "", "", "penicillin", "sulfa", "latex", "peanuts", "none known"]
 RECORD_KINDS = ["note", "note", "lab_result", "imaging", "immunization"]
@@ -30,8 +35,10 @@ LAB_STATUSES = ["normal", "normal", "abnormal", "preliminary"]
 APPOINTMENT_STATUSES = ["confirmed", "confirmed", "confirmed", "cancelled", "completed"]
 SLOT_STATUSES = ["open", "open", "open", "booked"]
 ROI_STATUSES = ["pending", "pending", "fulfilled", "denied"]
-RECIPIENTS = [("Harbor Cardiology", "provider"), ("Stone Law", "attorney"), ("Patient", "self")]
 N_PROVIDERS = 8
+
+# Invented recipients.
+RECIPIENTS = [("Tern Point Rehab", "provider"), ("Larch and Moss", "attorney"), ("Patient", "self")]
 # One patient in so many has two further charts: a misspelt one, and one with the
 # initial only and day and month exchanged.
 DUPLICATE_EVERY = 50

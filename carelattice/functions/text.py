@@ -86,24 +86,24 @@ def split_items(text: Column, nothing: tuple[str, ...] = ("none known",)) -> Col
 
 # Shapes of the sensitive values that are looked for and masked.
 PHI_PATTERNS = {
-    "ssn": "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b",
-    "phone": "\\b[0-9]{3}-[0-9]{3}-[0-9]{4}\\b",
+    "ssn": "\\b(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})\\b",
+    "phone": "(?:\\([0-9]{3}\\) ?|\\b[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}\\b",
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}",
-    "dob": "\\b(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]\\b",
+    "dob": "\\b(?:19|20)[0-9]{2}(?:-[01][0-9]-|[01][0-9])[0-3][0-9]\\b",
 }
 
 # What replaces each kind, e-mails first; an SSN keeps its last four digits.
 _MASKS = [
     ("email", PHI_PATTERNS["email"], "[email]"),
-    ("ssn", "\\b[0-9]{3}-[0-9]{2}-([0-9]{4})\\b", "•••-••-$1"),
+    ("ssn", "\\b(?:[0-9]{3}-[0-9]{2}-|[0-9]{5})([0-9]{4})\\b", "•••-••-$1"),
     ("phone", PHI_PATTERNS["phone"], "[phone]"),
     ("dob", PHI_PATTERNS["dob"], "[date]"),
 ]
 
 
 def _may_hold(text: Column, kind: str) -> Column:
-    """A cheap test that spares most texts the regex: the sign every match contains."""
-    return F.contains(text, F.lit("@" if kind == "email" else "-"))
+    """A cheap test that spares most texts the regex: a sign that every match contains."""
+    return F.contains(text, F.lit("@")) if kind == "email" else text.rlike("[0-9]{3}")
 
 
 def find_phi(text: Column, kind: str) -> Column:
@@ -117,7 +117,7 @@ def mask_ssn(ssn: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Mask every e-mail, SSN, phone number and ISO date in free text."""
+    """Mask every e-mail, SSN, phone number and date of birth in free text."""
     for kind, regex, mask in _MASKS:
         masked = F.regexp_replace(text, regex, mask)
         text = F.when(_may_hold(text, kind), masked).otherwise(text)

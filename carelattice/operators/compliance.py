@@ -148,7 +148,7 @@ def parse_audit(audit_logs: DataFrame) -> DataFrame:
         "*",
         part("^([A-Z]+) /").alias("method"),
         part("^[A-Z]+ (/[^ ?]*)").alias("path"),
-        part("^[A-Z]+ /patients/([0-9]{1,18})(?:[/? ]|$)").cast("long").alias("patient_id"),
+        part("^[A-Z]+ /patients/([0-9]+)(?:[/? ]|$)").try_cast("long").alias("patient_id"),
         part("^[A-Z]+ /[^ ]* ([0-9]{3})(?: |$)").cast("int").alias("status"),
     )
 
@@ -232,11 +232,11 @@ def id_walk_detection(
 
 def foreign_chart_requests(entries: DataFrame) -> DataFrame:
     """Captured requests whose token belongs to another patient than the path names."""
-    token_of = F.regexp_extract("authorization", "patient-([0-9]{1,18})-token", 1)
-    path_of = F.regexp_extract("url", "/patients/([0-9]{1,18})(?:[/?#]|$)", 1)
+    token_of = F.regexp_extract("authorization", "patient-([0-9]+)-token", 1)
+    path_of = F.regexp_extract("url", "/patients/([0-9]+)(?:[/?#]|$)", 1)
     return (
-        entries.withColumn("token_patient_id", F.when(token_of != "", token_of).cast("long"))
-        .withColumn("path_patient_id", F.when(path_of != "", path_of).cast("long"))
+        entries.withColumn("token_patient_id", F.when(token_of != "", token_of).try_cast("long"))
+        .withColumn("path_patient_id", F.when(path_of != "", path_of).try_cast("long"))
         .where(F.col("token_patient_id") != F.col("path_patient_id"))
     )
 

@@ -52,20 +52,16 @@ def _candidates(anchors: dict[str, list[int]], needed: dict[int, int]):
     """
     def find_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         always = [number for number, n in needed.items() if n == 0]
-        try:
-            import ahocorasick
-        except ImportError:
-            def found(text: str) -> set[str]:
-                return {anchor for anchor in anchors if anchor in text}
-        else:
-            automaton = ahocorasick.Automaton()
-            for anchor in anchors:
-                automaton.add_word(anchor, anchor)
-            if anchors:
-                automaton.make_automaton()
-
-            def found(text: str) -> set[str]:
-                return {anchor for _, anchor in automaton.iter(text)} if anchors else set()
+        import ahocorasick  # required: without it each text would be searched once per anchor
+
+        automaton = ahocorasick.Automaton()
+        for anchor in anchors:
+            automaton.add_word(anchor, anchor)
+        if anchors:
+            automaton.make_automaton()
+
+        def found(text: str) -> set[str]:
+            return {anchor for _, anchor in automaton.iter(text)} if anchors else set()
 
         def numbers(text: str | None) -> list[int]:
             if text is None:

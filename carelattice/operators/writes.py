@@ -6,7 +6,7 @@ the changed rows; sinks write them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelattice.functions.ordered import dense_numbers, first_rows
@@ -117,31 +117,40 @@ def validate_intake(payloads: DataFrame, column: str = "payload") -> tuple[DataF
 
 
 def intake_fanout(
-    valid: DataFrame, patients: DataFrame, order: list[str], as_of: Column
+    valid: DataFrame, patients: DataFrame, order: list[str], as_of: Column,
+    coverages: DataFrame | None = None, consents: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Valid payloads -> new patients, coverages and consents, without ids for the last two.
+    """Valid payloads -> new patients, coverages and consents.
 
     Every payload opens a new chart: nobody is looked up. A coverage row appears only
-    with insurance, and one consent row per listed kind, repeats kept.
+    with insurance, and one consent row per listed kind, repeats kept. With the current
+    `coverages` and `consents` tables given, their new rows get the next ids too.
+
+    The numbered payloads are written once: all outputs name one patient alike, even where
+    `order` leaves ties.
     """
-    arrived = with_new_ids(valid, patients, order, "patient_id")
+    arrived = cut_lineage(with_new_ids(valid, patients, order, "patient_id"), "arrived")
     new_patients = arrived.select(
         F.col("patient_id").alias("id"),
         F.lit(None).cast("string").alias("mrn"),
         "demographics.*",
         as_of.alias("created_at"),
     )
-    coverages = arrived.where(F.col("insurance").isNotNull()).select(
+    new_coverages = arrived.where(F.col("insurance").isNotNull()).select(
         "patient_id",
         "insurance.*",
         F.lit("unknown").alias("status"),
         F.lit(None).cast("timestamp").alias("verified_at"),
         as_of.alias("created_at"),
     )
-    consents = arrived.select(
+    new_consents = arrived.select(
         "patient_id", F.posexplode("consents").alias("position", "kind"), as_of.alias("signed_at")
     )
-    return new_patients, coverages, consents
+    if coverages is not None:
+        new_coverages = with_new_ids(new_coverages, coverages, ["patient_id"])
+    if consents is not None:
+        new_consents = with_new_ids(new_consents, consents, ["patient_id", "position"])
+    return new_patients, new_coverages, new_consents
 
 
 def validate_booking(requests: DataFrame) -> DataFrame:
@@ -178,14 +187,21 @@ def winning_requests(requests: DataFrame, appointments: DataFrame) -> DataFrame:
 
 def resolve_bookings(requests: DataFrame, appointments: DataFrame) -> DataFrame:
     """Each request with its outcome: `confirmed` for the winner of a free slot, else
-    `slot_taken`. Neither the slot's own status nor its existence matters."""
-    won = winning_requests(requests, appointments).select(
-        "request_id", F.lit("confirmed").alias("_won")
+    `slot_taken`. Neither the slot's own status nor its existence matters.
+
+    A request id is decided once, at its earliest row; its later rows are `repeated`.
+    """
+    again = Window.partitionBy("request_id").orderBy("requested_at", "slot_id")
+    placed = requests.withColumn("_place", F.row_number().over(again))
+    asked = placed.where(F.col("_place") == 1).drop("_place")
+    won = winning_requests(asked, appointments).select(
+        "request_id", F.lit(1).alias("_place"), F.lit("confirmed").alias("_won")
     )
+    outcome = F.when(F.col("_place") > 1, "repeated").otherwise(F.coalesce("_won", F.lit("slot_taken")))
     return (
-        requests.join(won, "request_id", "left")
-        .withColumn("outcome", F.coalesce("_won", F.lit("slot_taken")))
-        .drop("_won")
+        placed.join(won, ["request_id", "_place"], "left")
+        .withColumn("outcome", outcome)
+        .select(*requests.columns, "outcome")
     )
 
 
@@ -224,8 +240,14 @@ def apply_cancellations(
     return after, outcomes
 
 
-def create_roi(requests: DataFrame, patients: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) release requests; accepted ones are `pending`."""
+def create_roi(
+    requests: DataFrame, patients: DataFrame, roi_requests: DataFrame | None = None,
+    order: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) release requests; accepted ones are `pending`.
+
+    With the current `roi_requests` table given, accepted ones get its next ids in `order`.
+    """
     def missing(column: str) -> Column:
         return F.coalesce(F.col(column) == "", F.lit(True))
 
@@ -249,17 +271,21 @@ def create_roi(requests: DataFrame, patients: DataFrame) -> tuple[DataFrame, Dat
         .withColumn("reject_reason", F.lit("patient_not_found"))
     )
     rejected = checked.where(F.col("reject_reason").isNotNull()).unionByName(unknown)
+    if roi_requests is not None:
+        accepted = with_new_ids(accepted, roi_requests, order or ["patient_id"])
     return accepted, rejected
 
 
 def fulfill_roi(
-    calls: DataFrame, roi_requests: DataFrame, disclosed_at: Column
+    calls: DataFrame, roi_requests: DataFrame, disclosed_at: Column,
+    disclosures: DataFrame | None = None, order: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(requests after fulfilment, disclosures to add, calls that were not found).
 
     Each call adds a disclosure, repeated calls too, and the request becomes
     `fulfilled` whatever it was, denied included. What is released is the patient's
-    whole record set (`charts.disclosure_packet`), whatever range was asked for.
+    whole record set (`charts.disclosure_packet`), whatever range was asked for. With the
+    current `disclosures` table given, the new ones get its next ids in `order`.
     """
     done = calls.select(F.col("request_id").alias("id")).distinct().withColumn(
         "_done", F.lit(True)
@@ -272,7 +298,7 @@ def fulfill_roi(
     target = roi_requests.select(
         F.col("id").alias("request_id"), "patient_id", F.col("recipient").alias("disclosed_to")
     )
-    disclosures = calls.join(target, "request_id").select(
+    added = calls.join(target, "request_id").select(
         *[c for c in calls.columns if c != "request_id"],
         "patient_id",
         F.col("request_id").alias("roi_request_id"),
@@ -280,4 +306,6 @@ def fulfill_roi(
         disclosed_at.alias("disclosed_at"),
     )
     unknown = calls.join(target, "request_id", "left_anti")
-    return after, disclosures, unknown
+    if disclosures is not None:
+        added = with_new_ids(added, disclosures, order or ["roi_request_id"])
+    return after, added, unknown

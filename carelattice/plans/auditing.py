@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carelattice.operators import compliance, identity, latency, quality
 from carelattice.plans import roles
 from carelattice.plans.registry import Tables, query
+from carelattice.schemas import UNDECLARED_KEYS
 
 _A = roles.APPOINTMENTS_SQL
 
@@ -62,14 +63,22 @@ _KEYS = [
         f" (SELECT 1 FROM {p} y WHERE y.{i} = x.{k})"
         for c, k, p, i in _KEYS
     )
+    + f""" UNION ALL SELECT 'appointments', 'slot_id', 'slots', count(*)
+      FROM ({roles.APPOINTMENTS_SQL}) a WHERE slot_id IS NOT NULL AND NOT EXISTS
+      (SELECT 1 FROM part WHERE p_partkey = slot_id)"""
 )
 def referential_audit(t: Tables) -> DataFrame:
+    """Declared keys of the given tables, and the key that appointments only rely on: their
+    slots, here the parts."""
     tables = {
         name: getattr(t, name) for child, _, parent, _ in _KEYS for name in (child, parent)
     }
     for _, _, parent, key in _KEYS:
         tables[parent] = tables[parent].withColumn("id", F.col(key))
-    return quality.orphan_counts(tables, [(c, k, p) for c, k, p, _ in _KEYS])
+    tables["appointments"] = roles.appointments(t)
+    tables["slots"] = t.part.select(F.col("p_partkey").alias("id"))
+    keys = [(c, k, p) for c, k, p, _ in _KEYS] + UNDECLARED_KEYS
+    return quality.orphan_counts(tables, keys)
 
 
 @query("""
@@ -385,10 +394,10 @@ def missing_items(t: Tables) -> DataFrame:
 
 # The patterns of `text.PHI_PATTERNS` as the SQL writes them.
 _PHI = {
-    "ssn": "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b",
-    "phone": "\\b[0-9]{3}-[0-9]{3}-[0-9]{4}\\b",
+    "ssn": "\\b(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})\\b",
+    "phone": "(?:\\([0-9]{3}\\) ?|\\b[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}\\b",
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}",
-    "dob": "\\b(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]\\b",
+    "dob": "\\b(?:19|20)[0-9]{2}(?:-[01][0-9]-|[01][0-9])[0-3][0-9]\\b",
 }
 
 
@@ -409,7 +418,7 @@ def phi_scan(t: Tables) -> DataFrame:
 @query(f"""
     SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
              '{_PHI["email"]}', '[email]', 'g'),
-             '\\b[0-9]{{3}}-[0-9]{{2}}-([0-9]{{4}})\\b', '•••-••-\\1', 'g'),
+             '\\b(?:[0-9]{{3}}-[0-9]{{2}}-|[0-9]{{5}})([0-9]{{4}})\\b', '•••-••-\\1', 'g'),
              '{_PHI["phone"]}', '[phone]', 'g'),
              '{_PHI["dob"]}', '[date]', 'g') AS text
     FROM documents""")

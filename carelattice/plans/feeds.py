@@ -18,7 +18,7 @@ def _log_lines(t: Tables) -> DataFrame:
     old = F.col("event_id") % 2 == 0
     at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     answer = F.concat(
-        F.lit("POST /intake 201 patient_id="), F.col("user_id"), F.lit(" elapsed="), F.col("value"),
+        F.lit("POST /intake 201 patient_id="), F.col("user_id") + 3_000_000_000, F.lit(" elapsed="), F.col("value"),
         F.lit("s"),
     )
     request = F.concat(F.lit('POST /intake body={"p": '), F.col("props"), F.lit("}"))
@@ -48,7 +48,7 @@ def _log_lines(t: Tables) -> DataFrame:
            CASE event_type WHEN 'signup' THEN 201 WHEN 'view' THEN 200 END AS status,
            round(CASE event_type WHEN 'signup' THEN value WHEN 'view' THEN value / 1000 END, 9)
              AS elapsed_s,
-           CASE event_type WHEN 'signup' THEN CAST(user_id AS INTEGER) END AS patient_id,
+           CASE event_type WHEN 'signup' THEN user_id + 3000000000 END AS patient_id,
            CASE WHEN event_type IN ('purchase', 'error') THEN '{{"p": ' || props || '}}' END AS body
     FROM events""")
 def app_log(t: Tables) -> DataFrame:
@@ -70,7 +70,7 @@ def app_log(t: Tables) -> DataFrame:
           WINDOW w AS (PARTITION BY user_id ORDER BY moment, status NULLS FIRST, props, value))
     SELECT 'log' || user_id AS source, moment AS answered_at,
            CASE WHEN prev_props IS NOT NULL THEN prev_at END AS requested_at,
-           '{"p": ' || prev_props || '}' AS request_body, CAST(user_id AS INTEGER) AS patient_id,
+           '{"p": ' || prev_props || '}' AS request_body, user_id + 3000000000 AS patient_id,
            value AS elapsed_s
     FROM p WHERE status = 201""")
 def pair_intake(t: Tables) -> DataFrame:

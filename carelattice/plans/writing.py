@@ -57,7 +57,10 @@ def intake_rejected(t: Tables) -> DataFrame:
 def _fanout(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     valid, _ = writes.validate_intake(_payloads(t))
     as_of = F.lit("2024-01-01").cast("timestamp_ntz")
-    return writes.intake_fanout(valid, roles.patients(t), ["payload_id"], as_of)
+    signed = t.events.select(F.col("event_id").alias("id"))
+    return writes.intake_fanout(
+        valid, roles.patients(t), ["payload_id"], as_of, roles.coverages(t), signed
+    )
 
 
 @query(f"""
@@ -69,19 +72,22 @@ def intake_patients(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT patient_id, CAST(c_custkey AS VARCHAR) AS member_id, 'unknown' AS status
+    SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY patient_id) AS id,
+           patient_id, CAST(c_custkey AS VARCHAR) AS member_id, 'unknown' AS status
     FROM ({_VALID_SQL}) v WHERE c_acctbal > 0""")
 def intake_coverages(t: Tables) -> DataFrame:
-    return _fanout(t)[1].select("patient_id", "member_id", "status")
+    return _fanout(t)[1].select("id", "patient_id", "member_id", "status")
 
 
 @query(f"""
-    SELECT patient_id, unnest(CASE WHEN c_nationkey % 2 = 0 THEN ['npp_ack', 'roi_consent']
+    SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY patient_id, position) AS id,
+           patient_id, kind FROM (
+    SELECT patient_id, unnest(range(2)) AS position, unnest(CASE WHEN c_nationkey % 2 = 0 THEN ['npp_ack', 'roi_consent']
                                    WHEN c_nationkey % 5 = 0 THEN []
                                    ELSE ['npp_ack', 'treatment_consent'] END) AS kind
-    FROM ({_VALID_SQL}) v""")
+    FROM ({_VALID_SQL}) v) x WHERE kind IS NOT NULL""")
 def intake_consents(t: Tables) -> DataFrame:
-    return _fanout(t)[2].select("patient_id", "kind")
+    return _fanout(t)[2].select("id", "patient_id", "kind")
 
 
 def _bookings(t: Tables) -> DataFrame:
@@ -182,7 +188,7 @@ def _roi_calls(t: Tables) -> tuple[DataFrame, DataFrame]:
         .alias("recipient"),
         F.lit("attorney").alias("recipient_type"),
     )
-    return writes.create_roi(asked, roles.patients(t))
+    return writes.create_roi(asked, roles.patients(t), roles.roi_requests(t), ["call_id"])
 
 
 _CREATE_ROI_SQL = f"""
@@ -193,10 +199,12 @@ _CREATE_ROI_SQL = f"""
 
 
 @query(f"""
-    SELECT call_id, patient_id, 'pending' AS status FROM ({_CREATE_ROI_SQL}) x
+    SELECT (SELECT max(event_id) FROM events WHERE event_type = 'signup')
+             + row_number() OVER (ORDER BY call_id) AS id,
+           call_id, patient_id, 'pending' AS status FROM ({_CREATE_ROI_SQL}) x
     WHERE reject_reason IS NULL""")
 def create_roi(t: Tables) -> DataFrame:
-    return _roi_calls(t)[0].select("call_id", "patient_id", "status")
+    return _roi_calls(t)[0].select("id", "call_id", "patient_id", "status")
 
 
 @query(f"""
@@ -211,7 +219,7 @@ def _fulfil(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("request_id")
     )
     at = F.lit("2024-02-01").cast("timestamp_ntz")
-    return writes.fulfill_roi(calls, roles.roi_requests(t), at)
+    return writes.fulfill_roi(calls, roles.roi_requests(t), at, roles.disclosures(t), ["call_id"])
 
 
 @query(f"""
@@ -223,10 +231,12 @@ def fulfill_roi(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT o_orderkey AS call_id, patient_id, r.id AS roi_request_id, recipient AS disclosed_to
+    SELECT (SELECT max(event_id) FROM events WHERE event_type = 'purchase')
+             + row_number() OVER (ORDER BY o_orderkey) AS id,
+           o_orderkey AS call_id, patient_id, r.id AS roi_request_id, recipient AS disclosed_to
     FROM orders JOIN ({roles.ROI_SQL}) r ON r.id = o_custkey""")
 def fulfill_disclosures(t: Tables) -> DataFrame:
-    return _fulfil(t)[1].select("call_id", "patient_id", "roi_request_id", "disclosed_to")
+    return _fulfil(t)[1].select("id", "call_id", "patient_id", "roi_request_id", "disclosed_to")
 
 
 def _messages(t: Tables) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _TYPES = {
-    "int": T.IntegerType(),
-    "long": T.LongType(),
+    "id": T.LongType(),
     "text": T.StringType(),
     "bool": T.BooleanType(),
     "ts": T.TimestampType(),
@@ -14,7 +13,7 @@ _TYPES = {
 
 
 def _table(spec: str) -> T.StructType:
-    """``"id int!, name text"`` -> StructType; ``!`` marks NOT NULL."""
+    """``"id id!, name text"`` -> StructType; ``!`` marks NOT NULL."""
     fields = []
     for part in spec.split(","):
         name, kind = part.split()
@@ -25,43 +24,43 @@ def _table(spec: str) -> T.StructType:
 # Table columns, in table order.
 TABLES: dict[str, T.StructType] = {
     "users": _table(
-        "id int!, username text!, password_hash text!, full_name text, role text!,"
+        "id id!, username text!, password_hash text!, full_name text, role text!,"
         " is_active bool!, last_login_at ts, created_at ts!"
     ),
     "patients": _table(
-        "id int!, mrn text, name text!, dob text, ssn text, gender text, address text,"
+        "id id!, mrn text, name text!, dob text, ssn text, gender text, address text,"
         " phone text, email text, notes text, created_via text, created_at ts!"
     ),
     "insurance_coverages": _table(
-        "id int!, patient_id int!, payer_name text, member_id text, group_number text,"
+        "id id!, patient_id id!, payer_name text, member_id text, group_number text,"
         " plan_type text, status text, verified_at ts, created_at ts!"
     ),
-    "providers": _table("id int!, name text!, specialty text, location text"),
+    "providers": _table("id id!, name text!, specialty text, location text"),
     "slots": _table(
-        "id int!, provider_id int, location text, start_at ts!, end_at ts, status text!"
+        "id id!, provider_id id, location text, start_at ts!, end_at ts, status text!"
     ),
     "appointments": _table(
-        "id int!, patient_id int!, slot_id int!, provider text, reason text, location text,"
+        "id id!, patient_id id!, slot_id id!, provider text, reason text, location text,"
         " scheduled_for ts, status text!, created_at ts!"
     ),
     "encounters": _table(
-        "id int!, patient_id int!, encounter_type text, provider text, reason text,"
+        "id id!, patient_id id!, encounter_type text, provider text, reason text,"
         " location text, status text, summary text, allergies text, medications text,"
         " occurred_at ts!"
     ),
     "records": _table(
-        "id int!, encounter_id int!, patient_id int!, kind text, title text, body text,"
+        "id id!, encounter_id id!, patient_id id!, kind text, title text, body text,"
         " status text, reference_range text, created_at ts!"
     ),
-    "consents": _table("id int!, patient_id int!, kind text, signed_at ts!"),
-    "audit_logs": _table("id int!, actor text, message text, created_at ts!, deleted_at ts"),
+    "consents": _table("id id!, patient_id id!, kind text, signed_at ts!"),
+    "audit_logs": _table("id id!, actor text, message text, created_at ts!, deleted_at ts"),
     "roi_requests": _table(
-        "id int!, patient_id int!, requested_by text, recipient text, recipient_type text,"
+        "id id!, patient_id id!, requested_by text, recipient text, recipient_type text,"
         " purpose text, date_range_start text, date_range_end text, status text!,"
         " created_at ts!"
     ),
     "disclosures": _table(
-        "id int!, patient_id int!, roi_request_id int, disclosed_to text, disclosed_at ts!"
+        "id id!, patient_id id!, roi_request_id id, disclosed_to text, disclosed_at ts!"
     ),
 }
 
@@ -103,6 +102,9 @@ FOREIGN_KEYS: list[tuple[str, str, str]] = [
     ("disclosures", "roi_request_id", "roi_requests"),
 ]
 
+# A key that the application relies on without declaring it.
+UNDECLARED_KEYS: list[tuple[str, str, str]] = [("appointments", "slot_id", "slots")]
+
 # The documented values of the open-string enum columns.
 ENUM_DOMAINS: dict[tuple[str, str], list[str]] = {
     ("patients", "created_via"): ["self_service", "front_desk"],

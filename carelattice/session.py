@@ -24,6 +24,8 @@ def build_session(app_name: str = "carelattice", master: str | None = None, **co
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # A JSON object that repeats a key means its last value.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -41,7 +43,7 @@ def work_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _local_folders:
         _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-")

@@ -10,11 +10,11 @@ from carelattice import schemas
 
 # Columns of the older CSV snapshots, in file order.
 CSV_SNAPSHOTS = {
-    "patients": "id int, name string, dob string, ssn string, address string,"
+    "patients": "id bigint, name string, dob string, ssn string, address string,"
     " created_via string, created_at timestamp",
-    "encounters": "patient_id int, encounter_type string, provider string, summary string,"
+    "encounters": "patient_id bigint, encounter_type string, provider string, summary string,"
     " allergies string, medications string, occurred_at timestamp",
-    "appointments": "id int, patient_id int, slot_id int, status string, created_at timestamp",
+    "appointments": "id bigint, patient_id bigint, slot_id bigint, status string, created_at timestamp",
 }
 
 _HAR = (
@@ -23,8 +23,8 @@ _HAR = (
     " response struct<status int, statusText string, comment string>>>>"
 )
 _GOLDSET = (
-    "description string, cases array<struct<query string, expected_patient_id int,"
-    " expected_answer string, cites_records array<int>>>"
+    "description string, cases array<struct<query string, expected_patient_id bigint,"
+    " expected_answer string, cites_records array<bigint>>>"
 )
 
 
@@ -159,7 +159,7 @@ def parse_app_log(lines: DataFrame) -> DataFrame:
         group("_request", 1, 3).alias("path"),
         group("_request", 2, 3).cast("int").alias("status"),
         F.coalesce(number(" elapsed=([0-9.]+)s").try_cast("double"), millis).alias("elapsed_s"),
-        number(" patient_id=([0-9]{1,9})").cast("int").alias("patient_id"),
+        number(" patient_id=([0-9]+)(?![0-9A-Za-z])").try_cast("bigint").alias("patient_id"),
         "body",
         "message",
     )

@@ -18,13 +18,20 @@ def _control_id() -> Column:
     return F.when(control != "", control).otherwise(F.col("message_id").cast("string"))
 
 
+def _sender() -> Column:
+    """Sending application and facility of the header segment: a control id is theirs alone."""
+    headers = F.filter("_segments", lambda s: hl7.segment_name(s) == "MSH")
+    header = F.get(headers, F.lit(0))
+    return F.array(*[F.coalesce(F.get(header, F.lit(i)), F.lit("")) for i in (2, 3)])
+
+
 def stream_records(
     messages: DataFrame, repeat_window: str = "1 hour", spread: int = 16
 ) -> DataFrame:
     """Feed of messages (`message_id`, `message`, `arrived_at`) -> records with items.
 
-    A control id seen again within `repeat_window` is a resent message and is dropped:
-    first within each of `spread` parts of its copies, then among what is left, so one
+    A control id of the same sender seen again within `repeat_window` is a resent message
+    and is dropped: first within each of `spread` parts of its copies, then among what is left, so one
     message resent very often does not reach one task in full.
     """
     accepted = validate_hl7(messages).where(F.col("reject_reason").isNull()).drop("reject_reason")
@@ -32,11 +39,12 @@ def stream_records(
     once = (
         with_segments(accepted)
         .withColumn("control_id", _control_id())
+        .withColumn("_sender", _sender())
         .withColumn("_part", part)
         .withWatermark("arrived_at", repeat_window)
-        .dropDuplicatesWithinWatermark(["control_id", "_part"])
-        .dropDuplicatesWithinWatermark(["control_id"])
-        .drop("_part")
+        .dropDuplicatesWithinWatermark(["_sender", "control_id", "_part"])
+        .dropDuplicatesWithinWatermark(["_sender", "control_id"])
+        .drop("_part", "_sender")
     )
     return records_of(once, with_items=True)
 

@@ -134,3 +134,21 @@ def test_breach_scale(spark, table):
     ]
     more = affected.unionByName(table("incident_id int, patient_id long", (1, 9_999)))
     assert compliance.breach_scale(more, incidents).where("notify_media").count() == 1
+
+
+def test_sensitive_values_in_other_notations(table):
+    text = "Call (310) 555-0147 or 310.555.0148, ssn 987654320, born 19520730 or 1952-07-30."
+    masked = rows(compliance.redact_phi(table("id int, t string", (1, text)), ["t"]), "t")
+    assert masked == [("Call [phone] or [phone], ssn •••-••-4320, born [date] or [date].",)]
+
+
+def test_long_ids_stay_whole(table):
+    lines = table(
+        "id int, actor string, message string, created_at timestamp, deleted_at timestamp",
+        (1, "svc", "GET /patients/9223372036854775807/records 200", ts("2025-01-01"), None),
+        (2, "svc", "GET /patients/3000000000 200", ts("2025-01-01"), None),
+    )
+    at = F.lit("2025-01-02").cast("timestamp")
+    assert rows(compliance.chart_access_report(lines, at), "patient_id") == [
+        (3_000_000_000,), (9_223_372_036_854_775_807,),
+    ]

@@ -103,14 +103,15 @@ def collect(stream, name):
 def test_hl7_feed(spark, tmp_path):
     feed = tmp_path / "feed"
     feed.mkdir()
-    resent = SAMPLE.replace("M9001", "M9002")
-    other = SAMPLE.replace("MSG00007", "MSG00008").replace("M9001", "M9003")
-    for name, text in (("a", SAMPLE), ("b", resent), ("c", other), ("d", "PID|1||M1"), ("e", "PID|1||M2"), ("f", "  ")):
+    resent = SAMPLE.replace("77-K", "78-K")
+    other = SAMPLE.replace("X-311", "X-312").replace("77-K", "79-K")
+    elsewhere = SAMPLE.replace("|NORTH|DESK", "|SOUTH|DESK").replace("77-K", "80-K")
+    for name, text in (("a", SAMPLE), ("b", resent), ("c", other), ("g", elsewhere), ("d", "PID|1||M1"), ("e", "PID|1||M2"), ("f", "  ")):
         (feed / f"{name}.hl7").write_text(text)
     records = collect(feeds.stream_records(readers.stream_hl7(spark, str(feed))), "hl7_records")
     found = rows(records, "mrn", "medications")
-    assert len(found) == 4 and {m.split("^")[0] for m, _ in found} in (
-        {"M9001", "M9003", "M1", "M2"}, {"M9002", "M9003", "M1", "M2"},
+    assert len(found) == 5 and {m.split("^")[0] for m, _ in found} in (
+        {"77-K", "79-K", "80-K", "M1", "M2"}, {"78-K", "79-K", "80-K", "M1", "M2"},
     )
     rejects = collect(feeds.stream_rejects(readers.stream_hl7(spark, str(feed))), "hl7_rejects")
     assert rows(rejects, "reject_reason") == [("empty",)]

@@ -169,3 +169,30 @@ def test_fulfill_roi(table):
         (1, 5, 1, "a"), (2, 6, 3, "c"), (3, 6, 3, "c"),
     ]
     assert rows(unknown, "call_id", "request_id") == [(4, 50)]
+
+
+def test_a_repeated_request_is_decided_once(table):
+    asked = table(
+        "request_id int, requested_at timestamp, patient_id int, slot_id int",
+        (1, ts("2025-01-01 10:00:00"), 5, 8), (1, ts("2025-01-01 10:05:00"), 5, 8),
+        (2, ts("2025-01-01 10:01:00"), 6, 8),
+    )
+    none_held = table("id int, slot_id int, status string")
+    found = rows(writes.resolve_bookings(asked, none_held), "request_id", "requested_at", "outcome")
+    assert [(r[0], r[2]) for r in found] == [(1, "confirmed"), (1, "repeated"), (2, "slot_taken")]
+
+
+def test_created_rows_get_ids(table, spark):
+    payloads = table(
+        "payload_id int, payload string",
+        (1, '{"demographics": {"name": "Ife"}, "insurance": {"member_id": "m"}}'),
+        (2, '{"demographics": {"name": "Eva"}, "consents": ["npp_ack"]}'),
+    )
+    valid, _ = writes.validate_intake(payloads)
+    used = table("id long", (40,))
+    people, coverages, consents = writes.intake_fanout(
+        valid, used, ["payload_id"], F.lit("2025-01-01").cast("timestamp"), used, used
+    )
+    assert rows(people, "id", "name") == [(41, "Ife"), (42, "Eva")]
+    assert rows(coverages, "id", "patient_id") == [(41, 41)]
+    assert rows(consents, "id", "patient_id") == [(41, 41), (42, 41), (43, 42)]
