@@ -2,10 +2,13 @@
 
 A window over a key sends all of the key's rows to one task. Here the rows per key
 are counted first (one narrow aggregation). Where no key is oversized, a plain window
-does the work. Otherwise the few heaviest keys are cut into runs at values sampled
-from their own order columns; the window then works per (key, run), and a small
+does the work. Otherwise every oversized key is cut into as many runs as its rows ask for, at
+values sampled from its own order columns; the window then works per (key, run), and a small
 per-run summary carries counts, sums and last rows over the run borders. Results
 equal the plain window's: the sample only decides where the cuts fall.
+
+There are at most rows / SPLIT_ABOVE oversized keys and about four times as many runs: this is
+the size of all that is broadcast here, a few millionths of the table.
 """
 
 from __future__ import annotations
@@ -13,14 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keys below this many rows are left whole.
+from carelattice.session import cut_lineage
+
+# Keys below this many rows are left whole; larger ones are cut into runs of about a quarter.
 SPLIT_ABOVE = 1_000_000
-# Rows of a table numbered as a whole that one task takes.
-NUMBERED_RUN = 100_000
-# At most this many keys are cut: any other key holds less than 1/1000 of the rows.
-MAX_HOT_KEYS = 1_000
-# Runs per cut key, and sampled positions per run.
-RUNS = 64
+# Sampled positions per run.
 SAMPLES_PER_RUN = 4
 
 
@@ -34,9 +34,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def _cuts(positions: Column, runs: int) -> Column:
+def _cuts(positions: Column, runs: Column) -> Column:
     """Every n-th of the sorted sampled positions, so that about `runs` remain."""
-    step = F.greatest(F.lit(1), F.floor(F.size(positions) / F.lit(runs)).cast("int"))
+    step = F.greatest(F.lit(1), F.floor(F.size(positions) / runs).cast("int"))
     return F.filter(positions, lambda p, i: (i + 1) % step == 0)
 
 
@@ -64,17 +64,16 @@ class Ordered:
             df.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("_rows"))
             .where(F.col("_rows") >= split_above)
-            .orderBy(F.desc("_rows"))
-            .limit(MAX_HOT_KEYS)
+            .withColumn("_runs", F.ceil(F.col("_rows") * 4 / split_above))
         )
-        found = hot.collect()
-        if found:
-            self._cut(df.sparkSession.createDataFrame(found, hot.schema))
+        hot = cut_lineage(hot, "hot-keys")
+        if not hot.isEmpty():
+            self._cut(hot)
 
     def _cut(self, hot: DataFrame) -> None:
         """Add `_run`, and `_split` for the keys that are cut."""
         position = F.struct(*self.order)
-        rate = F.greatest(F.lit(1), F.floor(F.col("_rows") / F.lit(RUNS * SAMPLES_PER_RUN)))
+        rate = F.greatest(F.lit(1), F.floor(F.col("_rows") / (F.col("_runs") * SAMPLES_PER_RUN)))
         cuts = (
             null_safe_join(
                 self._df.select(*self.keys, position.alias("_position")),
@@ -82,8 +81,11 @@ class Ordered:
             )
             .where(F.pmod(F.xxhash64("_position"), rate) == 0)
             .groupBy(*self.keys)
-            .agg(F.array_sort(F.collect_set("_position")).alias("_sampled"))
-            .select(*self.keys, _cuts(F.col("_sampled"), RUNS).alias("_cuts"))
+            .agg(
+                F.array_sort(F.collect_set("_position")).alias("_sampled"),
+                F.max("_runs").alias("_runs"),
+            )
+            .select(*self.keys, _cuts(F.col("_sampled"), F.col("_runs")).alias("_cuts"))
         )
         beyond = (lambda c: c > position) if self.descending else (lambda c: c <= position)
         self._df = null_safe_join(self._df, F.broadcast(cuts), self.keys, "left").select(
@@ -106,8 +108,8 @@ class Ordered:
     def _carry(self, df: DataFrame, name: str, per_run: Column, over_runs) -> DataFrame:
         """Add what the runs before a row's own run amount to; null where there are none.
 
-        The summary has a row per cut key and run, at most MAX_HOT_KEYS x 2 RUNS, so
-        it is broadcast.
+        The summary has a row per cut key and run, about 4 rows / SPLIT_ABOVE in all,
+        so it is broadcast.
         """
         if not self._is_cut:
             return df.withColumn(name, F.lit(None))
@@ -185,43 +187,27 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     )
 
 
-def dense_numbers(
-    df: DataFrame, order: list[str], name: str, run_rows: int = NUMBERED_RUN, max_runs: int = 256
-) -> DataFrame:
+def dense_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Number all rows from 1 in `order`, without gaps.
 
-    Up to `run_rows` rows are numbered by one window. A larger table is cut into runs
-    at sampled positions; row numbers are local to a run and shifted by the sizes of
-    the runs before it, so no task sorts the whole table.
+    The rows are dealt to ranges of `order`, sorted there and written once with their place
+    in the range; the sizes of the ranges before shift the places. No task sees the whole table,
+    and as many ranges are made as the session has shuffle partitions.
     """
-    total = df.count()
-    if total <= run_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    runs = min(max_runs, -(-total // run_rows))
-    position = F.struct(*order)
-    cuts = (
-        df.select(position.alias("_position"))
-        .where(F.pmod(F.xxhash64("_position"), F.lit(max(1, total // (runs * SAMPLES_PER_RUN)))) == 0)
-        .agg(F.array_sort(F.collect_set("_position")).alias("_sampled"))
-        .select(_cuts(F.col("_sampled"), runs))
-        .scalar()
+    # The lower 33 bits of a monotonic id are the row's place in its partition.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = cut_lineage(
+        df.repartitionByRange(*[F.col(c) for c in order])
+        .sortWithinPartitions(*order)
+        .select("*", F.spark_partition_id().alias("_range"), place.alias("_place")),
+        "numbered",
     )
-    cut = df.withColumn("_cuts", cuts).select(
-        *df.columns, F.size(F.filter("_cuts", lambda c: c <= position)).alias("_run")
-    )
-    sizes = cut.groupBy("_run").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_run",
-        F.sum("_size")
-        .over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_before"),
+        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
     )
-    local = F.row_number().over(Window.partitionBy("_run").orderBy(*order))
-    return (
-        cut.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_run", "left")
-        .select(
-            *df.columns,
-            (F.col("_local") + F.coalesce("_before", F.lit(0).cast("long"))).alias(name),
-        )
+    # One row for each range.
+    return ranged.join(F.broadcast(offsets), "_range").select(
+        *df.columns, (F.col("_place") + F.col("_before") + 1).cast("long").alias(name)
     )

@@ -94,6 +94,27 @@ def _streamed(t: Tables, name: str) -> DataFrame:
     )
 
 
+def _in_parts(t: Tables, parts: int = 3) -> DataFrame:
+    """The events as a stream of `parts` micro-batches or more, in order of their time."""
+    path = new_path(t.spark, "parts")
+    files = 2
+    bounds = t.events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    low, high = bounds.agg(F.min("at"), F.max("at")).first()
+    step = (high - low) // parts + 1 if low is not None else 1
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) / step)
+    for k in range(parts):
+        t.events.where(part == k).repartition(files).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+class _Parts(Tables):
+    """The events as a stream in several micro-batches."""
+
+    def __init__(self, t: Tables):
+        super().__init__(t.spark, t.folder)
+        self.events = _in_parts(t)
+
+
 def _run_to_table(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     """Run an append stream over all that is there and read what it wrote."""
     path = new_path(t.spark, label)
@@ -152,7 +173,7 @@ def stream_latency(t: Tables) -> DataFrame:
 
 @query(f"SELECT request_id, slot_id, outcome FROM ({writing._OUTCOMES_SQL}) x")
 def stream_bookings(t: Tables) -> DataFrame:
-    requests = writing._bookings(_Streams(t)).withColumn(
+    requests = writing._bookings(_Parts(t)).withColumn(
         "requested_at", F.col("requested_at").cast("timestamp")
     )
     path = new_path(t.spark, "bookings")
@@ -165,7 +186,7 @@ def stream_bookings(t: Tables) -> DataFrame:
 
 @query(auditing.ID_WALK_SQL)
 def stream_id_walk(t: Tables) -> DataFrame:
-    events = roles.access_events(_Streams(t)).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = roles.access_events(_Parts(t)).withColumn("ts", F.col("ts").cast("timestamp"))
     reads = compliance.as_reads(events, "user_id", "ts", "event_id", "k")
     path = new_path(t.spark, "walks")
     stateful.start_walk_alerts(reads, path, f"{path}/checkpoint").awaitTermination()

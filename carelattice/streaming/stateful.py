@@ -54,7 +54,11 @@ def start_bookings(
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         prior = read_batches(batch.sparkSession, path, schema, before=batch_id)
-        write_batch(booking_outcomes(batch, prior, appointments), path, batch_id)
+        batch.persist()  # read several times
+        try:
+            write_batch(booking_outcomes(batch, prior, appointments), path, batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(decide)
@@ -94,6 +98,13 @@ def start_walk_alerts(
     schema = _READS.format(**_types(reads, id="principal", seq="seq", key="id"))
 
     def follow(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read several times
+        try:
+            walk(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def walk(batch: DataFrame, batch_id: int) -> None:
         earlier = read_batches(batch.sparkSession, f"{path}/state", schema, before=batch_id)
         full = max(batch_id - 1, 0) // FULL_STATE_EVERY * FULL_STATE_EVERY
         state = _last_run(earlier.where(F.col("batch_id") >= full), [F.desc("batch_id")]).drop(
