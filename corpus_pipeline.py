@@ -34,8 +34,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their SimHash the one with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of documents linked by their SimHash, or alike in 0.8 of their five-word shingles, the one
+    with the smallest id stays."""
+    found = simhash.similar_documents(docs)
     return docs.join(
         found.filter("doc_id != component_id").select("doc_id"), "doc_id", "left_anti"
     ).select(*docs.columns)

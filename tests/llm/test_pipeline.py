@@ -8,11 +8,57 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from carelattice.llm import byte_bpe
+from carelattice.llm import byte_bpe, simhash
 from tests.llm.test_dedup import simhash_model
 from tests.llm.test_texts import contamination_model
 
 
+def shingles(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def near_model(texts):
+    """Components by 4 bits of the fingerprints or by 0.8 of the five-word shingles."""
+    component = {i: c for i, _, c in simhash_model(texts)}
+    sets = [(i, shingles(t)) for i, t in texts]
+    links = [
+        (i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and len(a & b) >= 0.8 * len(a | b)
+    ]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(component[i], component[j])
+            for old in {component[i], component[j]} - {low}:
+                component = {n: low if c == old else c for n, c in component.items()}
+                changed = True
+    return component, links
+
+
+def test_near_copies_of_either_rule(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = []
+    for group in range(30):
+        words = rng.choices(vocabulary, k=rng.randint(120, 300))
+        for copy in range(3):
+            own = list(words)
+            for _ in range(copy * len(words) // 100):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append((10 * group + copy, " ".join(own)))
+    texts += [(1_000, ""), (1_001, " "), (1_002, "one"), (1_003, "two words")]
+    component, links = near_model(texts)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert len(links) > 40 and all(found.get(i, i) >= component[i] for i, _ in texts)
+    joined = sum(found.get(i, i) == found.get(j, j) for i, j in links)
+    assert joined >= 0.95 * len(links)
+    of_two = {i: c for i, c in found.items() if i < 1_000}
+    assert all(i // 10 == c // 10 for i, c in of_two.items())
+    assert simhash.similar_documents(frame.limit(0)).count() == 0
+
+
 def test_stages_in_turn(spark, tmp_path):
     rng = random.Random(12)
     vocabulary = [f"{a}{b}" for a in ("mo", "ra", "tel", "vi", "son", "ka") for b in ("ka", "lum", "nes", "dor", "pit", "e")]
@@ -29,7 +75,8 @@ def test_stages_in_turn(spark, tmp_path):
     for k in range(20):
         i = 8 * k + 3
         texts.append((1_000 + k, texts[i][1]))
-        words = texts[i + 2][1].split()
+        words = texts[i + 2][1].split() + [f"u{k}n{j}" for j in range(200)]
+        texts.append((4_000 + k, " ".join(words)))
         texts.append((2_000 + k, " ".join([*words, "x"])))
     texts += [(3_000, None), (3_001, ""), (3_002, texts[1][1]), (3_002, texts[1][1]), (None, "nameless text")]
     folder = str(tmp_path)
@@ -45,7 +92,7 @@ def test_stages_in_turn(spark, tmp_path):
         if i is not None:
             keep[t or ""] = max(i, keep.get(t or "", -1))
     left = sorted({(i, t or "") for i, t in left if i is not None and keep[t or ""] == i})
-    component = {i: c for i, _, c in simhash_model(left)}
+    component, _ = near_model(left)
     left = [(i, t) for i, t in left if component[i] == i]
     dirty = {r[0] for r in contamination_model(left, items) if r[5]}
     left = [(i, t) for i, t in left if i not in dirty] + [(None, "nameless text")]
