@@ -204,8 +204,14 @@ def near_links(values: DataFrame, value: str, max_distance: int) -> DataFrame:
     Values that share an edit pattern are all linked to the one least deleted from: any
     two of them that are near enough are also near enough to that one. So every pattern
     gives one link per value, never the pairs of its group.
+
+    Patterns are kept as 64-bit hashes and written once; the edit distance confirms each link.
     """
-    patterns = _spread(values).select("block", "id", F.inline(_edit_patterns(F.col(value), max_distance)))
+    unfolded = _spread(values).select("block", "id", F.inline(_edit_patterns(F.col(value), max_distance)))
+    patterns = cut_lineage(
+        unfolded.select("block", "id", F.xxhash64("_pattern").alias("_pattern"), "_wild", "_deleted"),
+        "edit-patterns",
+    )
     group = ["block", "_pattern", "_wild"]
     leads = (
         patterns.groupBy(*group)
@@ -214,10 +220,19 @@ def near_links(values: DataFrame, value: str, max_distance: int) -> DataFrame:
     )
     lead = F.col("_lead.id")
     edits = F.col("_wild") + F.col("_deleted") + F.col("_lead._deleted")
-    return (
+    links = (
         patterns.join(leads, group)
         .where((edits <= max_distance) & (F.col("id") != lead))
-        .select(F.greatest("id", lead).alias("id"), F.least("id", lead).alias("lead_id"))
+        .select("block", F.greatest("id", lead).alias("id"), F.least("id", lead).alias("lead_id"))
+        .distinct()
+    )
+    own = values.select("block", "id", F.col(value).alias("_own"))
+    other = values.select("block", F.col("id").alias("lead_id"), F.col(value).alias("_other"))
+    return (
+        links.join(own, ["block", "id"])
+        .join(other, ["block", "lead_id"])
+        .where(F.levenshtein("_own", "_other", max_distance) >= 0)
+        .select("id", "lead_id")
         .distinct()
     )
 

@@ -300,9 +300,9 @@ def exact_duplicates(t: Tables) -> DataFrame:
     SELECT p_brand, p_type, p_size, a.p_name AS value_a, b.p_name AS value_b,
            CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance
     FROM n a JOIN n b USING (p_brand, p_type, p_size)
-    WHERE a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 2""")
+    WHERE a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 3""")
 def near_values(t: Tables) -> DataFrame:
-    return identity.near_values(t.part, ["p_brand", "p_type", "p_size"], "p_name", 2)
+    return identity.near_values(t.part, ["p_brand", "p_type", "p_size"], "p_name", 3)
 
 
 def _people(t: Tables) -> DataFrame:
@@ -319,27 +319,26 @@ def _people(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH v AS (
+    WITH RECURSIVE v AS (
       SELECT c_nationkey, c_mktsegment, c_custkey AS id, c_name AS p, 0 AS w, 0 AS d FROM customer
-      UNION SELECT c_nationkey, c_mktsegment, c_custkey,
-             substr(c_name, 1, i - 1) || substr(c_name, i + 1), 0, 1
-      FROM customer, unnest(range(1, length(c_name) + 1)) AS u(i)
-      UNION SELECT c_nationkey, c_mktsegment, c_custkey,
-             substr(c_name, 1, i - 1) || '*' || substr(c_name, i + 1), 1, 0
-      FROM customer, unnest(range(1, length(c_name) + 1)) AS u(i)),
+      UNION
+      SELECT c_nationkey, c_mktsegment, id, substr(p, 1, i - 1) || wild || substr(p, i + 1),
+             w + length(wild), d + 1 - length(wild)
+      FROM v, unnest(range(1, length(p) + 1)) AS u(i), (VALUES (''), ('*')) AS e(wild)
+      WHERE w + d < 2 AND substr(p, i, 1) <> '*'),
     l AS (SELECT *, first_value(id) OVER g AS lead, first_value(d) OVER g AS lead_d FROM v
           WINDOW g AS (PARTITION BY c_nationkey, c_mktsegment, p, w ORDER BY d, id))
     SELECT DISTINCT greatest(id, lead) AS id, least(id, lead) AS lead_id, 'near_name' AS rule
-    FROM l WHERE id <> lead AND w + d + lead_d <= 1""")
+    FROM l WHERE id <> lead AND w + d + lead_d <= 2""")
 def match_links(t: Tables) -> DataFrame:
-    return identity.match_links(_people(t), max_distance=1)
+    return identity.match_links(_people(t))
 
 
 _CLUSTERS_SQL = """
     WITH RECURSIVE l AS (
       SELECT a.c_custkey AS lead_id, b.c_custkey AS id FROM customer a
       JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment
-       AND a.c_custkey < b.c_custkey AND levenshtein(a.c_name, b.c_name) <= 1),
+       AND a.c_custkey < b.c_custkey AND levenshtein(a.c_name, b.c_name) <= 2),
     edge AS (SELECT id AS a, lead_id AS b FROM l UNION ALL SELECT lead_id, id FROM l),
     reach AS (SELECT c_custkey AS a, c_custkey AS b FROM customer
               UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b)
@@ -347,7 +346,7 @@ _CLUSTERS_SQL = """
 
 
 def _clusters(t: Tables) -> DataFrame:
-    return identity.person_clusters(_people(t), identity.match_links(_people(t), max_distance=1))
+    return identity.person_clusters(_people(t), identity.match_links(_people(t)))
 
 
 @query(_CLUSTERS_SQL)
