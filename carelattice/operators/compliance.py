@@ -51,6 +51,10 @@ def _asked(roi_requests: DataFrame) -> DataFrame:
     )
 
 
+def _without_range() -> Column:
+    return F.col("_from").isNull() & F.col("_to").isNull()
+
+
 def _month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
@@ -60,7 +64,8 @@ def minimum_necessary_packet(roi_requests: DataFrame, records: DataFrame) -> Dat
 
     A request unfolds to the months of its range, open ends closed by the patient's
     first and last record, and meets the records on (patient, month). A patient with
-    many requests and many records so joins only what the ranges touch.
+    many requests and many records so joins only what the ranges touch. A record without a date
+    is inside a request without a range, and in no other.
     """
     day = F.to_date("created_at")
     dated = records.where(F.col("created_at").isNotNull()).withColumn("_month", _month(day))
@@ -74,11 +79,14 @@ def minimum_necessary_packet(roi_requests: DataFrame, records: DataFrame) -> Dat
             F.explode(F.sequence(_month(start), _month(end))).alias("_month"),
         )
     )
-    return (
+    inside = (
         dated.join(asked, ["patient_id", "_month"])
         .where(day.between(F.col("_from"), F.col("_to")))
         .select("request_id", *records.columns)
     )
+    whole = _asked(roi_requests).where(_without_range()).select("request_id", "patient_id")
+    undated = records.where(F.col("created_at").isNull()).join(whole, "patient_id")
+    return inside.unionByName(undated.select("request_id", *records.columns))
 
 
 def excess_release(
@@ -124,9 +132,9 @@ def excess_release(
         )
     )
     none = F.lit(0).cast("long")
-    until = F.coalesce("_until", "_dated", none)
+    until = F.coalesce("_until", F.when(F.col("_whole"), F.col("_released")), "_dated", none)
     return (
-        asked.select("request_id", "patient_id")
+        asked.select("request_id", "patient_id", _without_range().alias("_whole"))
         .join(totals, "patient_id", "left")
         .join(counted, "request_id", "left")
         .select(

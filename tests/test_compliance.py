@@ -152,3 +152,15 @@ def test_long_ids_stay_whole(table):
     assert rows(compliance.chart_access_report(lines, at), "patient_id") == [
         (3_000_000_000,), (9_223_372_036_854_775_807,),
     ]
+
+
+def test_undated_records_belong_to_requests_without_a_range(table):
+    asked = table(
+        "id int, patient_id int, date_range_start string, date_range_end string",
+        (1, 5, None, None), (2, 5, "2025-01-01", None),
+    )
+    held = table("id int, patient_id int, created_at timestamp", (8, 5, ts("2025-01-03")), (9, 5, None))
+    packet = compliance.minimum_necessary_packet(asked, held)
+    assert rows(packet, "request_id", "id") == [(1, 8), (1, 9), (2, 8)]
+    excess = compliance.excess_release(asked, held)
+    assert rows(excess, "request_id", "n_released", "n_in_range", "n_excess") == [(1, 2, 2, 0), (2, 2, 1, 1)]
