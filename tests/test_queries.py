@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as spark_entry
+from carelattice.plans.registry import QUERIES, SQL
 from tests.oracle import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,13 +23,14 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(SQL) <= set(spark_entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    df = spark_entry.queries()[name](spark, FOLDER)
-    found = differences(df, connection, spark_entry.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    found = differences(df, connection, SQL[name])
     if name in MAY_BE_EMPTY:
         found = [f for f in found if f != "no rows at all"]
     assert found == []
