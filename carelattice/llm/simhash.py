@@ -26,23 +26,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelattice.llm.arrowtext import flat_bytes, id_and_text, slabs
-from carelattice.llm.wordarrays import mixed
+from carelattice.llm.wordarrays import SpanHasher, lower_ascii, mixed, word_spans
 from carelattice.operators.identity import connected_components
 from carelattice.session import cut_lineage
 
 WORDS = 4
 DISTANCE = 4
 SEED = 42
-#: Fingerprints of a text's words for `similar_documents`, and the shingles it compares.
-VIEWS = 4
+#: Words of the shingles that `similar_documents` compares, and their Jaccard similarity.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
+#: Documents and shingles of the sample that says which shingles are frequent. It sets the order of
+#: the shingles only; pairs are complete in any order.
+_SAMPLE = 4_000
+_FREQUENT = 200_000
 _GROUPS = 8
 #: The grids: four of the eight groups each.
 _GRIDS = list(combinations(range(_GROUPS), _GROUPS - DISTANCE))
 #: Cells of more nodes give a spanning forest instead of single pairs.
 _SMALL_CELL = 24
 _SHINGLES = 200_000
+#: Bytes of a text's parity sketch.
+_SKETCH = 256
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Words are parted by ASCII white space.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[*b"\t\n\v\f\r "]] = False
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -262,115 +271,249 @@ def near_duplicates(
     return prints.join(answers, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _word_views(docs: DataFrame, views: int) -> DataFrame:
-    """doc_id, views: several fingerprints of each text's distinct words, each with hashes of its own.
+def _shingles(column: pa.Array, words: int, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the distinct word shingles, sorted by text and hash; a text with fewer
+    than `words` words has one, of them all."""
+    flat, borders = flat_bytes(column)
+    flat = lower_ascii(flat)
+    starts, ends = word_spans(flat, borders, _INSIDE)
+    hashes = np.append(hasher(flat, starts, ends), np.zeros(words, np.uint64))
+    first = np.searchsorted(starts, borders)
+    sizes = np.diff(first)
+    counts = np.where(sizes > 0, np.maximum(1, sizes - words + 1), 0)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    at = np.repeat(first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(len(text))
+    held = np.minimum(sizes, words)[text]
+    grams = held.astype(np.uint64)
+    for j in range(words):
+        grams = np.where(j < held, grams * _MULTIPLIER + hashes[at + j], grams)
+    grams = mixed(grams, np.zeros(1, np.uint64))
+    order = np.lexsort((grams, text))
+    grams, text = grams[order], text[order]
+    once = np.ones(len(grams), bool)
+    once[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
+    return grams[once], text[once]
+
+
+def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample hold, in ascending order, and their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for batch in slabs(batches, 2 << 20):
+            grams, _ = _shingles(batch.column(1), words, hasher)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["shingle"])
+
+    apart = max(1, texts.count() // _SAMPLE)
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(apart)) == 0)
+    found = (
+        sample.mapInArrow(run, "shingle bigint").groupBy("shingle").count().filter("count > 2")
+        .orderBy(F.desc("count"), "shingle").limit(_FREQUENT).toArrow()
+    )
+    shingles = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found.column("count").to_numpy().astype(np.int64)[order]
+
+
+def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """shingle, doc_id, place, size: the first shingles of each text in an order that all texts share,
+    seldom ones first. Texts that are similar have one of these in common."""
+    known, counts = _frequent(texts, words)
 
-    A word more or less moves them less than fingerprints of shingles: an edited word changes one
-    feature and not as many as a shingle has words.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = xxhash.xxh64_intdigest
+        hasher = SpanHasher()
         for batch in slabs(batches, 2 << 20):
-            flat, borders = flat_bytes(batch.column(1))
-            view = memoryview(flat)
-            hashes: list[int] = []
-            counts = np.zeros(batch.num_rows, np.int64)
-            for i, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)):
-                found = set(bytes(view[a:b]).lower().split())
-                counts[i] = len(found)
-                hashes += [hash_of(word, SEED) for word in found]
-            once = np.array(hashes, np.uint64)
-            prints = np.stack(
-                [_majority(mixed(once, np.array([k], np.uint64)), counts) for k in range(views)], 1
+            grams, text = _shingles(batch.column(1), words, hasher)
+            often = np.zeros(len(grams), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                often = np.where(known[at] == grams, counts[at], 0)
+            order = np.lexsort((grams, often, text))  # keeps the texts together
+            grams = grams[order]
+            sizes = np.bincount(text, minlength=batch.num_rows)
+            place = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[text]
+            # A similar text has at least this share of the shingles in common.
+            taken = place <= sizes[text] - np.ceil(similarity * sizes[text] - 1e-6)
+            ids = batch.column(0).to_numpy()[text[taken]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams[taken].view(np.int64)), pa.array(ids), pa.array(place[taken].astype(np.int32)),
+                 pa.array(sizes[text[taken]].astype(np.int32))],
+                ["shingle", "doc_id", "place", "size"],
             )
-            at = np.arange(0, views * batch.num_rows + 1, views, dtype=np.int32)
+
+    return texts.mapInArrow(run, "shingle bigint, doc_id bigint, place int, size int")
+
+
+def _shared(firsts: DataFrame) -> DataFrame:
+    """The rows of shingles that several texts have among their first ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, end = None, None  # the last row read, and the shingle of the last one given out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            shingles = rows.column(0).to_numpy()
+            same = shingles[1:] == shingles[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            keep[0] |= end is not None and shingles[0] == end
+            # Of the last row it isn't known yet whether the next has the same shingle.
+            held = rows.slice(len(shingles) - 1).to_batches()[0]
+            end = shingles[-1] if keep[-1] else None
+            yield from rows.slice(0, len(shingles) - 1).filter(pa.array(keep[:-1])).to_batches()
+        if held is not None and end is not None:
+            yield held
+
+    dealt = firsts.repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(run, firsts.schema)
+
+
+def _sketches(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id, sketch of the wanted texts: a bit for each bucket of hashes, set if it has an odd number
+    of the text's shingles. Sets differ in at least as many shingles as their sketches in bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for batch in slabs(batches, 1 << 20):
+            grams, text = _shingles(batch.column(1), words, hasher)
+            bucket = text * (8 * _SKETCH) + (grams % np.uint64(8 * _SKETCH)).astype(np.int64)
+            odd = np.bincount(bucket, minlength=8 * _SKETCH * batch.num_rows) & 1
+            bits = np.packbits(odd.astype(np.uint8).reshape(-1, 8 * _SKETCH), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(at, pa.array(prints.ravel().view(np.int64)))],
-                ["doc_id", "views"],
+                [batch.column(0), pa.array([row.tobytes() for row in bits], pa.binary())], ["doc_id", "sketch"]
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, views array<bigint>")
+    chosen = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    return chosen.mapInArrow(run, "doc_id bigint, sketch binary")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles: sorted distinct 32-bit hashes of the word shingles of the wanted texts."""
+def _shingle_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingles: sorted distinct 64-bit hashes of the word shingles of the wanted texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = xxhash.xxh32_intdigest
+        hasher = SpanHasher()
         for batch in slabs(batches, 2 << 20):
-            content = []
-            for text in batch.column(1):
-                parts = text.as_py().encode().lower().split()
-                shingles = {
-                    hash_of(b" ".join(parts[k : k + words]))
-                    for k in range(max(1, len(parts) - words + 1) if parts else 0)
-                }
-                content.append(np.sort(np.fromiter(shingles, np.uint32, len(shingles))).tobytes())
+            grams, text = _shingles(batch.column(1), words, hasher)
+            borders = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            content = [grams[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(content, pa.binary())], ["doc_id", "shingles"]
             )
 
-    chosen = docs.hint("merge").join(wanted, "doc_id").select("doc_id", "text")
+    chosen = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
     return chosen.mapInArrow(run, "doc_id bigint, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (id, lead_id) whose shingles are similar by Jaccard."""
-    side = lambda name, alias: sets.select(
-        F.col("doc_id").alias(name), F.col("shingles").alias(alias)
+def _both_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    side = lambda name, alias: values.select(
+        F.col("doc_id").alias(name), F.col(column).alias(alias)
+    )
+    return pairs.join(side("id", "own"), "id").join(side("lead_id", "other"), "lead_id").select(
+        *pairs.columns, "own", "other"
     )
-    both = pairs.join(side("id", "own"), "id").join(side("lead_id", "other"), "lead_id")
 
+
+def _may_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (id, lead_id, sizes) but those whose sketches show that they differ too much."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, _SKETCH // 8)
+                for i in (3, 4)
+            )
+            apart = np.bitwise_count(own ^ other).sum(1, dtype=np.int64)
+            most = (1 - similarity) / (1 + similarity) * batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(apart <= most + 1e-6))
+
+    return _both_sides(pairs, sketches, "sketch").mapInArrow(run, "id bigint, lead_id bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (id, lead_id) whose shingles are similar by Jaccard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(own, np.uint32), np.frombuffer(other, np.uint32)
+            for own, other in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, other))
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 near.append(common >= similarity * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("id", "lead_id", "own", "other").mapInArrow(run, "id bigint, lead_id bigint")
+    return _both_sides(pairs, sets, "shingles").mapInArrow(run, "id bigint, lead_id bigint")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(
+        F.col("id").alias("doc_id"), F.col("component").alias("component_id")
+    )
 
 
 def similar_documents(
-    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, views: int = VIEWS,
+    docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY,
     id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """doc_id, component_id of the documents that have a near-duplicate.
 
     Documents link if their fingerprints (as in `near_duplicates`) differ in at most 4 bits, or
-    if their shingles of `words` words have a Jaccard similarity of `similarity` or more. Pairs for
-    the second rule come from the same grid join on several fingerprints of their words, and each
-    is verified. Equal fingerprints link to their smallest id; `component_id` is the smallest id
-    reachable. The rule of bits is exact; the rule of similarity finds a pair with the chance
-    that one of the views differs in at most 4 bits (see the README for measured figures).
-    Rows without an id take no part; an empty table gives an empty result.
+    if their shingles of `words` words have a Jaccard similarity of `similarity` or more;
+    `component_id` is the smallest id reachable. Both rules are exact, whatever the edits' shape.
+
+    Documents that hold the same shingle among their first ones (`_prefixes`) form a group. In each
+    round a group has some leads, which are compared with all its members of other components, and
+    leave it; a group goes when its members are of one component. So a pair that is never
+    compared is in one component already. Rows without an id take no part; an empty table
+    gives an empty result.
     """
     texts = id_and_text(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     texts = texts.filter("doc_id is not null")
-    exact = near_duplicates(texts).filter("doc_id != component_id").select(
-        F.col("doc_id").alias("id"), F.col("component_id").alias("lead_id")
+    labels = cut_lineage(
+        near_duplicates(texts).filter("doc_id != component_id").select("doc_id", "component_id").distinct(),
+        "near-labels",
     )
-    prints = cut_lineage(_word_views(texts, views), "word-views")
-    pairs = None
-    for k in range(views):
-        own = prints.select("doc_id", F.col("views")[k].alias("fingerprint"))
-        leads = cut_lineage(own.groupBy("fingerprint").agg(F.min("doc_id").alias("lead")), "view-leads")
-        stars = own.join(leads, "fingerprint").filter("doc_id != lead").select(
-            F.col("doc_id").alias("id"), F.col("lead").alias("lead_id")
+    members = _shared(_prefixes(texts, words, similarity))
+    sketches, tried, leads_each = None, None, 1
+    while True:
+        members = cut_lineage(
+            members.join(labels, "doc_id", "left").select(
+                "shingle", "doc_id", "place", "size", F.coalesce("component_id", "doc_id").alias("component")
+            ),
+            "members",
         )
-        linked = (
-            near_links(leads)
-            .join(leads.select(F.col("fingerprint").alias("id"), F.col("lead").alias("a")), "id")
-            .join(leads.select(F.col("fingerprint").alias("lead_id"), F.col("lead").alias("b")), "lead_id")
-            .select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("lead_id"))
+        open_groups = members.groupBy("shingle").agg(
+            F.min("component").alias("a"), F.max("component").alias("b")
+        ).filter("a != b").select("shingle")
+        members = cut_lineage(members.join(open_groups, "shingle"), "open-members")
+        if members.isEmpty():
+            return labels.unionByName(labels.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+        if sketches is None:
+            wanted = cut_lineage(members.select("doc_id").distinct(), "sketched")
+            sketches = cut_lineage(_sketches(texts, wanted, words).dropDuplicates(["doc_id"]), "sketches")
+        leads = cut_lineage(
+            members.groupBy("shingle", F.pmod(F.xxhash64("doc_id"), F.lit(leads_each)).alias("part"))
+            .agg(*(F.min_by(c, "doc_id").alias(f"lead_{c}") for c in ("doc_id", "place", "size", "component")))
+            .drop("part"),
+            "leads",
         )
-        found = stars.unionByName(linked)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = cut_lineage(pairs.distinct(), "similar-pairs")
-    wanted = pairs.select(F.col("id").alias("doc_id")).union(pairs.select("lead_id")).distinct()
-    sets = cut_lineage(_shingle_sets(texts, wanted, words), "shingle-sets")
-    links = exact.unionByName(_verified(pairs, sets, similarity))
-    return connected_components(links).select(
-        F.col("id").alias("doc_id"), F.col("component").alias("component_id")
-    )
+        # All that the two can share from here on, as this is their first common shingle or a later one.
+        shared = F.least(F.col("size") - F.col("place"), F.col("lead_size") - F.col("lead_place"))
+        pairs = (
+            members.join(leads, "shingle")
+            .filter("component != lead_component")
+            .filter(shared >= similarity * (F.col("size") + F.col("lead_size") - shared) - 1e-6)
+            .select(F.greatest("doc_id", "lead_doc_id").alias("id"), F.least("doc_id", "lead_doc_id").alias("lead_id"),
+                    (F.col("size") + F.col("lead_size")).alias("sizes"))
+            .distinct()
+        )
+        if tried is not None:
+            pairs = pairs.join(tried, ["id", "lead_id"], "left_anti")
+        pairs = cut_lineage(pairs, "similar-pairs")
+        own = pairs.select("id", "lead_id")
+        tried = own if tried is None else tried.unionByName(own)
+        close = cut_lineage(_may_be_similar(pairs, sketches, similarity), "close-pairs")
+        wanted = cut_lineage(close.select(F.explode(F.array("id", "lead_id")).alias("doc_id")).distinct(), "compared")
+        sets = _shingle_sets(texts, wanted, words)
+        links = cut_lineage(_verified(close, sets, similarity), "similar-links")
+        if not links.isEmpty():
+            known = labels.select(F.col("doc_id").alias("id"), F.col("component_id").alias("lead_id"))
+            labels = _components(known.unionByName(links)).filter("doc_id != component_id")
+            labels = cut_lineage(labels, "similar-labels")
+        members = members.drop("component").join(
+            leads.select("shingle", F.col("lead_doc_id").alias("doc_id")), ["shingle", "doc_id"], "left_anti"
+        )
+        leads_each *= 4

@@ -59,6 +59,25 @@ def test_near_copies_of_either_rule(spark):
     assert simhash.similar_documents(frame.limit(0)).count() == 0
 
 
+def test_blocks_added_or_replaced_are_near_copies(spark):
+    rng = random.Random(22)
+    fresh = iter(range(10**9))
+    texts = []
+    for group in range(40):
+        words = [f"w{rng.randrange(5_000)}" for _ in range(rng.choice([100, 300]))]
+        block = [f"b{next(fresh)}" for _ in range(len(words) * 2 // 10 if group % 3 else len(words) // 10 - 4)]
+        if group % 3 == 0:  # a block in the middle gives way to one as long
+            own = words[:40] + block + words[40 + len(block) :]
+        else:
+            own = words + block if group % 3 == 1 else block + words
+        texts += [(10 * group, " ".join(words)), (10 * group + 1, " ".join(own))]
+    component, links = near_model(texts)
+    assert len(links) == 40
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert {i: found.get(i, i) for i, _ in texts} == component
+
+
 def test_stages_in_turn(spark, tmp_path):
     rng = random.Random(12)
     vocabulary = [f"{a}{b}" for a in ("mo", "ra", "tel", "vi", "son", "ka") for b in ("ka", "lum", "nes", "dor", "pit", "e")]
