@@ -78,6 +78,21 @@ def test_blocks_added_or_replaced_are_near_copies(spark):
     assert {i: found.get(i, i) for i, _ in texts} == component
 
 
+def test_many_variants_of_one_text_are_as_near_as_in_pairs(spark):
+    rng = random.Random(23)
+    words = [f"w{rng.randrange(5_000)}" for _ in range(120)]
+    texts = []
+    for i in range(300):
+        own = list(words)
+        for k in range(2):
+            own[rng.randrange(120)] = f"e{i}x{k}"
+        texts.append((i, " ".join(own)))
+    component, _ = near_model(texts)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert {i: found.get(i, i) for i, _ in texts} == component
+
+
 def test_stages_in_turn(spark, tmp_path):
     rng = random.Random(12)
     vocabulary = [f"{a}{b}" for a in ("mo", "ra", "tel", "vi", "son", "ka") for b in ("ka", "lum", "nes", "dor", "pit", "e")]
