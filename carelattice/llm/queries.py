@@ -11,7 +11,10 @@ from carelattice.llm import (
     decontamination,
     exact_dedup,
     html_text,
+    mask_search,
     passage_chains,
+    periodic_runs,
+    rank_array_bpe,
     secret_scan,
     sharding,
     simhash,
@@ -123,3 +126,50 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = passage_chains.repeated_passages(table(spark, folder, "documents"))
     others = F.expr("array_sort(array_distinct(transform(passages, p -> p.other)))")
     return found.withColumn("other_ids", F.coalesce(others, F.array().cast("array<bigint>"))).drop("passages")
+
+
+@query()
+def op11_rank_array_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = rank_array_bpe.encode_documents(table(spark, folder, "documents"), tokenizer)
+    return rank_array_bpe.token_digests(rank_array_bpe.decode_documents(encoded, tokenizer))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    planted = periodic_runs.with_planted_runs(table(spark, folder, "documents"))
+    return periodic_runs.run_digests(periodic_runs.collapse_runs(planted))
+
+
+_TERMS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    f"""
+    WITH cut AS (SELECT doc_id, {_TERMS_SQL} AS terms FROM documents),
+    corpus AS (SELECT count(*) FILTER (len(terms) > 0) AS documents, sum(len(terms))::BIGINT AS total FROM cut),
+    held AS (
+        SELECT doc_id, term, n, count(*) AS tf
+        FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM cut) GROUP BY ALL
+    ),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * df + 1)))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM held GROUP BY term), corpus
+    ),
+    asked AS (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+    wanted AS (SELECT item_id, term, count(*) AS repeats FROM asked GROUP BY ALL),
+    scored AS (
+        SELECT item_id, doc_id,
+               sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * documents) // total))))::BIGINT AS score
+        FROM wanted JOIN weights USING (term) JOIN held USING (term), corpus GROUP BY ALL
+    )
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+    WHERE rank <= 10
+    """
+)
+def op13_mask_search(spark: SparkSession, folder: str) -> DataFrame:
+    return mask_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
