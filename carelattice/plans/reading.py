@@ -50,52 +50,35 @@ def chart_flat(t: Tables) -> DataFrame:
     )
 
 
-@query("""
-    SELECT u.patient_id, COALESCE(c.n_encounters, 0) AS n_encounters,
-           COALESCE(c.n_records, 0) AS n_records, c.first_kinds
-    FROM (SELECT DISTINCT user_id AS patient_id FROM events) u
-    LEFT JOIN (
-      SELECT o_custkey AS patient_id, count(DISTINCT o_orderkey) AS n_encounters,
-             count(l_orderkey) AS n_records,
-             string_agg(l_returnflag, '' ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey)
-               AS first_kinds
-      FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey) c
-    ON c.patient_id = u.patient_id""")
-def patient_chart(t: Tables) -> DataFrame:
-    """Nested charts of all users, folded to their sizes and their record kinds in order.
+# Rows of a page in the checks, small enough for many charts to have several.
+_PAGE = 40
 
-    Pages of one patient are put together again by counts; kinds by page order.
-    """
+
+@query(f"""
+    WITH asked AS (SELECT DISTINCT user_id AS patient_id FROM events),
+    placed AS (
+      SELECT o_custkey AS patient_id, o_orderkey, l_orderkey, l_returnflag,
+             row_number() OVER chart AS n,
+             (row_number() OVER chart - 1) // {_PAGE} AS page
+      FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+      WHERE o_custkey IN (SELECT patient_id FROM asked)
+      WINDOW chart AS (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey))
+    SELECT asked.patient_id, COALESCE(page, 0)::INTEGER AS page, count(DISTINCT o_orderkey) AS n_encounters,
+           count(l_orderkey) AS n_records, COALESCE(string_agg(l_returnflag, '' ORDER BY n), '') AS kinds
+    FROM asked LEFT JOIN placed USING (patient_id) GROUP BY 1, 2""")
+def patient_chart(t: Tables) -> DataFrame:
+    """Nested charts of all users, page by page: sizes, and record kinds in order."""
     ids = t.events.select(F.col("user_id").alias("patient_id"))
     chart = charts.patient_chart(
-        roles.encounters(t), roles.records(t), ids,
+        roles.encounters(t), roles.records(t), ids, page_rows=_PAGE,
         encounter_columns=["id", "patient_id"], record_columns=["id", "kind"],
     )
     records = F.flatten(F.transform("encounters", lambda e: e["records"]))
-    kinds = F.when(
-        F.size(records) > 0, F.array_join(F.transform(records, lambda r: r["kind"]), "")
-    )
-    return (
-        chart.select(
-            "patient_id", "page",
-            F.size("encounters").cast("long").alias("n_encounters"),
-            F.size(records).cast("long").alias("n_records"),
-            kinds.alias("kinds"),
-        )
-        .groupBy("patient_id")
-        .agg(
-            F.sum("n_encounters").alias("n_encounters"),
-            F.sum("n_records").alias("n_records"),
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.when(F.col("kinds").isNotNull(),
-                                                       F.struct("page", "kinds")))),
-                    lambda p: p["kinds"],
-                ),
-                "",
-            ).alias("first_kinds"),
-        )
-        .withColumn("first_kinds", F.nullif("first_kinds", F.lit("")))
+    return chart.select(
+        "patient_id", "page",
+        F.size("encounters").cast("long").alias("n_encounters"),
+        F.size(records).cast("long").alias("n_records"),
+        F.array_join(F.transform(records, lambda r: r["kind"]), "").alias("kinds"),
     )
 
 
@@ -233,18 +216,25 @@ def disclosure_packet(t: Tables) -> DataFrame:
     return rows.select("patient_id", "encounter_id", "id.*", "status")
 
 
-@query("""
-    SELECT u.patient_id, count(l_orderkey) AS n_records
-    FROM (SELECT DISTINCT user_id AS patient_id FROM events) u
-    LEFT JOIN (orders JOIN lineitem ON l_orderkey = o_orderkey) ON o_custkey = u.patient_id
-    GROUP BY u.patient_id""")
+@query(f"""
+    WITH asked AS (SELECT DISTINCT user_id AS patient_id FROM events),
+    placed AS (
+      SELECT o_custkey AS patient_id, l_linestatus,
+             row_number() OVER packet AS n, (row_number() OVER packet - 1) // {_PAGE} AS page
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+      WINDOW packet AS (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey))
+    SELECT asked.patient_id, COALESCE(page, 0)::INTEGER AS page, count(l_linestatus) AS n_records,
+           COALESCE(string_agg(l_linestatus, '' ORDER BY n), '') AS states
+    FROM asked LEFT JOIN placed USING (patient_id) GROUP BY 1, 2""")
 def disclosure_documents(t: Tables) -> DataFrame:
-    """The nested packets of all users, folded to the number of their records."""
+    """The nested packets of all users, page by page: size, and record states in order."""
     ids = t.events.select(F.col("user_id").alias("patient_id"))
     records = roles.patient_records(t).withColumn("id", F.struct("encounter_id", "id"))
-    packets = charts.disclosure_packet(records, ids)
-    return packets.groupBy("patient_id").agg(
-        F.sum(F.size("records").cast("long")).alias("n_records")
+    packets = charts.disclosure_packet(records, ids, page_rows=_PAGE)
+    return packets.select(
+        "patient_id", "page",
+        F.size("records").cast("long").alias("n_records"),
+        F.array_join(F.transform("records", lambda r: r["status"]), "").alias("states"),
     )
 
 

@@ -28,6 +28,22 @@ def table(spark):
     return make
 
 
+@pytest.fixture(scope="session")
+def counted(spark):
+    """``counted(df)``: the same rows, and an accumulator of how many were ever read."""
+    def make(df):
+        read, schema = spark.sparkContext.accumulator(0), df.schema
+
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, schema), read
+
+    return make
+
+
 def ts(text: str) -> dt.datetime:
     return dt.datetime.fromisoformat(text)
 

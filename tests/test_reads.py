@@ -4,6 +4,7 @@ import pytest
 
 from carelattice.functions.text import STATUS_VARIANTS
 from carelattice.operators import charts, eligibility, reads, search
+from carelattice.sources import sinks
 from tests.conftest import rows, ts
 
 
@@ -93,6 +94,40 @@ def test_disclosure_packet(chart, table, page_rows):
     assert "reference_range" not in found.schema["records"].dataType.elementType.names
 
 
+@pytest.mark.parametrize("page_rows", [1_000, 2])
+def test_charts_read_each_table_once(chart, table, counted, page_rows):
+    (encounters, e), (records, r), (ids, i) = map(counted, (*chart, table("patient_id int", (1,), (77,))))
+    found = charts.patient_chart(encounters, records, ids, page_rows=page_rows)
+    assert {row.patient_id for row in found.collect()} == {1, 77}
+    assert (e.value, r.value, i.value) == (3, 5, 2)
+    packets = charts.disclosure_packet(records, ids, page_rows=page_rows)
+    assert sum(len(row.records) for row in packets.collect()) == 4
+    assert (r.value, i.value) == (10, 4)
+
+
+def test_bucketed_charts_join_in_place(spark, chart, table):
+    encounters, records = chart
+    kept = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "-1")
+    try:
+        held = sinks.save_bucketed(encounters, "bucketed_encounters", "id", 4)
+        noted = sinks.save_bucketed(records, "bucketed_records", "encounter_id", 4)
+        found = charts.chart_rows(held, noted)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        matched = plan[: plan.index("LeftAnti")] if "LeftAnti" in plan else plan
+        assert "SortMergeJoin [encounter_id" in matched and "Exchange" not in matched
+        assert rows(found, "patient_id", "encounter_id", "record.id") == rows(
+            charts.chart_rows(encounters, records), "patient_id", "encounter_id", "record.id"
+        )
+        ids = table("patient_id int", (1,), (2,))
+        assert rows(charts.patient_chart(held, noted, ids)) == rows(charts.patient_chart(*chart, ids))
+    finally:
+        spark.conf.set(kept, before)
+        spark.sql("drop table if exists bucketed_encounters")
+        spark.sql("drop table if exists bucketed_records")
+
+
 def test_slots(table):
     slots = table(
         "id int, provider_id int, start_at timestamp, status string",
