@@ -122,30 +122,93 @@ def _deletion_hashes(value: Column, max_distance: int) -> Column:
     return F.array_distinct(F.transform(texts, lambda s: F.xxhash64(s["text"])))
 
 
+# Names that may share a segment before their group is searched another way, see `near_values`.
+GROUP_NAMES = 256
+
+
+def _segment_keys(value: Column, max_distance: int) -> Column:
+    """(key, own): hashes of the segments a text is indexed by, and of the parts it looks up.
+
+    A text is cut into k + 1 segments of even length. Of two texts within k edits, the longer (or
+    equally long) one holds a segment of the other one unchanged, moved by as many places as the
+    edits before it allow and those after it leave over. These are at most (k + 1)^3 parts whatever the
+    length of the text. The idea is that of Pass-Join (Li et al., VLDB 2011).
+    """
+    parts = max_distance + 1
+    length = F.length(value)
+    found = []
+    for shorter in range(parts):
+        other = length - shorter
+        size, longer = F.floor(other / parts).cast("int"), other % parts
+        for i in range(1, parts + 1):
+            # The last segments take a remainder of the length, one character each.
+            before = F.greatest(F.lit(0), longer - (parts + 1 - i))
+            start = 1 + (i - 1) * size + before
+            held = size + F.when(longer >= parts + 1 - i, 1).otherwise(0)
+            low = max(1 - i, shorter - (parts - i))
+            high = min(i - 1, shorter + (parts - i))
+            for moved in range(low, high + 1):
+                at = start + moved
+                inside = (other >= 0) & (at >= 1) & (at + held - 1 <= length)
+                key = F.xxhash64(F.lit(i), other, F.substring(value, at, held))
+                own = F.lit(shorter == 0 and moved == 0)
+                found.append(F.when(inside, F.struct(key.alias("_key"), own.alias("_own"))))
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def _near_candidates(
+    values: DataFrame, block: list[str], value: str, max_distance: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of `values` in pairs that share a segment, the second row's columns named `_other_...`;
+    and, if there are any, the rows of groups in which too many share one.
+
+    Every pair within `max_distance` edits is among the former or has both rows among the latter. A row
+    meets at most GROUP_NAMES others for each of its segments.
+    """
+    columns = values.columns
+    segments = cut_lineage(
+        _spread(values).select("*", F.inline(_segment_keys(F.col(value), max_distance))), "segments"
+    )
+    group = [*block, "_key"]
+    crowded = cut_lineage(
+        segments.where("_own").groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > GROUP_NAMES).drop("_n"),
+        "crowded-segments",
+    )
+    rest, members = segments, None
+    if not crowded.isEmpty():
+        rest = segments.join(crowded, group, "left_anti")
+        members = segments.join(crowded, group, "left_semi").select(*columns).distinct()
+    owners = rest.where("_own").select(
+        *group, *[F.col(c).alias(f"_other_{c}") for c in columns if c not in block]
+    )
+    return rest.drop("_own").join(owners, group), members
+
+
 def near_values(
     rows: DataFrame, block: list[str], value: str, max_distance: int
 ) -> DataFrame:
     """Distinct values of a block within `max_distance` edits of each other.
 
-    Candidates come from an equi-join on (block, deletion hash) over the *distinct*
-    values, so copies and unlike values of a large block never meet; the edit
-    distance then decides. Exact for any block size.
+    Distinct values meet on (block, segment), see `_segment_keys`: a few rows for each value, however
+    long, so copies and unlike values of a large block never meet; the edit distance then decides.
+    Values of a segment that too many share meet on a hash of the text with up to `max_distance` characters
+    left out instead. Exact for any block size.
     """
     distinct = rows.where(F.col(value).isNotNull()).select(*block, value).distinct()
-    hashed = _spread(distinct).select(
-        *block, value, F.explode(_deletion_hashes(F.col(value), max_distance)).alias("_hash")
-    )
-    other = hashed.withColumnRenamed(value, "_other")
+    pairs, crowded = _near_candidates(distinct, block, value, max_distance)
+    pairs = pairs.select(*block, value, F.col(f"_other_{value}").alias("_other"))
+    if crowded is not None:
+        hashed = _spread(crowded).select(
+            *block, value, F.explode(_deletion_hashes(F.col(value), max_distance)).alias("_hash")
+        )
+        met = hashed.join(hashed.withColumnRenamed(value, "_other"), [*block, "_hash"])
+        pairs = pairs.unionByName(met.select(*block, value, "_other"))
+    low, high = F.least(value, "_other"), F.greatest(value, "_other")
     distance = F.levenshtein(value, "_other", max_distance)
     return (
-        hashed.join(other, [*block, "_hash"])
-        .where((F.col(value) < F.col("_other")) & (distance >= 0))
-        .select(
-            *block,
-            F.col(value).alias("value_a"),
-            F.col("_other").alias("value_b"),
-            distance.alias("distance"),
-        )
+        pairs.where((F.col(value) != F.col("_other")) & (distance >= 0))
+        .select(*block, low.alias("value_a"), high.alias("value_b"), distance.alias("distance"))
         .distinct()
     )
 
@@ -201,6 +264,25 @@ def near_links(values: DataFrame, value: str, max_distance: int) -> DataFrame:
     """(id, lead_id) that connect all values (`block`, `value`, `id`) of a block which
     chains of at most `max_distance` edits connect. Each link is itself that near.
 
+    Values meet on (block, segment), see `_segment_keys`, and every near pair is a link. Where more than
+    GROUP_NAMES values share a segment, `_pattern_links` gives fewer links that connect the same values.
+    """
+    kept = values.select("block", F.col(value).alias("_value"), "id")
+    pairs, crowded = _near_candidates(kept, ["block"], "_value", max_distance)
+    links = pairs.where(
+        (F.col("id") != F.col("_other_id"))
+        & (F.levenshtein("_value", "_other__value", max_distance) >= 0)
+    ).select(
+        F.greatest("id", "_other_id").alias("id"), F.least("id", "_other_id").alias("lead_id")
+    )
+    if crowded is not None:
+        links = links.unionByName(_pattern_links(crowded, "_value", max_distance))
+    return links.distinct()
+
+
+def _pattern_links(values: DataFrame, value: str, max_distance: int) -> DataFrame:
+    """Links as `near_links` describes them, for blocks of any size.
+
     Values that share an edit pattern are all linked to the one least deleted from: any
     two of them that are near enough are also near enough to that one. So every pattern
     gives one link per value, never the pairs of its group.

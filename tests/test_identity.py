@@ -114,6 +114,41 @@ def test_a_block_of_near_values_gives_few_links(table):
     assert set(_roots([tuple(r) for r in links.collect()]).values()) == {0}
 
 
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_crowded_segments_give_the_same(table, monkeypatch, distance):
+    rng = random.Random(20 + distance)
+    words = sorted({"name" + "".join(rng.choice("01") for _ in range(rng.randint(0, 6))) for _ in range(60)})
+    df = table("block string, word string, id int", *[("b", w, i) for i, w in enumerate(words)])
+    near = [(i, j) for i, j in itertools.combinations(range(len(words)), 2) if _edits(words[i], words[j]) <= distance]
+    whole = rows(identity.near_values(df, ["block"], "word", distance))
+    assert len(whole) == len(near)
+    monkeypatch.setattr(identity, "GROUP_NAMES", 4)
+    assert rows(identity.near_values(df, ["block"], "word", distance)) == whole
+    links = [tuple(r) for r in identity.near_links(df, "word", distance).select("lead_id", "id").collect()]
+    assert set(links) <= set(near) and _roots(links) == _roots(near)
+
+
+def test_names_of_two_hundred_characters(table):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(20)]
+    names = list(base)
+    for name in base:
+        for edits in (1, 2, 3):
+            letters = list(name)
+            for place in rng.sample(range(200), edits):
+                letters[place] = rng.choice(["", "#", letters[place] + "+"])
+            names.append("".join(letters))
+    df = table("block string, word string, id int", *[("b", w, i) for i, w in enumerate(names)])
+    near = [(i, j) for i, j in itertools.combinations(range(len(names)), 2)
+            if abs(len(names[i]) - len(names[j])) < 3 and _edits(names[i], names[j]) <= 2]
+    assert len(near) >= 40
+    found = identity.near_links(df, "word", 2)
+    assert sorted(tuple(r) for r in found.select("lead_id", "id").collect()) == near
+    # A name has as many segments whatever its length: 12 parts looked up, 3 of them its own too.
+    keys = df.select(identity._segment_keys(df["word"], 2).alias("k")).collect()
+    assert max(len(r.k) for r in keys) <= 12
+
+
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "two_stars"])
 def test_components_equal_union_find(table, shape):
     rng = random.Random(5)
