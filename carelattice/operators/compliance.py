@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelattice.functions.intervals import points_in_intervals
 from carelattice.functions.ordered import SPLIT_ABOVE, Ordered
 from carelattice.functions.text import PHI_PATTERNS, find_phi, live_rows, redact
 from carelattice.session import cut_lineage
@@ -55,36 +56,20 @@ def _without_range() -> Column:
     return F.col("_from").isNull() & F.col("_to").isNull()
 
 
-def _month(day: Column) -> Column:
-    return F.year(day) * 12 + F.month(day)
-
-
 def minimum_necessary_packet(roi_requests: DataFrame, records: DataFrame) -> DataFrame:
     """Per request, only the patient's records inside the requested date range.
 
-    A request unfolds to the months of its range, open ends closed by the patient's
-    first and last record, and meets the records on (patient, month). A patient with
-    many requests and many records so joins only what the ranges touch. A record without a date
+    Records and ranges meet in the order of their days (see `points_in_intervals`): a range of
+    fifty years costs no more than one of a day, but for the records it finds. A record without a date
     is inside a request without a range, and in no other.
     """
-    day = F.to_date("created_at")
-    dated = records.where(F.col("created_at").isNotNull()).withColumn("_month", _month(day))
-    spans = dated.groupBy("patient_id").agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    start, end = F.greatest("_from", "_first"), F.least("_to", "_last")
-    asked = (
-        _asked(roi_requests).join(spans, "patient_id")
-        .where(start <= end)
-        .select(
-            "request_id", "patient_id", start.alias("_from"), end.alias("_to"),
-            F.explode(F.sequence(_month(start), _month(end))).alias("_month"),
-        )
-    )
-    inside = (
-        dated.join(asked, ["patient_id", "_month"])
-        .where(day.between(F.col("_from"), F.col("_to")))
-        .select("request_id", *records.columns)
+    asked = _asked(roi_requests)
+    dated = records.withColumn("_day", F.to_date("created_at"))
+    inside = points_in_intervals(dated, asked, ["patient_id"], "_day", "_from", "_to").select(
+        F.col("_interval_request_id").alias("request_id"),
+        *[F.col(f"_point_{c}").alias(c) for c in records.columns],
     )
-    whole = _asked(roi_requests).where(_without_range()).select("request_id", "patient_id")
+    whole = asked.where(_without_range()).select("request_id", "patient_id")
     undated = records.where(F.col("created_at").isNull()).join(whole, "patient_id")
     return inside.unionByName(undated.select("request_id", *records.columns))
 

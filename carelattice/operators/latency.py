@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelattice.functions.intervals import points_in_intervals
 from carelattice.functions.ordered import SPLIT_ABOVE, Ordered
+from carelattice.session import cut_lineage
 
 
 def exact_quantiles(
@@ -90,35 +92,31 @@ def latency_windows(
 
 
 def outage_impact(
-    incidents: DataFrame, requests: DataFrame, bucket_seconds: int = 3_600
+    incidents: DataFrame, requests: DataFrame, ranges: int | None = None
 ) -> DataFrame:
     """(incident, request) where the request's time overlaps the incident's.
 
-    Both sides unfold to the time buckets they touch and meet in an equi-join on the
-    bucket; a pair is kept only in the first bucket both touch, so it appears once.
-    Incidents: incident_id, start_at, end_at. Requests: request_id, started_at,
-    elapsed_s.
+    A request either starts within the incident, or the incident starts after it and within it: two joins of
+    points with intervals, no pair of which is in both, and whose work does not depend on how long an
+    outage lasts. Incidents: incident_id, start_at, end_at. Requests: request_id,
+    started_at, elapsed_s.
     """
-    def bucket(time: str) -> Column:
-        return F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / bucket_seconds)
-
     seconds = F.make_dt_interval(
-        secs=F.coalesce("elapsed_s", F.lit(0.0)).cast("decimal(18,6)")
-    )
-    asked = requests.withColumn("_ended_at", F.col("started_at") + seconds)
-    asked = asked.withColumn("_first", bucket("started_at")).withColumn(
-        "_bucket", F.explode(F.sequence(F.col("_first"), bucket("_ended_at")))
+        secs=F.greatest(F.coalesce("elapsed_s", F.lit(0.0)), F.lit(0.0)).cast("decimal(18,6)")
     )
-    down = incidents.select(
-        "incident_id",
-        F.col("start_at").alias("_start"),
-        F.col("end_at").alias("_end"),
-        bucket("start_at").alias("_begin"),
-        F.explode(F.sequence(bucket("start_at"), bucket("end_at"))).alias("_bucket"),
+    asked = cut_lineage(requests.withColumn("_ended_at", F.col("started_at") + seconds), "requests")
+    down = incidents.select("incident_id", "start_at", "end_at").where("start_at <= end_at")
+    begun = points_in_intervals(
+        asked, down, [], "started_at", "start_at", "end_at", ranges=ranges
+    ).select(
+        F.col("_interval_incident_id").alias("incident_id"),
+        *[F.col(f"_point_{c}").alias(c) for c in requests.columns],
     )
-    return (
-        asked.join(down, "_bucket")
-        .where(F.col("_bucket") == F.greatest("_first", "_begin"))
-        .where((F.col("started_at") <= F.col("_end")) & (F.col("_ended_at") >= F.col("_start")))
-        .select("incident_id", *requests.columns)
+    running = points_in_intervals(
+        down, asked.where(F.col("started_at").isNotNull()), [], "start_at", "started_at", "_ended_at",
+        after_start=True, ranges=ranges,
+    ).select(
+        F.col("_point_incident_id").alias("incident_id"),
+        *[F.col(f"_interval_{c}").alias(c) for c in requests.columns],
     )
+    return begun.unionByName(running)
