@@ -319,17 +319,10 @@ def _people(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE v AS (
-      SELECT c_nationkey, c_mktsegment, c_custkey AS id, c_name AS p, 0 AS w, 0 AS d FROM customer
-      UNION
-      SELECT c_nationkey, c_mktsegment, id, substr(p, 1, i - 1) || wild || substr(p, i + 1),
-             w + length(wild), d + 1 - length(wild)
-      FROM v, unnest(range(1, length(p) + 1)) AS u(i), (VALUES (''), ('*')) AS e(wild)
-      WHERE w + d < 2 AND substr(p, i, 1) <> '*'),
-    l AS (SELECT *, first_value(id) OVER g AS lead, first_value(d) OVER g AS lead_d FROM v
-          WINDOW g AS (PARTITION BY c_nationkey, c_mktsegment, p, w ORDER BY d, id))
-    SELECT DISTINCT greatest(id, lead) AS id, least(id, lead) AS lead_id, 'near_name' AS rule
-    FROM l WHERE id <> lead AND w + d + lead_d <= 2""")
+    SELECT b.c_custkey AS id, a.c_custkey AS lead_id, 'near_name' AS rule
+    FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey
+     AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey
+     AND levenshtein(a.c_name, b.c_name) <= 2""")
 def match_links(t: Tables) -> DataFrame:
     return identity.match_links(_people(t))
 

@@ -115,7 +115,7 @@ class _Parts(Tables):
         self.events = _in_parts(t)
 
 
-def _run_to_table(t: Tables, stream: DataFrame, label: str) -> DataFrame:
+def run_to_table(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     """Run an append stream over all that is there and read what it wrote."""
     path = new_path(t.spark, label)
     run = (
@@ -153,21 +153,65 @@ def stream_hl7(t: Tables) -> DataFrame:
         F.array_join("allergies", ",").alias("allergy"),
         F.array_join("medications", ",").alias("medication"),
     )
-    return _run_to_table(t, records, "hl7")
+    return run_to_table(t, records, "hl7")
 
 
-@query("""
-    SELECT date_trunc('day', ts) AS window_start, count(*) AS n, max(value) AS max
-    FROM events WHERE date_trunc('day', ts) < (
-      SELECT date_trunc('day', max(ts) - INTERVAL 10 MINUTE) FROM events) GROUP BY 1""")
-def stream_latency(t: Tables) -> DataFrame:
-    """The windows that are closed when the stream ends; percentiles are approximate there."""
-    requests = roles.log_requests(_Streams(t)).withColumn(
+_CLOSED_SQL = """
+    SELECT date_trunc('day', ts) AS window_start, value,
+           row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY value) AS rank,
+           count(*) OVER (PARTITION BY date_trunc('day', ts)) AS n
+    FROM events WHERE value IS NOT NULL AND date_trunc('day', ts) < (
+      SELECT date_trunc('day', max(ts) - INTERVAL 10 MINUTE) FROM events)"""
+
+
+def _closed_windows(t: Tables) -> DataFrame:
+    """Latency by day over the events in several micro-batches, of the windows closed at the end."""
+    requests = roles.log_requests(_Parts(t)).withColumn(
         "answered_at", F.col("answered_at").cast("timestamp")
     )
-    windows = _run_to_table(t, feeds.stream_latency(requests, "1 day"), "latency")
-    return windows.select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "max"
+    return run_to_table(t, feeds.stream_latency(requests, "1 day"), "latency")
+
+
+@query(f"""
+    SELECT window_start, max(n) AS n, max(value) AS max,
+           min(value) FILTER (WHERE rank >= ceil(0.5 * n)) AS p50,
+           min(value) FILTER (WHERE rank >= ceil(0.95 * n)) AS p95
+    FROM ({_CLOSED_SQL}) c GROUP BY 1 HAVING max(n) <= {feeds.SKETCH_ITEMS}""")
+def stream_latency(t: Tables) -> DataFrame:
+    """Windows whose values all fit a sketch, so that its percentiles are exact."""
+    windows = _closed_windows(t).where(F.col("n") <= feeds.SKETCH_ITEMS).drop("sketch")
+    return windows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"""
+    SELECT TIMESTAMP '1970-01-01' + to_days(CAST(7 * (CAST(epoch(window_start) AS BIGINT) // 604800) AS INTEGER)) AS window_start,
+           count(*) AS n, max(value) AS max, true AS p50_held, true AS p95_held
+    FROM ({_CLOSED_SQL}) c GROUP BY 1""")
+def stream_latency_weeks(t: Tables) -> DataFrame:
+    """Weeks merged from the sketches of their days; each percentile is held against the exact ranks
+    of the week's values."""
+    days = _closed_windows(t)
+    windows = cut_lineage(feeds.merge_latency(days, "7 days").drop("sketch"), "weeks")
+    day, week = (F.window(F.col("ts").cast("timestamp"), w)["start"] for w in ("1 day", "7 days"))
+    values = (
+        t.events.select(day.alias("_day"), "ts", "value")
+        .join(days.select(F.col("window_start").alias("_day")), "_day", "left_semi")
+        .select(week.alias("window_start"), "value")
+    )
+    counts = values.join(windows, "window_start").groupBy("window_start").agg(
+        *[
+            F.count_if(F.col("value") < F.col(p)).alias(f"{p}_below") for p in feeds.QUANTILES
+        ],
+        *[F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_upto") for p in feeds.QUANTILES],
+    )
+
+    def held(name: str, q: float):
+        low, high = (q - feeds.SKETCH_ERROR) * F.col("n"), (q + feeds.SKETCH_ERROR) * F.col("n")
+        return ((F.col(f"{name}_below") <= high) & (F.col(f"{name}_upto") >= low)).alias(f"{name}_held")
+
+    return windows.join(counts, "window_start").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "max",
+        *[held(name, q) for name, q in feeds.QUANTILES.items()],
     )
 
 

@@ -127,3 +127,20 @@ def test_latency_windows_close(spark, table, tmp_path):
     )
     # The last hour is still open.
     assert rows(windows, "window_start", "n", "max") == rows(twin)[:-1]
+
+
+def test_latency_sketches_keep_their_error(spark, table, tmp_path):
+    rng = random.Random(6)
+    made = [(ts(f"2026-01-{d:02d} {i % 24:02d}:00:00"), rng.lognormvariate(0, 1)) for d in (1, 2, 3) for i in range(9_000)]
+    requests = table("answered_at timestamp, elapsed_s double", *made)
+    stream = arriving(spark, requests, "answered_at", tmp_path / "in", 3)
+    days = collect(feeds.stream_latency(stream, "1 day"), "latency_days")
+    assert days.count() == 2
+    both = feeds.merge_latency(days, "30 days").first()
+    for found, values in [(both, [v for at, v in made if at < ts("2026-01-03")])] + [
+        (r, [v for at, v in made if at.date() == r.window_start.date()]) for r in days.collect()
+    ]:
+        assert found.n == len(values) and found.max == max(values)
+        for name, q in feeds.QUANTILES.items():
+            rank = sum(v <= found[name] for v in values) / len(values)
+            assert abs(rank - q) <= feeds.SKETCH_ERROR
