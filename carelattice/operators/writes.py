@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from carelattice.functions.ordered import dense_numbers, first_rows
 from carelattice.functions.text import strip
+from carelattice.operators.charts import PAGE_ROWS, disclosure_packet
 from carelattice.schemas import DEFAULT_CONSENTS, DEFAULT_CREATED_VIA
 from carelattice.session import cut_lineage
+from carelattice.sources.sinks import current_state
 
 # Intake payload fields.
 DEMOGRAPHICS = [
@@ -216,22 +218,35 @@ def booked_appointments(
     )
 
 
+def _status_changes(table: DataFrame, ids: DataFrame, status: str, changed_at: Column) -> DataFrame:
+    """(id, status, changed_at) for each known id whose status is another one now."""
+    other = ~F.col("status").eqNullSafe(F.lit(status))
+    return (
+        table.where(other).select("id").join(ids.select("id").distinct(), "id", "left_semi")
+        .select("id", F.lit(status).alias("status"), changed_at.alias("changed_at"))
+    )
+
+
+def cancellation_changes(
+    cancellations: DataFrame, appointments: DataFrame, changed_at: Column
+) -> DataFrame:
+    """The status changes that a batch of cancellations makes, for `sinks.append_status_changes`:
+    only rows that change, whatever the size of the table."""
+    asked = cancellations.select(F.col("appointment_id").alias("id"))
+    return _status_changes(appointments, asked, "cancelled", changed_at)
+
+
 def apply_cancellations(
     cancellations: DataFrame, appointments: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """(appointments after cancelling, outcome of each cancelled id).
 
-    Any status turns into `cancelled`; an unknown id is `not_found`.
+    Any status turns into `cancelled`; an unknown id is `not_found`. The first is the table read with
+    `cancellation_changes` merged in; whoever keeps the changes writes those alone.
     """
+    at = F.lit(None).cast("timestamp")
+    after = current_state(appointments, cancellation_changes(cancellations, appointments, at))
     asked = cancellations.select(F.col("appointment_id").alias("id")).distinct()
-    hit = asked.withColumn("_cancel", F.lit(True))
-    after = (
-        appointments.join(hit, "id", "left")
-        .withColumn(
-            "status", F.when(F.col("_cancel"), F.lit("cancelled")).otherwise(F.col("status"))
-        )
-        .select(*appointments.columns)
-    )
     known = appointments.select("id", F.lit("cancelled").alias("_known"))
     outcomes = asked.join(known, "id", "left").select(
         F.col("id").alias("appointment_id"),
@@ -276,6 +291,27 @@ def create_roi(
     return accepted, rejected
 
 
+def fulfilment_changes(calls: DataFrame, roi_requests: DataFrame, changed_at: Column) -> DataFrame:
+    """The status changes that a batch of fulfilment calls makes, for `sinks.append_status_changes`."""
+    asked = calls.select(F.col("request_id").alias("id"))
+    return _status_changes(roi_requests, asked, "fulfilled", changed_at)
+
+
+def fulfil_packets(
+    calls: DataFrame, roi_requests: DataFrame, records: DataFrame, page_rows: int = PAGE_ROWS
+) -> DataFrame:
+    """(request_id, patient_id, page, records): what each called request releases, its patient's whole
+    record set whatever range was asked for. A patient without records is answered with an empty page;
+    a request called repeatedly is answered once, and unknown ones are not."""
+    asked = cut_lineage(
+        roi_requests.select(F.col("id").alias("request_id"), "patient_id")
+        .join(calls.select("request_id").distinct(), "request_id", "left_semi"),
+        "called-requests",
+    )
+    packets = disclosure_packet(records, asked, page_rows)
+    return asked.join(packets, "patient_id").select("request_id", "patient_id", "page", "records")
+
+
 def fulfill_roi(
     calls: DataFrame, roi_requests: DataFrame, disclosed_at: Column,
     disclosures: DataFrame | None = None, order: list[str] | None = None,
@@ -283,18 +319,11 @@ def fulfill_roi(
     """(requests after fulfilment, disclosures to add, calls that were not found).
 
     Each call adds a disclosure, repeated calls too, and the request becomes
-    `fulfilled` whatever it was, denied included. What is released is the patient's
-    whole record set (`charts.disclosure_packet`), whatever range was asked for. With the
+    `fulfilled` whatever it was, denied included; `fulfilment_changes` has these changes alone, and
+    `fulfil_packets` what is released. With the
     current `disclosures` table given, the new ones get its next ids in `order`.
     """
-    done = calls.select(F.col("request_id").alias("id")).distinct().withColumn(
-        "_done", F.lit(True)
-    )
-    after = (
-        roi_requests.join(done, "id", "left")
-        .withColumn("status", F.when(F.col("_done"), F.lit("fulfilled")).otherwise(F.col("status")))
-        .select(*roi_requests.columns)
-    )
+    after = current_state(roi_requests, fulfilment_changes(calls, roi_requests, disclosed_at))
     target = roi_requests.select(
         F.col("id").alias("request_id"), "patient_id", F.col("recipient").alias("disclosed_to")
     )

@@ -65,7 +65,11 @@ def read_table(
 def read_jdbc_table(
     spark: SparkSession, url: str, table: str, bounds: tuple[int, int], partitions: int, **options
 ) -> DataFrame:
-    """One clinic table from a live database, read in ranges of its id."""
+    """One clinic table from a live database, read in `partitions` ranges of its id.
+
+    Filters and the columns used reach the database. Ids outside `bounds` are read too, by the first and
+    the last range: they only say where to cut.
+    """
     reader = spark.read.format("jdbc").options(
         url=url,
         dbtable=table,
@@ -104,9 +108,10 @@ def read_hl7(spark: SparkSession, path: str) -> DataFrame:
     return _message_rows(spark.read.text(path, wholetext=True))
 
 
-def stream_hl7(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream over a folder that receives files."""
-    return _message_rows(spark.readStream.format("text").option("wholetext", True).load(path))
+def stream_hl7(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
+    """The same as a stream over a folder that receives files, a bounded number at a time."""
+    files = spark.readStream.format("text").option("wholetext", True)
+    return _message_rows(files.option("maxFilesPerTrigger", files_per_trigger).load(path))
 
 
 _MARK = "\x01"

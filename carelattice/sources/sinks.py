@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelattice.functions.ordered import first_rows
@@ -63,3 +63,47 @@ def compact(state: DataFrame, path: str, version: int) -> str:
     target = f"{path}/version={version}"
     state.write.mode("overwrite").parquet(target)
     return target
+
+
+#: Rows of a part of a table that is compacted part by part.
+PART_ROWS = 1_000_000
+
+
+def _part(part_rows: int) -> Column:
+    return F.floor(F.col("id") / part_rows).cast("long")
+
+
+def save_parts(rows: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
+    """Write a table in parts by ranges of its id, each as its first version."""
+    placed = rows.withColumns({"part": _part(part_rows), "version": F.lit(0)})
+    placed.repartition("part").write.partitionBy("part", "version").parquet(path)
+
+
+def _newest(files: DataFrame) -> DataFrame:
+    """The rows of every part's newest version. Parts and versions are folders, so older ones are not
+    read."""
+    newest = files.groupBy("part").agg(F.max("version").alias("version"))
+    return files.join(newest, ["part", "version"])
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A table of parts as it is now."""
+    return _newest(spark.read.parquet(path)).drop("part", "version")
+
+
+def compact_parts(
+    spark: SparkSession, path: str, changes: DataFrame, part_rows: int = PART_ROWS
+) -> int:
+    """Apply status changes to the parts that hold a changed id, as their next version.
+
+    Other parts are neither read nor written, and older versions stay for readers that have begun.
+    A part whose writing is lost is written again from the same version. Returns the version
+    written. Changes written before and applied again leave the same rows.
+    """
+    files = spark.read.parquet(path)
+    version = files.agg(F.max("version")).first()[0] + 1
+    touched = changes.select(_part(part_rows).alias("part")).distinct()
+    held = _newest(files.join(touched, "part", "left_semi"))
+    after = current_state(held, changes).withColumn("version", F.lit(version))
+    after.repartition("part").write.mode("append").partitionBy("part", "version").parquet(path)
+    return version

@@ -101,6 +101,41 @@ def test_status_changes(spark, table, tmp_path):
     assert rows(spark.read.parquet(sinks.compact(after, f"{tmp_path}/s", 3))) == rows(after)
 
 
+def test_only_touched_parts_are_written(spark, table, tmp_path):
+    path = str(tmp_path / "appointments")
+    base = table("id int, status string", *[(i, "confirmed") for i in range(40)])
+    sinks.save_parts(base, path, part_rows=10)
+    first = table("id int, status string, changed_at timestamp", (3, "cancelled", ts("2026-01-01")),
+                  (31, "x", ts("2026-01-01")), (31, "cancelled", ts("2026-01-02")))
+    assert sinks.compact_parts(spark, path, first, part_rows=10) == 1
+    assert sinks.compact_parts(spark, path, first, part_rows=10) == 2
+    later = first.unionByName(table("id int, status string, changed_at timestamp", (3, "completed", ts("2026-01-03"))))
+    assert sinks.compact_parts(spark, path, later.where("id = 3"), part_rows=10) == 3
+    found = sinks.read_parts(spark, path)
+    assert rows(found) == [(i, {3: "completed", 31: "cancelled"}.get(i, "confirmed")) for i in range(40)]
+    written = {(p.parent.name, p.name) for p in (tmp_path / "appointments").glob("part=*/version=*")}
+    assert {v for part, v in written if part == "part=1"} == {"version=0"}
+    assert {v for part, v in written if part == "part=3"} == {"version=0", "version=1", "version=2"}
+    assert {v for part, v in written if part == "part=0"} == {f"version={v}" for v in range(4)}
+
+
+def test_database_tables_are_read_in_ranges(spark, table):
+    """The embedded database among Spark's own jars, held in memory."""
+    url = "jdbc:derby:memory:clinic;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    made = table("id int, patient_id int, status string", *[(i, i % 3, "confirmed" if i % 2 else None) for i in range(-2, 50)])
+    made.write.jdbc(url, "appointments", mode="overwrite", properties=driver)
+    found = readers.read_jdbc_table(spark, url, "appointments", (0, 40), 4, **driver)
+    assert found.columns == schemas.TABLES["appointments"].names
+    assert found.rdd.getNumPartitions() == 4
+    assert found.count() == 52
+    kept = found.where("id >= 45").select("id", "status")
+    assert rows(kept, "id") == [(i,) for i in range(45, 50)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(ID,45)" in pushed.replace("id", "ID") and "patient" not in plan.lower()
+
+
 def test_batches_are_replay_safe(spark, table, tmp_path):
     path = str(tmp_path / "out")
     assert sinks.read_batches(spark, path, "a int").count() == 0
