@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelattice.functions.intervals import points_in_intervals
+from carelattice.functions.intervals import overlapping
 from carelattice.functions.ordered import SPLIT_ABOVE, Ordered
 from carelattice.functions.text import PHI_PATTERNS, find_phi, live_rows, redact
 from carelattice.session import cut_lineage
@@ -59,15 +59,15 @@ def _without_range() -> Column:
 def minimum_necessary_packet(roi_requests: DataFrame, records: DataFrame) -> DataFrame:
     """Per request, only the patient's records inside the requested date range.
 
-    Records and ranges meet in the order of their days (see `points_in_intervals`): a range of
+    Records and ranges meet in the order of their days (see `overlapping`): a range of
     fifty years costs no more than one of a day, but for the records it finds. A record without a date
     is inside a request without a range, and in no other.
     """
     asked = _asked(roi_requests)
     dated = records.withColumn("_day", F.to_date("created_at"))
-    inside = points_in_intervals(dated, asked, ["patient_id"], "_day", "_from", "_to").select(
-        F.col("_interval_request_id").alias("request_id"),
-        *[F.col(f"_point_{c}").alias(c) for c in records.columns],
+    inside = overlapping(dated, asked, ["patient_id"], ("_day", None), ("_from", "_to")).select(
+        F.col("_right_request_id").alias("request_id"),
+        *[F.col(f"_left_{c}").alias(c) for c in records.columns],
     )
     whole = asked.where(_without_range()).select("request_id", "patient_id")
     undated = records.where(F.col("created_at").isNull()).join(whole, "patient_id")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelattice.functions.intervals import points_in_intervals
+from carelattice.functions.intervals import overlapping
 from carelattice.functions.ordered import SPLIT_ABOVE, Ordered
-from carelattice.session import cut_lineage
 
 
 def exact_quantiles(
@@ -96,27 +95,20 @@ def outage_impact(
 ) -> DataFrame:
     """(incident, request) where the request's time overlaps the incident's.
 
-    A request either starts within the incident, or the incident starts after it and within it: two joins of
-    points with intervals, no pair of which is in both, and whose work does not depend on how long an
-    outage lasts. Incidents: incident_id, start_at, end_at. Requests: request_id,
+    Both are put in one order of their times (see `overlapping`), so the work does not depend on how
+    long an outage lasts. Incidents: incident_id, start_at, end_at. Requests: request_id,
     started_at, elapsed_s.
     """
     seconds = F.make_dt_interval(
         secs=F.greatest(F.coalesce("elapsed_s", F.lit(0.0)), F.lit(0.0)).cast("decimal(18,6)")
     )
-    asked = cut_lineage(requests.withColumn("_ended_at", F.col("started_at") + seconds), "requests")
-    down = incidents.select("incident_id", "start_at", "end_at").where("start_at <= end_at")
-    begun = points_in_intervals(
-        asked, down, [], "started_at", "start_at", "end_at", ranges=ranges
-    ).select(
-        F.col("_interval_incident_id").alias("incident_id"),
-        *[F.col(f"_point_{c}").alias(c) for c in requests.columns],
+    asked = requests.where(F.col("started_at").isNotNull()).withColumn(
+        "_ended_at", F.col("started_at") + seconds
     )
-    running = points_in_intervals(
-        down, asked.where(F.col("started_at").isNotNull()), [], "start_at", "started_at", "_ended_at",
-        after_start=True, ranges=ranges,
+    down = incidents.select("incident_id", "start_at", "end_at").where("start_at <= end_at")
+    return overlapping(
+        asked, down, [], ("started_at", "_ended_at"), ("start_at", "end_at"), ranges
     ).select(
-        F.col("_point_incident_id").alias("incident_id"),
-        *[F.col(f"_interval_{c}").alias(c) for c in requests.columns],
+        F.col("_right_incident_id").alias("incident_id"),
+        *[F.col(f"_left_{c}").alias(c) for c in requests.columns],
     )
-    return begun.unionByName(running)

@@ -63,7 +63,7 @@ def requests_after_status_changes(t: Tables) -> DataFrame:
     return sinks.current_state(requests, changes).select("id", "status")
 
 
-_FILES = 200
+_FILES = 400
 
 
 @query(f"""
@@ -127,9 +127,9 @@ def fulfil_packets(t: Tables) -> DataFrame:
 
 
 def _one_file_each(texts: DataFrame, path: str) -> str:
-    """Write every row's `value` as a file of its own, named by its `file`; a glob of all of them."""
-    texts.repartition("file").write.partitionBy("file").text(path)
-    return f"{path}/*"
+    """Write every row's `value` as a file of its own in one folder."""
+    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
 
 
 @query("""
@@ -137,23 +137,21 @@ def _one_file_each(texts: DataFrame, path: str) -> str:
     FROM supplier WHERE s_suppkey % 7 <> 0
     UNION ALL SELECT NULL, NULL, 'empty' FROM supplier WHERE s_suppkey % 7 = 0""")
 def stream_hl7_files(t: Tables) -> DataFrame:
-    """Suppliers as message files, every seventh blank, streamed a bounded number at a time; refused messages
-    stand beside the records."""
+    """Suppliers as message files, every seventh blank, streamed a bounded number at a time; refused messages,
+    of the same files read as a table, stand beside the records."""
     key = F.col("s_suppkey")
     message = F.concat(
         F.lit("MSH|^~\\&|S|S|P|C|20240101||ADT^A01|"), key, F.lit("\rPID|1||"), key, F.lit("||A^B||19700101|F\r"),
         F.lit("AL1|1|DA|p^nation"), F.col("s_nationkey"), F.lit("\rRXA|0|1|x||dose"), key,
     )
-    texts = t.supplier.select(
-        key.alias("file"), F.when(key % 7 == 0, F.lit(" ")).otherwise(message).alias("value")
-    )
+    texts = t.supplier.select(F.when(key % 7 == 0, F.lit(" ")).otherwise(message).alias("value"))
     path = _one_file_each(texts, new_path(t.spark, "messages"))
     feed = readers.stream_hl7(t.spark, path, _FILES)
     records = run_to_table(t, feeds.stream_records(feed), "hl7-files").select(
         "mrn", F.array_join("allergies", ",").alias("allergy"),
         F.array_join("medications", ",").alias("medication"),
     )
-    refused = run_to_table(t, feeds.stream_rejects(feed), "hl7-refused").select(
+    refused = feeds.stream_rejects(readers.read_hl7(t.spark, path)).select(
         F.lit(None).cast("string").alias("mrn"), F.lit(None).cast("string").alias("allergy"),
         F.col("reject_reason").alias("medication"),
     )
@@ -179,7 +177,7 @@ def captured_chart_requests(t: Tables) -> DataFrame:
         F.struct(F.lit(200).alias("status"), key.cast("string").alias("comment")).alias("response"),
     )
     captures = t.orders.groupBy(F.floor(key / 500).alias("file")).agg(F.collect_list(entry).alias("entries"))
-    texts = captures.select("file", F.to_json(F.struct(F.struct("entries").alias("log"))).alias("value"))
+    texts = captures.select(F.to_json(F.struct(F.struct("entries").alias("log"))).alias("value"))
     entries = readers.read_har(t.spark, _one_file_each(texts, new_path(t.spark, "captures")))
     found = compliance.foreign_chart_requests(entries)
     return found.select(
@@ -206,7 +204,7 @@ def goldset_cases(t: Tables) -> DataFrame:
         .groupBy(F.floor(F.col("c_custkey") / 300).alias("file")).agg(F.collect_list(case).alias("cases"))
     )
     texts = sets.select(
-        "file", F.to_json(F.struct(F.lit("by customer").alias("description"), "cases")).alias("value")
+        F.to_json(F.struct(F.lit("by customer").alias("description"), "cases")).alias("value")
     )
     cases = readers.read_goldset(t.spark, _one_file_each(texts, new_path(t.spark, "goldsets")))
     return cases.select(

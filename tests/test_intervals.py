@@ -13,27 +13,27 @@ from tests.conftest import rows, ts
 
 
 @pytest.mark.parametrize("cuts, part", [(None, 65_536), (5, 3)])
-@pytest.mark.parametrize("after_start", [False, True])
-def test_all_pairs(table, monkeypatch, cuts, part, after_start):
-    monkeypatch.setattr(intervals, "PART_POINTS", part)
+@pytest.mark.parametrize("points", [True, False])
+def test_all_pairs(table, monkeypatch, cuts, part, points):
+    monkeypatch.setattr(intervals, "PART_ROWS", part)
     rng = random.Random(part)
     moment = lambda: rng.choice([None, rng.randint(0, 30), rng.randint(0, 30), rng.randint(0, 30)])
-    points = [(i, rng.choice(["a", "a", "a", "b", None]), moment()) for i in range(120)]
-    ranges = [(i, rng.choice(["a", "a", "b", "c", None]), moment(), moment()) for i in range(60)]
-    points += points[:5]
-    inside = lambda t, a, b: (a is None or a < t or (a == t and not after_start)) and (b is None or t <= b)
+    left = [(i, rng.choice(["a", "a", "a", "b", None]), moment(), moment()) for i in range(120)]
+    right = [(i, rng.choice(["a", "a", "b", "c", None]), moment(), moment()) for i in range(60)]
+    left += left[:5]
+    before = lambda x, y: x is None or y is None or x <= y
     wanted = sorted(
-        (p, i) for p, k, t in points for i, key, a, b in ranges
-        if k is not None and k == key and t is not None and inside(t, a, b)
-        and (a is None or b is None or a <= b)
+        (p, i) for p, k, a, b in left for i, key, c, d in right
+        if k is not None and k == key and before(c, d)
+        and (a is not None and before(c, a) and before(a, d) if points else
+             before(a, b) and before(a, d) and before(c, b))
     )
-    found = intervals.points_in_intervals(
-        table("p int, k string, t int", *points), table("i int, k string, a int, b int", *ranges),
-        ["k"], "t", "a", "b", after_start, cuts,
+    held = table("p int, k string, a int, b int", *left)
+    found = intervals.overlapping(
+        held, table("i int, k string, c int, d int", *right), ["k"], ("a", None if points else "b"), ("c", "d"), cuts
     )
-    assert rows(found, "_point_p", "_interval_i") == wanted
-    none = found.sparkSession.createDataFrame([], "p int, t int")
-    assert intervals.points_in_intervals(none, table("a int, b int", (1, 2)), [], "t", "a", "b").count() == 0
+    assert rows(found, "_left_p", "_right_i") == wanted
+    assert intervals.overlapping(held.limit(0), table("c int, d int", (1, 2)), [], ("a", None), ("c", "d")).count() == 0
 
 
 def test_a_range_of_fifty_years(table):
