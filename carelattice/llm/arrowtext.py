@@ -29,8 +29,10 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[borders[0] : borders[-1]], borders - borders[0]
 
 
-def slabs(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `max_bytes` of text (column 1), to bound memory.
+def slabs(
+    batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `max_bytes` of text (column 1) and `max_rows`, to bound memory.
 
     A slice holds at least one row, so one longer text is a slice of its own.
     """
@@ -39,7 +41,7 @@ def slabs(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterat
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(borders, borders[start] + max_bytes, side="right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + max_rows, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
 
@@ -64,7 +66,8 @@ def rows_where(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], n
             texts = batch.column(place).fill_null("")
             done = 0
             numbers = pa.array(np.arange(batch.num_rows))
-            for part in slabs(iter([pa.RecordBatch.from_arrays([numbers, texts], ["row", "text"])])):
+            rows = pa.RecordBatch.from_arrays([numbers, texts], ["row", "text"])
+            for part in slabs(iter([rows]), 2 << 20):
                 flags = pa.array(np.asarray(keep(part), bool))
                 yield batch.slice(done, part.num_rows).filter(flags)
                 done += part.num_rows

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from carelattice.llm.arrowtext import flat_bytes, id_and_text, rows_where, slabs
 from carelattice.llm.wordarrays import SpanHasher, lower_ascii, word_spans
+from carelattice.session import cut_lineage
 
 WINDOW = 10
 #: Bytes of item text that one block, and so one broadcast, may hold.
@@ -240,11 +241,17 @@ def benchmark_matches(
     A match is a stretch of words, A-Z lower-cased, that a document and an item share: at least
     `window` words, or all words of an item that has fewer. A null text has no words; an item
     without words or without an id is not searched for; rows that repeat an item add nothing.
-    Repeated documents are answered each (with more than one block, they must have an id). Empty
-    tables give no rows, or documents without matches. Other columns are not read.
+    Every row of `docs` is a document, whether its id is repeated or missing, however many blocks
+    the items take. Empty tables give no rows, or documents without matches. Other columns are not read.
     """
     texts = id_and_text(docs, id_column, text_column)
     items, item_kind, blocks = _item_blocks(benchmark, item_column, item_text_column, block_bytes)
+    if blocks > 1:
+        # A row's number holds its results of all blocks together; it stands in place of the id.
+        numbered = texts.withColumn("row", F.monotonically_increasing_id())
+        numbered = cut_lineage(numbered, "numbered-documents")
+        names = numbered.select("row", F.col("doc_id").alias("name"))
+        texts = numbered.select(F.col("row").alias("doc_id"), "text")
     results = []
     for block in range(blocks):
         listed = _listed(items, block, blocks)
@@ -254,9 +261,10 @@ def benchmark_matches(
     together = results[0]
     for further in results[1:]:
         together = together.unionByName(further)
-    return together.groupBy("doc_id").agg(
+    held = together.groupBy(F.col("doc_id").alias("row")).agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")
     )
+    return names.join(held, "row").select(F.col("name").alias("doc_id"), "n_words", "matches")
 
 
 def contamination(matches: DataFrame) -> DataFrame:

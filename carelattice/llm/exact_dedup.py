@@ -30,6 +30,7 @@ BASES = (1540483477, 1228688033)
 CHUNK = 1 << 16
 
 _PRINTS = "doc_id bigint, print bigint, n_bytes bigint, text_sha256 string"
+_ROW = ["doc_id", "print", "n_bytes", "text_sha256"]
 
 
 def _powers(chunk: int, primes, bases) -> list[np.ndarray]:
@@ -104,15 +105,18 @@ def text_prints(
 
 
 def _differing(docs: DataFrame, candidates: DataFrame, chunk: int, copies_per_salt: int) -> DataFrame:
-    """doc_id, print, n_bytes of the candidates whose text is not that of their `keep_id`."""
+    """The candidates (doc_id, print, n_bytes, text_sha256) whose text is not that of the row that stays.
+
+    An id may stand for several texts, so a candidate takes back the one of its digest.
+    """
     # A merge join at every size: the texts are dealt by id once, the candidates may be many.
     texts = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).hint("merge")
     holding = texts.join(candidates, "doc_id").select(
-        "doc_id", "print", "n_bytes", "keep_id",
-        (F.col("doc_id") == F.col("keep_id")).alias("stays"),
+        *_ROW, "keep_id", "keep_sha256",
+        ((F.col("doc_id") == F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha256"))).alias("stays"),
         F.ceil(F.col("group_size") / copies_per_salt).cast("int").alias("salts"),
         F.col("text").cast("binary").alias("bytes"),
-    ).filter(F.length("bytes") == F.col("n_bytes"))
+    ).filter((F.length("bytes") == F.col("n_bytes")) & (F.sha2("bytes", 256) == F.col("text_sha256")))
     # The row that stays goes to every salt, a copy to one.
     salted = holding.withColumn(
         "salt",
@@ -123,7 +127,7 @@ def _differing(docs: DataFrame, candidates: DataFrame, chunk: int, copies_per_sa
         ),
     )
     pieces = salted.select(
-        "doc_id", "print", "n_bytes", "keep_id", "stays", "salt",
+        *_ROW, "keep_id", "keep_sha256", "stays", "salt",
         F.posexplode(
             F.expr(
                 f"transform(sequence(0L, greatest(n_bytes - 1, 0L) div {chunk}),"
@@ -132,11 +136,11 @@ def _differing(docs: DataFrame, candidates: DataFrame, chunk: int, copies_per_sa
         ).alias("piece", "content"),
     )
     # Chunks stream by in order, the one that stays first; no group is held.
-    meeting = Window.partitionBy("print", "n_bytes", "keep_id", "piece", "salt").orderBy(F.desc("stays"))
+    meeting = Window.partitionBy("print", "n_bytes", "keep_id", "keep_sha256", "piece", "salt").orderBy(F.desc("stays"))
     return (
         pieces.withColumn("kept_content", F.first("content").over(meeting))
         .filter("content != kept_content")
-        .select("doc_id", "print", "n_bytes", "keep_id")
+        .select(*_ROW)
         .distinct()
     )
 
@@ -150,19 +154,20 @@ def exact_duplicates(
 
     Of equal texts the row with the largest id stays. A null text is an empty one, and empty
     texts equal each other. Repeated rows (equal id and text) count in `group_size` and get
-    equal answers. A row without an id cannot be named: it is a group of its own and stays.
+    equal answers; rows of one id with different texts are judged each by its own text. A row without an id cannot be named: it is a group of its own and stays.
     An empty table gives an empty result. Other columns are not read.
     """
     prints = cut_lineage(text_prints(docs, id_column, text_column, chunk, primes, bases), "prints")
     texts = id_and_text(docs, id_column, text_column)
     key = ["print", "n_bytes"]
-    pending = prints.filter("doc_id is not null").select("doc_id", *key)
+    pending = prints.filter("doc_id is not null").select(*_ROW)
     rounds = []
     while True:
         groups = cut_lineage(
             pending.groupBy(*key)
-            .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-            .filter("group_size > 1"),
+            .agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "text_sha256")).alias("keep"))
+            .filter("group_size > 1")
+            .select(*key, "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_sha256").alias("keep_sha256")),
             "print-groups",
         )
         candidates = cut_lineage(pending.distinct().join(groups, key), "copies")
@@ -170,19 +175,20 @@ def exact_duplicates(
         if differing.isEmpty():
             rounds.append(candidates)
             break
-        # A collision: what differs from the row that stays is grouped anew.
-        lost = differing.groupBy(*key).agg(F.count("*").alias("lost"))
+        # A collision: what differs from the row that stays is grouped anew, repeated rows as often as they are.
+        apart = pending.join(differing, _ROW, "left_semi")
+        lost = apart.groupBy(*key).agg(F.count("*").alias("lost"))
         rounds.append(
-            candidates.join(differing.select("doc_id", *key), ["doc_id", *key], "left_anti")
+            candidates.join(differing, _ROW, "left_anti")
             .join(lost, key, "left")
             .withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))
             .drop("lost")
         )
-        pending = differing.select("doc_id", *key)
+        pending = cut_lineage(apart, "collided")
     classes = rounds[0]
     for further in rounds[1:]:
         classes = classes.unionByName(further)
-    return prints.join(classes, ["doc_id", *key], "left").select(
+    return prints.join(classes, _ROW, "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),

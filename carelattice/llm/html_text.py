@@ -37,6 +37,8 @@ _CONTAINERS = frozenset(
     "html body div section article main nav header footer aside form table td ul ol dl figure"
     " fieldset dialog menu details".split()
 )
+# What may stand in a head; anything else ends one that is never closed.
+_IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 _ARTICLE = frozenset("article main".split())
 _BESIDES = frozenset("nav footer aside form menu dialog".split())
 # Parts of class, id and role names of what stands beside an article.
@@ -91,6 +93,8 @@ class _Blocks(HTMLParser):
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if self.silent == ["head"] and tag not in _IN_HEAD:
+            self.silent = []
         if tag in _SILENT:
             if tag not in ("head", "title", "object"):
                 self.parts.append(" ")
@@ -114,10 +118,10 @@ class _Blocks(HTMLParser):
         named = tag not in ("html", "body") and any(
             _NAMES.search(value.lower()) for key, value in attrs if value and key in ("class", "id", "role")
         )
-        if tag in _BESIDES or named or (tag == "header" and not article):
-            besides = True
-        elif tag in _ARTICLE:
+        if tag in _ARTICLE:
             article = True
+        elif tag in _BESIDES or named or (tag == "header" and not article):
+            besides = True
         self.open.append((tag, article, besides))
 
     def handle_startendtag(self, tag, attrs):
@@ -141,6 +145,8 @@ class _Blocks(HTMLParser):
                     break
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.silent = []
         if self.silent:
             return
         self.parts.append(data)

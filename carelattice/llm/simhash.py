@@ -46,8 +46,11 @@ _GRIDS = list(combinations(range(_GROUPS), _GROUPS - DISTANCE))
 #: Cells of more nodes give a spanning forest instead of single pairs.
 _SMALL_CELL = 24
 _SHINGLES = 200_000
-#: Bytes of a text's parity sketch.
-_SKETCH = 256
+#: 64-bit words of a text's parity sketch, and texts sketched at once.
+_SKETCH = 32
+_SKETCHED = 512
+#: Bytes of text whose shingles are held at once.
+_SLAB = 512 << 10
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Words are parted by ASCII white space.
 _INSIDE = np.ones(256, bool)
@@ -299,7 +302,7 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a bounded sample hold, in ascending order, and their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for batch in slabs(batches, 2 << 20):
+        for batch in slabs(batches, _SLAB):
             grams, _ = _shingles(batch.column(1), words, hasher)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["shingle"])
 
@@ -321,7 +324,7 @@ def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for batch in slabs(batches, 2 << 20):
+        for batch in slabs(batches, _SLAB):
             grams, text = _shingles(batch.column(1), words, hasher)
             often = np.zeros(len(grams), np.int64)
             if len(known):
@@ -369,35 +372,36 @@ def _shared(firsts: DataFrame) -> DataFrame:
 def _sketches(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """doc_id, sketch of the wanted texts: a bit for each bucket of hashes, set if it has an odd number
     of the text's shingles. Sets differ in at least as many shingles as their sketches in bits."""
+    bits = 64 * _SKETCH
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for batch in slabs(batches, 1 << 20):
+        for batch in slabs(batches, _SLAB, _SKETCHED):
             grams, text = _shingles(batch.column(1), words, hasher)
-            bucket = text * (8 * _SKETCH) + (grams % np.uint64(8 * _SKETCH)).astype(np.int64)
-            odd = np.bincount(bucket, minlength=8 * _SKETCH * batch.num_rows) & 1
-            bits = np.packbits(odd.astype(np.uint8).reshape(-1, 8 * _SKETCH), axis=1)
+            bucket = text * bits + (grams % np.uint64(bits)).astype(np.int64)
+            odd = np.bincount(bucket, minlength=bits * batch.num_rows) & 1
+            held = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+            borders = np.arange(0, _SKETCH * batch.num_rows + 1, _SKETCH, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([row.tobytes() for row in bits], pa.binary())], ["doc_id", "sketch"]
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(borders), pa.array(held))], ["doc_id", "sketch"]
             )
 
     chosen = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(run, "doc_id bigint, sketch binary")
+    return chosen.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
 
 
 def _shingle_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles: sorted distinct 64-bit hashes of the word shingles of the wanted texts."""
+    """doc_id, shingles: distinct 64-bit hashes of the word shingles of the wanted texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for batch in slabs(batches, 2 << 20):
+        for batch in slabs(batches, _SLAB):
             grams, text = _shingles(batch.column(1), words, hasher)
-            borders = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            content = [grams[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(content, pa.binary())], ["doc_id", "shingles"]
-            )
+            borders = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(borders), pa.array(grams.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], ["doc_id", "shingles"])
 
     chosen = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(run, "doc_id bigint, shingles binary")
+    return chosen.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def _both_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -411,31 +415,19 @@ def _both_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
 
 def _may_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (id, lead_id, sizes) but those whose sketches show that they differ too much."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, other = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, _SKETCH // 8)
-                for i in (3, 4)
-            )
-            apart = np.bitwise_count(own ^ other).sum(1, dtype=np.int64)
-            most = (1 - similarity) / (1 + similarity) * batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array(apart <= most + 1e-6))
-
-    return _both_sides(pairs, sketches, "sketch").mapInArrow(run, "id bigint, lead_id bigint")
+    differing = F.aggregate(
+        F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, more: n + more
+    )
+    most = (1 - similarity) / (1 + similarity) * F.col("sizes") + 1e-6
+    return _both_sides(pairs, sketches, "sketch").filter(differing <= most).select("id", "lead_id")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (id, lead_id) whose shingles are similar by Jaccard."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for own, other in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, other))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                near.append(common >= similarity * (len(a) + len(b) - common))
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
-
-    return _both_sides(pairs, sets, "shingles").mapInArrow(run, "id bigint, lead_id bigint")
+    common = F.size(F.array_intersect("own", "other"))
+    most = F.size("own") + F.size("other")
+    both = _both_sides(pairs, sets, "shingles").select("id", "lead_id", common.alias("common"), most.alias("sizes"))
+    return both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("id", "lead_id")
 
 
 def _components(links: DataFrame) -> DataFrame:

@@ -241,3 +241,15 @@ def test_chaining_equals_brute_force():
         first = chains[0]
         got = 1.0 * len(first) - cost * (xs[first[-1]] - xs[first[0]] + ys[first[-1]] - ys[first[0]])
         assert got == pytest.approx(best)
+
+
+def test_one_id_with_several_texts(docs):
+    found = exact_dedup.exact_duplicates(docs((1, "abc"), (1, "xyz"), (2, "abc"), (3, "xyz"), (3, "xyz"), (3, "zyx")))
+    assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(
+        (i, k, n, i == k, hashlib.sha256(t.encode()).hexdigest())
+        for i, t, k, n in [(1, "abc", 2, 2), (2, "abc", 2, 2), (1, "xyz", 3, 3), (3, "xyz", 3, 3), (3, "xyz", 3, 3), (3, "zyx", 3, 1)]
+    )
+    collided = exact_dedup.exact_duplicates(
+        docs((1, "ab"), (1, "ba"), (2, "ba"), (2, "ba"), (3, "ab")), chunk=4, primes=(3, 2), bases=(1, 1)
+    )
+    assert rows(collided, "doc_id", "keep_id", "group_size") == [(1, 2, 3), (1, 3, 2), (2, 2, 3), (2, 2, 3), (3, 3, 2)]

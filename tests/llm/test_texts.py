@@ -114,6 +114,17 @@ def contamination_model(texts, items, window=10):
     return sorted(found)
 
 
+def test_blocks_of_items_change_nothing(spark, docs):
+    texts = docs((1, "a b c"), (1, "x y z w"), (None, "a b c"), (None, "q"), (2, "a b c x y z"))
+    items = spark.createDataFrame([(1, "a b c"), (2, "x y z"), (3, "q"), (4, "never")], "item_id long, text string")
+    found = [
+        rows(decontamination.contamination(decontamination.benchmark_matches(texts, items, block_bytes=size)))
+        for size in (1 << 20, 8)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 5
+    assert sorted(r[3] for r in found[0]) == [1, 1, 1, 1, 2]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
 def test_contamination_equals_brute_force(spark, docs, block_bytes):
     rng = random.Random(7)
@@ -309,3 +320,13 @@ def test_nothing_to_learn_from(spark, docs):
     for labels in (none, null):
         model = toxicity.learn(docs((1, "a b"), (2, None)), labels)
         assert rows(toxicity.toxicity_scores(docs((1, "a b")), model), "predicted") == [(0,)]
+
+
+def test_a_head_that_is_never_closed_ends_with_the_first_element_of_the_page():
+    long = "This is a sentence of the article with enough words in it to be read as its text. " * 4
+    for page in (
+        f"<html><head><title>T</title><article><p>{long}</p></article>",
+        f"<head><meta charset=x><title>T</title><style>p {{}}</style><main class='social'><p>{long}</p></main>",
+        f"<html><head><title>T</title></head><body><article class='social'><p>{long}</p></article></body></html>",
+    ):
+        assert html_text.main_text(page) == long.strip()
