@@ -26,9 +26,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays, and once where it is repeated."""
+    """Of equal texts the row with the largest id stays, and once where it is repeated.
+
+    Rows of one id with different texts are judged each; rows without an id stay. A null text is an empty one.
+    """
     found = cut_lineage(exact_duplicates(docs), "exact-copies")
-    kept = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
+    kept = docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (digest == gone["_gone_text"]), "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
