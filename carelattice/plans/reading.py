@@ -26,6 +26,22 @@ def patient_search_total(t: Tables) -> DataFrame:
     return reads.patient_search_total(roles.patients(t), "R#0_0%1")
 
 
+@query("""
+    SELECT 'empty' AS q, id, name, gender FROM (
+      SELECT c_custkey AS id, c_name AS name, c_mktsegment AS gender FROM customer
+      ORDER BY c_custkey LIMIT 100 OFFSET 10) x
+    UNION ALL SELECT 'missing', id, name, gender FROM (
+      SELECT c_custkey AS id, c_name AS name, c_mktsegment AS gender FROM customer
+      ORDER BY c_custkey LIMIT 100 OFFSET 10) x""")
+def patient_search_without_text(t: Tables) -> DataFrame:
+    """An empty search text, like a missing one, matches every patient."""
+    empty = reads.patient_search(roles.patients(t), "", limit=100, offset=10)
+    missing = reads.patient_search(roles.patients(t), None, limit=100, offset=10)
+    return empty.select(F.lit("empty").alias("q"), "*").unionByName(
+        missing.select(F.lit("missing").alias("q"), "*")
+    )
+
+
 @query("""
     SELECT u.id, c_name AS name, c_mktsegment AS gender, c_custkey IS NOT NULL AS found
     FROM (SELECT DISTINCT user_id * 7 AS id FROM events) u
@@ -115,12 +131,13 @@ def record_search(t: Tables) -> DataFrame:
     JOIN documents d ON d.text ILIKE '%' || b.text || '%'
     UNION ALL
     SELECT 1000000 + n_nationkey, doc_id FROM nation
-    JOIN documents d ON d.text ILIKE '%an_' || n_nationkey || '%'""")
+    JOIN documents d ON n_nationkey % 5 <> 0 AND d.text ILIKE '%an_' || n_nationkey || '%'""")
 def record_search_many(t: Tables) -> DataFrame:
+    """Benchmark items and short wildcard texts as queries; every fifth of these is empty and finds nothing."""
     whole = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     wild = t.nation.select(
         (F.col("n_nationkey") + 1_000_000).cast("long").alias("query_id"),
-        F.concat(F.lit("an_"), F.col("n_nationkey")).alias("q"),
+        F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("an_"), F.col("n_nationkey"))).alias("q"),
     )
     bodies = t.documents.select("doc_id", F.col("text").alias("body"))
     return search.record_search_many(bodies, whole.unionByName(wild)).select("query_id", "doc_id")
