@@ -154,6 +154,21 @@ class Ordered:
         ).drop("_before", "_value")
         return self
 
+    def running_min(self, name: str, value: Column) -> Ordered:
+        """Add the smallest `value` from the first row of the key up to this row."""
+        self._df = self._df.withColumn("_value", value)
+        frame = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = self._df.withColumn(name, F.min("_value").over(frame))
+
+        def before_run(one: Column, before) -> Column:
+            return F.min(one).over(before.rowsBetween(Window.unboundedPreceding, -1))
+
+        carried = self._carry(local, "_before", F.min("_value"), before_run)
+        self._df = carried.withColumn(
+            name, F.least(name, F.col("_before").cast(self._df.schema["_value"].dataType))
+        ).drop("_before", "_value")
+        return self
+
     def total(self, name: str, value: Column) -> Ordered:
         """Add the sum of `value` over all rows of the key to each of them."""
         local = self._df.withColumn(name, F.sum(value).over(Window.partitionBy(*self._groups)))

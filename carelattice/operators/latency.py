@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carelattice.functions.intervals import overlapping
 from carelattice.functions.ordered import SPLIT_ABOVE, Ordered
+from carelattice.session import cut_lineage
 
 
 def exact_quantiles(
@@ -52,19 +53,42 @@ def exact_quantiles(
 
 
 def pair_intake(log: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Each logged registration with the request line before it in the same file.
+    """Each logged registration with the request it answers, in the same file.
 
-    `started_at` is the response time less the logged elapsed time. `request_body` is
-    null where the line before is not a request. The log is read more than once: give
-    this a stored table of parsed lines, not lines still to be parsed.
+    The log names no request, so answers are taken to come in the order of the requests: an answer
+    belongs to the oldest request that is still open, also where requests interleave; where none is
+    open, `requested_at` and `request_body` are null. Any status answers. `started_at` is the response time
+    less the logged elapsed time. Lines of one time are ordered by status and message, requests
+    first.
+
+    The walk of open requests is a running sum; answers without a request are its new lows below
+    zero, and the n-th other answer meets the n-th request in an equi-join. The log is read more than
+    once: give this a stored table of parsed lines, not lines still to be parsed.
     """
     lines = log.where((F.col("method") == "POST") & (F.col("path") == "/intake"))
+    answers = F.col("status").isNotNull()
     ordered = Ordered(lines, ["source"], ["ts", "status", "message"], split_above=split_above)
-    paired = ordered.previous(request_body="body", requested_at="ts").frame()
-    return paired.where(F.col("status") == 201).select(
+    ordered.running_sum("_open", F.when(answers, -1).otherwise(1))
+    ordered.running_sum("_requests", F.when(answers, 0).otherwise(1))
+    ordered.running_min("_low", F.col("_open"))
+    ordered.previous(_low_before="_low")
+    walked = cut_lineage(ordered.frame(), "intake-lines")
+    # So many answers had no request, up to and with this line.
+    lone = F.greatest(-F.col("_low"), F.lit(0).cast("long"))
+    lone_before = F.greatest(-F.coalesce("_low_before", F.lit(0).cast("long")), F.lit(0).cast("long"))
+    answered = F.col("_requests") - F.col("_open")
+    nth = F.when(lone == lone_before, answered - lone)
+    requests = walked.where(~answers).select(
+        "source", F.col("_requests").alias("_nth"), F.col("body").alias("request_body"),
+        F.col("ts").alias("requested_at"),
+    )
+    paired = walked.where(F.col("status") == 201).withColumn("_nth", nth).join(
+        requests, ["source", "_nth"], "left"
+    )
+    return paired.select(
         "source",
         F.col("ts").alias("answered_at"),
-        F.when(F.col("request_body").isNotNull(), F.col("requested_at")).alias("requested_at"),
+        "requested_at",
         "request_body",
         "patient_id",
         "elapsed_s",

@@ -66,13 +66,25 @@ def app_log(t: Tables) -> DataFrame:
              AS moment, event_type, value, CASE WHEN event_type <> 'signup' THEN props END AS props,
              CASE event_type WHEN 'signup' THEN 201 END AS status
       FROM events WHERE event_type NOT IN ('view', 'click')),
-    p AS (SELECT *, lag(moment) OVER w AS prev_at, lag(props) OVER w AS prev_props FROM e
-          WINDOW w AS (PARTITION BY user_id ORDER BY moment, status NULLS FIRST, props, value))
-    SELECT 'log' || user_id AS source, moment AS answered_at,
-           CASE WHEN prev_props IS NOT NULL THEN prev_at END AS requested_at,
-           '{"p": ' || prev_props || '}' AS request_body, user_id + 3000000000 AS patient_id,
-           value AS elapsed_s
-    FROM p WHERE status = 201""")
+    walked AS (
+      SELECT *, sum(CASE WHEN status IS NULL THEN 1 ELSE -1 END) OVER w AS open,
+             count(*) FILTER (WHERE status IS NULL) OVER w AS asked,
+             count(*) FILTER (WHERE status IS NOT NULL) OVER w AS answered
+      FROM e WINDOW w AS (PARTITION BY user_id ORDER BY moment, status NULLS FIRST, props, value
+                          ROWS UNBOUNDED PRECEDING)),
+    lows AS (
+      SELECT *, least(0, min(open) OVER w) AS low FROM walked
+      WINDOW w AS (PARTITION BY user_id ORDER BY moment, status NULLS FIRST, props, value
+                   ROWS UNBOUNDED PRECEDING)),
+    numbered AS (
+      SELECT *, low < coalesce(lag(low) OVER w, 0) AS lone FROM lows
+      WINDOW w AS (PARTITION BY user_id ORDER BY moment, status NULLS FIRST, props, value))
+    SELECT 'log' || a.user_id AS source, a.moment AS answered_at, r.moment AS requested_at,
+           '{"p": ' || r.props || '}' AS request_body, a.user_id + 3000000000 AS patient_id,
+           a.value AS elapsed_s
+    FROM numbered a LEFT JOIN numbered r
+      ON r.user_id = a.user_id AND r.status IS NULL AND NOT a.lone AND r.asked = a.answered + a.low
+    WHERE a.status = 201""")
 def pair_intake(t: Tables) -> DataFrame:
     log = cut_lineage(parse_app_log(_log_lines(t).drop("event_id")), "log")
     paired = latency.pair_intake(log)

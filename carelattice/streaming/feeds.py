@@ -31,27 +31,31 @@ def _sender() -> Column:
 
 
 def stream_records(
-    messages: DataFrame, repeat_window: str = "1 hour", spread: int = 16
+    messages: DataFrame, repeat_window: str = "1 hour", spread: int | None = None
 ) -> DataFrame:
     """Feed of messages (`message_id`, `message`, `arrived_at`) -> records with items.
 
     A control id of the same sender seen again within `repeat_window` is a resent message
-    and is dropped: first within each of `spread` parts of its copies, then among what is left, so one
-    message resent very often does not reach one task in full.
+    and is dropped: first within each of `spread` parts of its copies, by default as many as the session has
+    shuffle partitions, then among what is left, so one message resent very often does not reach
+    one task in full. Messages become records before that: what is shuffled are a record's
+    fields and items, never segments.
     """
     accepted = validate_hl7(messages).where(F.col("reject_reason").isNull()).drop("reject_reason")
-    part = F.pmod(F.xxhash64("message_id"), F.lit(spread))
-    once = (
+    parts = spread or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = (
         with_segments(accepted)
         .withColumn("control_id", _control_id())
         .withColumn("_sender", _sender())
-        .withColumn("_part", part)
+    )
+    return (
+        records_of(named, with_items=True)
+        .withColumn("_part", F.pmod(F.xxhash64("message_id"), F.lit(parts)))
         .withWatermark("arrived_at", repeat_window)
         .dropDuplicatesWithinWatermark(["_sender", "control_id", "_part"])
         .dropDuplicatesWithinWatermark(["_sender", "control_id"])
         .drop("_part", "_sender")
     )
-    return records_of(once, with_items=True)
 
 
 def stream_rejects(messages: DataFrame) -> DataFrame:

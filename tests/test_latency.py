@@ -66,6 +66,30 @@ def test_intake_pairs_and_windows(log, split_above):
     assert p50 == pytest.approx(3.25) and p95 == pytest.approx(3.25 + 0.9 * 1.75)
 
 
+@pytest.mark.parametrize("split_above", [3, 1_000])
+def test_interleaved_requests_are_answered_in_order(table, split_above):
+    rng = random.Random(3)
+    made, wanted = [], []
+    for source in "ab":
+        open_, second = [], 0
+        for n in range(60):
+            second += rng.randint(1, 3)
+            at = f"2025-11-03 21:{second // 60:02d}:{second % 60:02d}"
+            if rng.random() < 0.5:
+                open_.append(n)
+                made.append((source, f'{at} INFO  POST /intake body={{"n":{n}}}'))
+            elif rng.random() < 0.2:
+                open_[:1] = []
+                made.append((source, f"{at} INFO  POST /intake 422"))
+            else:
+                wanted.append((source, n, f'{{"n":{open_.pop(0)}}}' if open_ else None))
+                made.append((source, f"{at} INFO  POST /intake 201 patient_id={n} elapsed=1.0s"))
+    log = parse_app_log(table("source string, value string", *made))
+    found = latency.pair_intake(log, split_above)
+    assert rows(found, "source", "patient_id", "request_body") == sorted(wanted, key=lambda r: r[:2])
+    assert {b is None for *_, b in wanted} == {True, False}
+
+
 @pytest.mark.parametrize("split_above", [30, 10_000])
 def test_exact_quantiles(table, split_above):
     rng = random.Random(2)
