@@ -52,6 +52,7 @@ def _with_anchors(queries: DataFrame) -> DataFrame:
         queries.where(F.length("q") >= 1)
         .select(
             "query_id", contains_pattern_of(F.col("q")).alias("pattern"), words.alias("_words"),
+            F.array_distinct(F.filter(pieces, lambda p: p != "")).alias("pieces"),
             F.monotonically_increasing_id().alias("_number"),
         )
         .withColumn("anchors", F.array_distinct(anchors))
@@ -97,7 +98,7 @@ def record_search_many(records: DataFrame, queries: DataFrame) -> DataFrame:
         .where(F.expr("body ilike pattern"))
         .drop("_number", "pattern")
     )
-    short = numbered.where(F.size("anchors") == 0).select("_number", "pattern")
+    short = numbered.where(F.size("anchors") == 0).select("_number", "pattern", "pieces")
     passes = [_one_pass(records, part).join(patterns.drop("pattern"), "_number").drop("_number") for part in _parts(short)]
     return reduce(DataFrame.unionByName, passes, found)
 
@@ -114,6 +115,13 @@ def _parts(queries: DataFrame) -> Iterator[list[Row]]:
 
 
 def _one_pass(records: DataFrame, queries: list[Row]) -> DataFrame:
-    """The records with the number of each of the queries that they match."""
-    tests = [F.when(F.col("body").ilike(q["pattern"]), F.lit(q["_number"]).cast("long")) for q in queries]
+    """The records with the number of each of the queries that they match. A text that lacks a literal
+    piece of a query is not tested any further."""
+    def test(query: Row) -> Column:
+        held = F.col("body").isNotNull()
+        for piece in query["pieces"]:
+            held = held & F.contains(F.lower("body"), F.lit(piece))
+        return F.when(held & F.col("body").ilike(query["pattern"]), F.lit(query["_number"]).cast("long"))
+
+    tests = [test(query) for query in queries]
     return records.withColumn("_number", F.explode(F.array_compact(F.array(*tests))))
