@@ -16,13 +16,14 @@ from the first only; a cell of many nodes gives a spanning forest of its links,
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelattice.llm.arrowtext import flat_bytes, id_and_text, slabs
@@ -430,6 +431,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("id", "lead_id")
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let the driver forget what no result needs any more: Spark then deletes those steps' shuffle files,
+    which would otherwise stay on disk until the driver's memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links).select(
         F.col("id").alias("doc_id"), F.col("component").alias("component_id")
@@ -458,6 +466,8 @@ def similar_documents(
         near_duplicates(texts).filter("doc_id != component_id").select("doc_id", "component_id").distinct(),
         "near-labels",
     )
+    # The cells of the fingerprints are as large as what follows.
+    _free_shuffles(docs.sparkSession)
     members = _shared(_prefixes(texts, words, similarity))
     sketches, tried, leads_each = None, None, 1
     while True:
@@ -471,6 +481,8 @@ def similar_documents(
             F.min("component").alias("a"), F.max("component").alias("b")
         ).filter("a != b").select("shingle")
         members = cut_lineage(members.join(open_groups, "shingle"), "open-members")
+        del open_groups
+        _free_shuffles(docs.sparkSession)
         if members.isEmpty():
             return labels.unionByName(labels.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
         if sketches is None:
