@@ -221,6 +221,92 @@ def test_passages_are_found_and_clean_texts_left_alone(docs):
     assert passage_chains.repeated_passages(docs()).count() == 0
 
 
+def edited(rng, passage, vocabulary, every=None, share=None, ends=False):
+    """Words of a passage changed: every so many, a share at random places, or a tenth of it at both ends."""
+    own = list(passage)
+    if every:
+        places = range(every - 1, len(own), every)
+    elif ends:
+        n = len(own) // 20
+        places = [*range(2, 2 + n), *range(len(own) - 2 - n, len(own) - 2)]
+    else:
+        places = rng.sample(range(len(own)), int(share * len(own)))
+    for i in places:
+        own[i] = rng.choice(vocabulary)
+    return own
+
+
+def quadratic_passage(own, other):
+    """Words that the best local alignment (1 for a match, -1 for any other word) spans in `own`, with
+    its matches, by the whole table."""
+    table = [[(0, 0, 0)] * (len(other) + 1) for _ in range(len(own) + 1)]  # score, words, matches
+    best = (0, 0, 0)
+    for i, a in enumerate(own, 1):
+        for j, b in enumerate(other, 1):
+            score, words, matches = table[i - 1][j - 1]
+            found = (score + 1, words + 1, matches + 1) if a == b else (score - 1, words + 1, matches)
+            up, left = table[i - 1][j], table[i][j - 1]
+            found = max(found, (up[0] - 1, up[1] + 1, up[2]), (left[0] - 1, left[1], left[2]))
+            table[i][j] = found if found[0] > 0 else (0, 0, 0)
+            best = max(best, table[i][j])
+    return best[1:]
+
+
+EDITS = [(44, {"every": 8}), (44, {"every": 6}), (60, {"every": 8}), (60, {"every": 10}), (60, {"every": 5}),
+         (100, {"every": 8}), (300, {"every": 6}), (60, {"share": 0.1}), (100, {"share": 0.1}),
+         (100, {"share": 0.15}), (300, {"share": 0.1}), (300, {"share": 0.15}), (100, {"ends": True}), (300, {"ends": True})]
+
+
+def test_recall_of_edited_passages(docs):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4_000)]
+    texts, planted = [], {}
+    for kind, (size, how) in enumerate(EDITS):
+        for _ in range(30):
+            passage = rng.choices(vocabulary, k=size)
+            for own in (passage, edited(rng, passage, vocabulary, **how)):
+                before, after = (rng.choices(vocabulary, k=rng.randint(0, 90)) for _ in range(2))
+                texts.append((len(texts), " ".join(before + own + after)))
+            planted.setdefault(kind, []).append((len(texts) - 2, len(texts) - 1))
+    found = {r.doc_id: r for r in passage_chains.repeated_passages(docs(*texts)).collect()}
+    recalls = {}
+    for kind, pairs in planted.items():
+        size, due, met = EDITS[kind][0], 0, 0
+        for a, b in pairs:
+            if size <= 60:  # whether there is one at all, by the aligner
+                words, matches = quadratic_passage(texts[a][1].split(), texts[b][1].split())
+                if words < 40 or matches < 0.8 * words:
+                    continue
+            due += 1
+            met += all(found[i].first_other == o and found[i].n_repeated >= 0.85 * size - 3 for i, o in ((a, b), (b, a)))
+            assert all(found[i].n_repeated <= size + 12 for i in (a, b))
+        recalls[EDITS[kind][0], str(EDITS[kind][1])] = met / due
+    assert len(recalls) == len(EDITS) and min(recalls.values()) >= 0.9, recalls
+
+
+def test_passages_stitched_from_frequent_lines(docs):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(4_000)]
+    lines = [rng.choices(vocabulary, k=rng.randint(12, 30)) for _ in range(60)]
+    texts, pairs = [], []
+
+    def add(words):
+        texts.append((len(texts), " ".join(rng.choices(vocabulary, k=30) + words + rng.choices(vocabulary, k=30))))
+        return len(texts) - 1
+
+    for _ in range(3):  # every line by itself, before, between and after the passages
+        for line in lines:
+            add(line)
+        for _ in range(20):
+            stitched = [w for line in rng.sample(lines, 4) for w in line]
+            pairs.append((add(stitched), add(stitched), len(stitched)))
+    found = {r.doc_id: r for r in passage_chains.repeated_passages(docs(*texts)).collect()}
+    for a, b, size in pairs:
+        assert found[a].n_repeated >= size - 1 and found[b].n_repeated >= size - 1
+    single = set(range(len(texts))) - {i for a, b, _ in pairs for i in (a, b)}
+    assert sum(found[i].n_repeated > 0 for i in single) == 0
+
+
 def test_chaining_equals_brute_force():
     rng = random.Random(8)
     for _ in range(60):
