@@ -3,7 +3,7 @@
 The bounds of both sides are put in one order, by key and time, which is cut into ranges at sampled
 borders. Each range is swept for a running count of either side's starts, and the ranges' totals
 shift the counts. The starts of one side that lie within an interval of the other then are consecutive
-numbers, and exactly these rows are fetched by number. The work is a sort and the pairs found, whatever
+numbers, and these rows are fetched by blocks of numbers. The work is a sort and the pairs found, whatever
 the intervals' length and however they overlap; no key, time or interval goes to one task.
 """
 
@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 
 from carelattice.session import cut_lineage
 
-#: An interval fetches its rows in parts of so many, which are dealt out evenly.
+#: Rows with numbers in a row that are fetched together. An interval is one row of the join for each
+#: block it touches, and looks at no more than two blocks' rows that are not its own.
+BLOCK_ROWS = 128
+#: The blocks of so many rows of an interval are unfolded at a time.
 PART_ROWS = 65_536
 
 
+def _block(number: Column) -> Column:
+    return F.floor(number / BLOCK_ROWS).cast("long")
+
+
 def _edges(rows: DataFrame, prefix: str, keys: list[str], start: str, end: str | None, place: int) -> DataFrame:
     """A row for each bound, with the columns of `rows` renamed; an open start comes before everything
     and an open end after it. `place` orders starts of the two sides at the same time."""
@@ -53,13 +60,16 @@ def _fetched(counted: DataFrame, own: str, other: str, columns: list[str]) -> Da
     starts = counted.where((F.col("_side") == other) & (F.col("_place") < 2)).select(
         upto.alias("_number"), *[c for c in columns if c.startswith(f"_{other}_")]
     )
-    step = F.lit(PART_ROWS).cast("long")
-    parts = spans.withColumn(
-        "_first", F.explode(F.sequence(F.col("_before") + 1, F.col("_last"), step))
-    ).repartition("_first", "_last")
-    end_of_part = F.least(F.col("_first") + step - 1, F.col("_last"))
-    wanted = parts.withColumn("_number", F.explode(F.sequence("_first", end_of_part)))
-    return wanted.join(starts, "_number").select(*columns)
+    starts = starts.withColumn("_block", _block(F.col("_number")))
+    first, last = _block(F.col("_before") + 1), _block(F.col("_last"))
+    step = F.lit(max(1, PART_ROWS // BLOCK_ROWS)).cast("long")
+    parts = spans.withColumn("_part", F.explode(F.sequence(first, last, step))).withColumn("_end", last)
+    wanted = parts.withColumn(
+        "_block", F.explode(F.sequence("_part", F.least(F.col("_part") + step - 1, F.col("_end"))))
+    )
+    # Sizes are estimated from compressed files of sorted numbers, far too small: never a broadcast.
+    met = wanted.hint("merge").join(starts, "_block")
+    return met.where("_number > _before and _number <= _last").select(*columns)
 
 
 def overlapping(

@@ -66,3 +66,19 @@ def test_an_outage_of_a_year(table):
         if s <= b and s + dt.timedelta(seconds=d) >= a
     )
     assert rows(found, "incident_id", "request_id") == wanted
+
+
+def test_blocks_of_rows_are_joined_without_a_broadcast(table, monkeypatch):
+    monkeypatch.setattr(intervals, "BLOCK_ROWS", 4, raising=False)
+    monkeypatch.setattr(intervals, "PART_ROWS", 8)
+    points = table("p int, a int", *[(i, i // 2) for i in range(200)])
+    spans = [(1, -5, 300), (2, 3, 3), (3, 10, 47), (4, 99, 99), (5, 120, 130)]
+    found = intervals.overlapping(points, table("i int, c int, d int", *spans), [], ("a", None), ("c", "d"), 3)
+    assert rows(found, "_left_p", "_right_i") == sorted(
+        (p, i) for p in range(200) for i, c, d in spans if c <= p // 2 <= d
+    )
+    # One row for each range of the order is all that is sent whole; a table of millions of starts is small on disk.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    fetched = plan[: plan.index("SortMergeJoin")]
+    assert "BroadcastHashJoin" not in fetched
