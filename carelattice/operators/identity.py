@@ -182,7 +182,8 @@ def _near_candidates(
     owners = rest.where("_own").select(
         *group, *[F.col(c).alias(f"_other_{c}") for c in columns if c not in block]
     )
-    return rest.drop("_own").join(owners, group), members
+    # The segments' files are far smaller than their rows: joins of such tables are never broadcast.
+    return rest.drop("_own").hint("merge").join(owners, group), members
 
 
 def near_values(
@@ -199,10 +200,10 @@ def near_values(
     pairs, crowded = _near_candidates(distinct, block, value, max_distance)
     pairs = pairs.select(*block, value, F.col(f"_other_{value}").alias("_other"))
     if crowded is not None:
-        hashed = _spread(crowded).select(
-            *block, value, F.explode(_deletion_hashes(F.col(value), max_distance)).alias("_hash")
+        hashed = _spread(_trimmed(crowded, block, value)).select(
+            *block, value, F.explode(_deletion_hashes(F.col("_trimmed"), max_distance)).alias("_hash")
         )
-        met = hashed.join(hashed.withColumnRenamed(value, "_other"), [*block, "_hash"])
+        met = hashed.hint("merge").join(hashed.withColumnRenamed(value, "_other"), [*block, "_hash"])
         pairs = pairs.unionByName(met.select(*block, value, "_other"))
     low, high = F.least(value, "_other"), F.greatest(value, "_other")
     distance = F.levenshtein(value, "_other", max_distance)
@@ -213,6 +214,36 @@ def near_values(
     )
 
 
+def _common_start(low: Column, high: Column) -> Column:
+    """How many characters the two texts begin with in common."""
+    shorter = F.least(F.length(low), F.length(high))
+    places = F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>"))
+    unlike = F.filter(
+        places, lambda i: F.substring(low, i, F.lit(1)) != F.substring(high, i, F.lit(1))
+    )
+    return F.coalesce(F.array_min(unlike) - 1, shorter)
+
+
+def _trimmed(values: DataFrame, block: list[str], value: str) -> DataFrame:
+    """The rows with `_trimmed`, the value without what all values of its block begin and end with, and
+    `_shortest`, the least length of those. Edit distances within a block stay as they are.
+
+    What all begin with is what the least and the greatest value begin with.
+    """
+    backwards = F.reverse(value)
+    shapes = values.groupBy(*block).agg(
+        F.min(value).alias("_a"), F.max(value).alias("_b"), F.min(backwards).alias("_c"),
+        F.max(backwards).alias("_d"), F.min(F.length(value)).alias("_short"),
+    )
+    start = _common_start(F.col("_a"), F.col("_b"))
+    end = F.least(_common_start(F.col("_c"), F.col("_d")), F.col("_short") - F.col("_start"))
+    shapes = shapes.withColumn("_start", start).withColumn("_end", end).select(
+        *block, "_start", "_end", (F.col("_short") - F.col("_start") - F.col("_end")).alias("_shortest")
+    )
+    inner = F.substring(value, F.col("_start") + 1, F.length(value) - F.col("_start") - F.col("_end"))
+    return values.join(shapes, block).withColumn("_trimmed", inner).drop("_start", "_end")
+
+
 _WILD = "\uffff"
 
 
@@ -287,9 +318,18 @@ def _pattern_links(values: DataFrame, value: str, max_distance: int) -> DataFram
     two of them that are near enough are also near enough to that one. So every pattern
     gives one link per value, never the pairs of its group.
 
-    Patterns are kept as 64-bit hashes and written once; the edit distance confirms each link.
+    Values are trimmed of what a whole block has in common, so numbered names are as short as their numbers.
+    Values of one length meet on patterns from which both left out as much; patterns with more left out
+    are made where the block holds shorter values. They are kept as 64-bit hashes and written once; the edit
+    distance confirms each link.
     """
-    unfolded = _spread(values).select("block", "id", F.inline(_edit_patterns(F.col(value), max_distance)))
+    short = _spread(_trimmed(values.select("block", "id", value), ["block"], value))
+    unfolded = short.select(
+        "block", "id", (F.length("_trimmed") > F.col("_shortest")).alias("_longer"),
+        F.inline(_edit_patterns(F.col("_trimmed"), max_distance)),
+    ).where(
+        (F.col("_wild") + 2 * F.col("_deleted") <= max_distance) | (F.col("_longer") & (F.col("_deleted") > 0))
+    )
     patterns = cut_lineage(
         unfolded.select("block", "id", F.xxhash64("_pattern").alias("_pattern"), "_wild", "_deleted"),
         "edit-patterns",
@@ -303,7 +343,7 @@ def _pattern_links(values: DataFrame, value: str, max_distance: int) -> DataFram
     lead = F.col("_lead.id")
     edits = F.col("_wild") + F.col("_deleted") + F.col("_lead._deleted")
     links = (
-        patterns.join(leads, group)
+        patterns.hint("merge").join(leads, group)
         .where((edits <= max_distance) & (F.col("id") != lead))
         .select("block", F.greatest("id", lead).alias("id"), F.least("id", lead).alias("lead_id"))
         .distinct()
@@ -311,7 +351,7 @@ def _pattern_links(values: DataFrame, value: str, max_distance: int) -> DataFram
     own = values.select("block", "id", F.col(value).alias("_own"))
     other = values.select("block", F.col("id").alias("lead_id"), F.col(value).alias("_other"))
     return (
-        links.join(own, ["block", "id"])
+        links.hint("merge").join(own, ["block", "id"]).hint("merge")
         .join(other, ["block", "lead_id"])
         .where(F.levenshtein("_own", "_other", max_distance) >= 0)
         .select("id", "lead_id")
@@ -319,14 +359,32 @@ def _pattern_links(values: DataFrame, value: str, max_distance: int) -> DataFram
     )
 
 
+def _near_pairs(keys: DataFrame, max_distance: int) -> DataFrame:
+    """(id, lead_id) of every two patients of a block whose names are near or equal."""
+    names = keys.select("block", "name", "id")
+    near = near_values(names, ["block"], "name", max_distance).drop("distance")
+    ids = near.hint("merge").join(
+        names.select("block", F.col("name").alias("value_a"), F.col("id").alias("_a")), ["block", "value_a"]
+    ).hint("merge").join(
+        names.select("block", F.col("name").alias("value_b"), F.col("id").alias("_b")), ["block", "value_b"]
+    ).select("_a", "_b")
+    equal = names.withColumnRenamed("id", "_a").hint("merge").join(names.withColumnRenamed("id", "_b"), ["block", "name"])
+    return ids.unionByName(equal.where("_a < _b").select("_a", "_b")).select(
+        F.greatest("_a", "_b").alias("id"), F.least("_a", "_b").alias("lead_id")
+    )
+
+
 def match_links(
-    patients: DataFrame, coverages: DataFrame | None = None, max_distance: int = 2
+    patients: DataFrame, coverages: DataFrame | None = None, max_distance: int = 2,
+    every_pair: bool = False,
 ) -> DataFrame:
     """(id, lead_id, rule): patients that are likely one person.
 
     They share a block (see `person_keys`) and have the same name, the same initial
     and surname, or names within `max_distance` edits. Equal values are linked to
-    their smallest id and near ones by `near_links`: no rule forms the pairs of a block.
+    their smallest id and near ones by `near_links`: no rule forms the pairs of a block. With `every_pair`
+    the rule `near_name` holds every two patients of a block whose names are that near or equal, which are
+    as many rows as there are such pairs; to find persons, the fewer links do.
     """
     keys = cut_lineage(person_keys(patients, coverages), "person-keys")
     names = cut_lineage(
@@ -335,15 +393,18 @@ def match_links(
         ),
         "person-names",
     )
-    same_name = keys.join(names.drop("initial_name"), ["block", "name"]).select(
+    same_name = keys.hint("merge").join(names.drop("initial_name"), ["block", "name"]).select(
         "id", "lead_id", F.lit("same_name").alias("rule")
     )
     initials = names.groupBy("block", "initial_name").agg(F.min("lead_id").alias("_first"))
-    same_initial = names.join(initials, ["block", "initial_name"]).select(
+    same_initial = names.hint("merge").join(initials, ["block", "initial_name"]).select(
         F.col("lead_id").alias("id"), F.col("_first").alias("lead_id"),
         F.lit("initial_and_surname").alias("rule"),
     )
-    near = near_links(names.withColumn("id", F.col("lead_id")), "name", max_distance)
+    if every_pair:
+        near = _near_pairs(keys, max_distance)
+    else:
+        near = near_links(names.withColumn("id", F.col("lead_id")), "name", max_distance)
     near_name = near.withColumn("rule", F.lit("near_name"))
     links = same_name.unionByName(same_initial).unionByName(near_name)
     return links.where(F.col("id") != F.col("lead_id")).distinct()

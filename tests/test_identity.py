@@ -106,6 +106,34 @@ def test_near_links_connect_what_near_pairs_connect(table, distance):
     assert _roots(found) == _roots(near)
 
 
+def test_every_pair_of_a_crowded_block(table, monkeypatch):
+    monkeypatch.setattr(identity, "GROUP_NAMES", 4)
+    rng = random.Random(30)
+    names = [f"Customer#{rng.randint(0, 300):05d}" for _ in range(60)] + ["Customer#7"] * 2
+    people = table(PATIENT, *[(i, n, "1968-04-07", "900-11-2222", "", None) for i, n in enumerate(names)])
+    near = sorted((j, i) for i, j in itertools.combinations(range(len(names)), 2) if _edits(names[i], names[j]) <= 2)
+    found = identity.match_links(people, every_pair=True).where("rule = 'near_name'")
+    assert rows(found, "id", "lead_id") == near
+    fewer = [tuple(r) for r in identity.match_links(people).select("id", "lead_id").collect()]
+    assert len(fewer) < len(near) and _roots(fewer) == _roots(near)
+
+
+def test_crowded_names_are_trimmed_of_what_they_share(table, monkeypatch):
+    monkeypatch.setattr(identity, "GROUP_NAMES", 4)
+    names = table("block string, word string", ("b", "xaby"), ("b", "xay"), ("c", "né"), ("c", "nà"), ("d", "one"), ("e", ""), ("e", "aa"))
+    trimmed = identity._trimmed(names, ["block"], "word")
+    assert rows(trimmed, "word", "_trimmed", "_shortest") == [
+        ("", "", 0), ("aa", "aa", 0), ("nà", "à", 1), ("né", "é", 1), ("one", "", 0), ("xaby", "b", 0), ("xay", "", 0),
+    ]
+    numbered = table("block string, word string, id int", *[("b", f"Customer#{i:09d}", i) for i in range(300)])
+    written = []
+    monkeypatch.setattr(identity, "cut_lineage", lambda df, label: written.append((label, df.cache())) or written[-1][1])
+    links = identity.near_links(numbered, "word", 2)
+    assert set(_roots([tuple(r) for r in links.collect()]).values()) == {0}
+    # 3 digits: 1 + 3 + 3 patterns with wildcards, and 3 with one left out; of whole names it was hundreds.
+    assert dict(written)["edit-patterns"].count() <= 10 * 300
+
+
 def test_a_block_of_near_values_gives_few_links(table):
     # 400 names, each near 36 others: 7,200 pairs.
     names = [("b", f"name{i:03d}", i) for i in range(400)]
