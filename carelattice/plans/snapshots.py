@@ -63,7 +63,8 @@ def requests_after_status_changes(t: Tables) -> DataFrame:
     return sinks.current_state(requests, changes).select("id", "status")
 
 
-_FILES = 400
+#: Bytes of message files in a micro-batch.
+_BATCH = 16 << 20
 
 
 @query(f"""
@@ -127,8 +128,9 @@ def fulfil_packets(t: Tables) -> DataFrame:
 
 
 def _one_file_each(texts: DataFrame, path: str) -> str:
-    """Write every row's `value` as a file of its own in one folder."""
-    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    """Write every row's `value` as a file of its own in one folder, by as many tasks as a shuffle has."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts.select("value").repartition(tasks).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -137,7 +139,7 @@ def _one_file_each(texts: DataFrame, path: str) -> str:
     FROM supplier WHERE s_suppkey % 7 <> 0
     UNION ALL SELECT NULL, NULL, 'empty' FROM supplier WHERE s_suppkey % 7 = 0""")
 def stream_hl7_files(t: Tables) -> DataFrame:
-    """Suppliers as message files, every seventh blank, streamed a bounded number at a time; refused messages,
+    """Suppliers as message files, every seventh blank, streamed a bounded size at a time; refused messages,
     of the same files read as a table, stand beside the records."""
     key = F.col("s_suppkey")
     message = F.concat(
@@ -146,7 +148,7 @@ def stream_hl7_files(t: Tables) -> DataFrame:
     )
     texts = t.supplier.select(F.when(key % 7 == 0, F.lit(" ")).otherwise(message).alias("value"))
     path = _one_file_each(texts, new_path(t.spark, "messages"))
-    feed = readers.stream_hl7(t.spark, path, _FILES)
+    feed = readers.stream_hl7(t.spark, path, bytes_per_trigger=_BATCH)
     records = run_to_table(t, feeds.stream_records(feed), "hl7-files").select(
         "mrn", F.array_join("allergies", ",").alias("allergy"),
         F.array_join("medications", ",").alias("medication"),

@@ -108,10 +108,17 @@ def read_hl7(spark: SparkSession, path: str) -> DataFrame:
     return _message_rows(spark.read.text(path, wholetext=True))
 
 
-def stream_hl7(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
-    """The same as a stream over a folder that receives files, a bounded number at a time."""
+def stream_hl7(
+    spark: SparkSession, path: str, files_per_trigger: int = 1_000, bytes_per_trigger: int | None = None
+) -> DataFrame:
+    """The same as a stream over a folder that receives files, a bounded number at a time, or else a
+    bounded size: a batch costs its state's commits, however few messages it has."""
     files = spark.readStream.format("text").option("wholetext", True)
-    return _message_rows(files.option("maxFilesPerTrigger", files_per_trigger).load(path))
+    if bytes_per_trigger:
+        bounded = files.option("maxBytesPerTrigger", bytes_per_trigger)
+    else:
+        bounded = files.option("maxFilesPerTrigger", files_per_trigger)
+    return _message_rows(bounded.load(path))
 
 
 _MARK = "\x01"

@@ -55,6 +55,22 @@ def test_generations(spark, table, tmp_path):
     assert [f.dataType for f in users.schema] == [f.dataType for f in schemas.TABLES["users"]]
 
 
+def test_hl7_batches_by_size(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i}.hl7").write_text(f"MSH|{i:05d}")
+
+    def batches(name, **bound):
+        feed = readers.stream_hl7(spark, str(tmp_path), **bound)
+        run = feed.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert spark.table(name).distinct().count() == 30
+        return len([p for p in run.recentProgress if p["numInputRows"]])
+
+    assert batches("by_files", files_per_trigger=10) == 3
+    assert batches("by_bytes", bytes_per_trigger=1_000) == 1
+    assert batches("by_few_bytes", bytes_per_trigger=150) == 2
+
+
 def test_hl7_folder(spark, tmp_path):
     (tmp_path / "a.hl7").write_bytes(b"MSH|x\rPID|1||M1||N\r")
     (tmp_path / "b.hl7").write_bytes(b"PID|1||M2||N\n\n")
