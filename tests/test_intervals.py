@@ -82,3 +82,15 @@ def test_blocks_of_rows_are_joined_without_a_broadcast(table, monkeypatch):
     assert "SortMergeJoin" in plan
     fetched = plan[: plan.index("SortMergeJoin")]
     assert "BroadcastHashJoin" not in fetched
+
+
+def test_records_of_patients_not_asked_for_are_dropped_before_they_are_joined(table):
+    requests = table("id int, patient_id int, date_range_start string, date_range_end string", (1, 5, None, "2020-01-01"))
+    encounters = table("encounter_id int, patient_id int", (1, 5), (2, 6))
+    lines = table("encounter_id int, id int, created_at timestamp", (1, 10, ts("2019-01-01")), (2, 11, None))
+    records = lines.join(encounters, "encounter_id")
+    found = compliance.minimum_necessary_packet(requests, records)
+    assert rows(found, "request_id", "id") == [(1, 10)]
+    narrowed = compliance._of_asked(records, compliance._asked(requests))
+    plan = narrowed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
