@@ -122,7 +122,8 @@ def _deletion_hashes(value: Column, max_distance: int) -> Column:
     return F.array_distinct(F.transform(texts, lambda s: F.xxhash64(s["text"])))
 
 
-# Names that may share a segment before their group is searched another way, see `near_values`.
+# Names that may share a segment, or a block, before their group is searched another way, see `near_values`
+# and `near_links`.
 GROUP_NAMES = 256
 
 
@@ -247,15 +248,17 @@ def _trimmed(values: DataFrame, block: list[str], value: str) -> DataFrame:
 _WILD = "\uffff"
 
 
-def _edit_patterns(value: Column, max_distance: int) -> Column:
-    """All (pattern, wild, deleted) reached by up to `max_distance` edits, an edit being a
+def _edit_patterns(value: Column, max_distance: int, longer: Column) -> Column:
+    """The (pattern, wild, deleted) reached by up to `max_distance` edits, an edit being a
     character replaced by a wildcard or left out.
 
     Two texts are within k edits of each other exactly when they share a pattern with
-    wild + deleted in one + deleted in the other <= k.
+    wild + deleted in one + deleted in the other <= k. Texts of one length share one from which both
+    left out as much, so wild + 2 * deleted <= k does for a text that is not `longer` than others.
     """
     def edited(state: Column) -> Column:
         text, start = state["text"], state["start"]
+        spent = state["wild"] + 2 * state["deleted"]
 
         def at(i: Column) -> Column:
             before, after = F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))
@@ -267,11 +270,14 @@ def _edit_patterns(value: Column, max_distance: int) -> Column:
                 F.concat(before, after).alias("text"), i.alias("start"),
                 state["wild"].alias("wild"), (state["deleted"] + 1).alias("deleted"),
             )
-            return F.array(replaced, left_out)
+            return F.when(longer | (spent + 2 <= max_distance), F.array(replaced, left_out)).otherwise(
+                F.array(replaced)
+            )
 
         none = F.array().cast("array<struct<text:string,start:int,wild:int,deleted:int>>")
         reached = F.flatten(F.transform(F.sequence(start, F.length(text)), at))
-        return F.when(start <= F.length(text), reached).otherwise(none)
+        more = (start <= F.length(text)) & (longer | (spent < max_distance))
+        return F.when(more, reached).otherwise(none)
 
     zero = F.lit(0)
     newest = F.array(
@@ -295,19 +301,35 @@ def near_links(values: DataFrame, value: str, max_distance: int) -> DataFrame:
     """(id, lead_id) that connect all values (`block`, `value`, `id`) of a block which
     chains of at most `max_distance` edits connect. Each link is itself that near.
 
-    Values meet on (block, segment), see `_segment_keys`, and every near pair is a link. Where more than
-    GROUP_NAMES values share a segment, `_pattern_links` gives fewer links that connect the same values.
+    In blocks of up to GROUP_NAMES values they meet on (block, segment), see `_segment_keys`, and every near
+    pair is a link. In larger blocks `_pattern_links` gives fewer links that connect the same values; their
+    rows are not unfolded to segments.
     """
     kept = values.select("block", F.col(value).alias("_value"), "id")
-    pairs, crowded = _near_candidates(kept, ["block"], "_value", max_distance)
-    links = pairs.where(
+    large = cut_lineage(
+        kept.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_NAMES).drop("_n"),
+        "large-blocks",
+    )
+    crowded = not large.isEmpty()
+    small = kept.join(large, "block", "left_anti") if crowded else kept
+    segments = cut_lineage(
+        _spread(small).select("*", F.inline(_segment_keys(F.col("_value"), max_distance))), "segments"
+    )
+    group = ["block", "_key"]
+    owners = segments.where("_own").select(
+        *group, F.col("_value").alias("_other_value"), F.col("id").alias("_other_id")
+    )
+    # The segments' files are far smaller than their rows: joins of such tables are never broadcast.
+    links = segments.drop("_own").hint("merge").join(owners, group).where(
         (F.col("id") != F.col("_other_id"))
-        & (F.levenshtein("_value", "_other__value", max_distance) >= 0)
+        & (F.levenshtein("_value", "_other_value", max_distance) >= 0)
     ).select(
         F.greatest("id", "_other_id").alias("id"), F.least("id", "_other_id").alias("lead_id")
     )
-    if crowded is not None:
-        links = links.unionByName(_pattern_links(crowded, "_value", max_distance))
+    if crowded:
+        links = links.unionByName(
+            _pattern_links(kept.join(large, "block", "left_semi"), "_value", max_distance)
+        )
     return links.distinct()
 
 
@@ -320,41 +342,30 @@ def _pattern_links(values: DataFrame, value: str, max_distance: int) -> DataFram
 
     Values are trimmed of what a whole block has in common, so numbered names are as short as their numbers.
     Values of one length meet on patterns from which both left out as much; patterns with more left out
-    are made where the block holds shorter values. They are kept as 64-bit hashes and written once; the edit
-    distance confirms each link.
+    are made where the block holds shorter values. They are kept as 64-bit hashes and written once, with the
+    trimmed value, on which the edit distance confirms each link.
     """
     short = _spread(_trimmed(values.select("block", "id", value), ["block"], value))
-    unfolded = short.select(
-        "block", "id", (F.length("_trimmed") > F.col("_shortest")).alias("_longer"),
-        F.inline(_edit_patterns(F.col("_trimmed"), max_distance)),
-    ).where(
-        (F.col("_wild") + 2 * F.col("_deleted") <= max_distance) | (F.col("_longer") & (F.col("_deleted") > 0))
-    )
+    longer = F.length("_trimmed") > F.col("_shortest")
     patterns = cut_lineage(
-        unfolded.select("block", "id", F.xxhash64("_pattern").alias("_pattern"), "_wild", "_deleted"),
+        short.select(
+            "block", "id", "_trimmed", F.inline(_edit_patterns(F.col("_trimmed"), max_distance, longer))
+        ).select("block", "id", "_trimmed", F.xxhash64("_pattern").alias("_pattern"), "_wild", "_deleted"),
         "edit-patterns",
     )
-    group = ["block", "_pattern", "_wild"]
+    group = ["_pattern", "_wild", "block"]
     leads = (
         patterns.groupBy(*group)
-        .agg(F.min(F.struct("_deleted", "id")).alias("_lead"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.min(F.struct("_deleted", "id", "_trimmed")).alias("_lead"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1)
     )
     lead = F.col("_lead.id")
     edits = F.col("_wild") + F.col("_deleted") + F.col("_lead._deleted")
-    links = (
+    return (
         patterns.hint("merge").join(leads, group)
         .where((edits <= max_distance) & (F.col("id") != lead))
-        .select("block", F.greatest("id", lead).alias("id"), F.least("id", lead).alias("lead_id"))
-        .distinct()
-    )
-    own = values.select("block", "id", F.col(value).alias("_own"))
-    other = values.select("block", F.col("id").alias("lead_id"), F.col(value).alias("_other"))
-    return (
-        links.hint("merge").join(own, ["block", "id"]).hint("merge")
-        .join(other, ["block", "lead_id"])
-        .where(F.levenshtein("_own", "_other", max_distance) >= 0)
-        .select("id", "lead_id")
+        .where(F.levenshtein("_trimmed", F.col("_lead._trimmed"), max_distance) >= 0)
+        .select(F.greatest("id", lead).alias("id"), F.least("id", lead).alias("lead_id"))
         .distinct()
     )
 

@@ -226,3 +226,28 @@ def test_goldset_audit(table):
         (0, 1, 0, 0, 1, 1, 2, True), (1, 1, 0, 0, 0, 1, 1, False), (2, 3, 1, 1, 0, 1, 1, True),
         (3, 0, 0, 0, 0, 1, 1, False),
     ]
+
+
+def test_values_of_large_blocks_are_not_unfolded_to_segments(table, monkeypatch):
+    # All in one block that share no segment: they went through the pairs, now through the patterns alone.
+    monkeypatch.setattr(identity, "GROUP_NAMES", 3)
+    unfolded = []
+    real = identity._spread
+    monkeypatch.setattr(identity, "_spread", lambda values: unfolded.append(values.count()) or real(values))
+    words = ["ab", "abc", "bcd", "cde", "xyzw", "xyz", "a", "qqqqqq"]
+    df = table("block string, word string, id int", *[("a", w, i) for i, w in enumerate(words)], ("b", "ab", 8), ("b", "abd", 9))
+    links = {tuple(r) for r in identity.near_links(df, "word", 2).select("id", "lead_id").collect()}
+    assert unfolded == [2, 8]  # the small block's values to segments, the large one's to patterns
+    ids = {w: i for i, w in enumerate(words)}
+    near = {(a, b) for a in words for b in words if ids[a] < ids[b] and _edits(a, b) <= 2}
+    assert (9, 8) in links
+    assert {(i, j) for j, i in links if j < 8} <= {(ids[a], ids[b]) for a, b in near}
+
+    def classes(pairs):
+        found = {i: i for i in range(8)}
+        for _ in range(8):
+            for a, b in pairs:
+                found[a] = found[b] = min(found[a], found[b])
+        return found
+
+    assert classes([(ids[a], ids[b]) for a, b in near]) == classes([p for p in links if max(p) < 8])
