@@ -284,6 +284,18 @@ def test_recall_of_edited_passages(docs):
     assert len(recalls) == len(EDITS) and min(recalls.values()) >= 0.9, recalls
 
 
+def test_no_pair_of_texts_is_lost_where_every_fifth_word_differs(docs):
+    """No word is changed twice the same way, so each pair has the k-mers between its changes and no others."""
+    pairs, size = 150, 42
+    texts = []
+    for i in range(pairs):
+        passage = [f"w{i}x{j}" for j in range(size)]
+        own = [f"c{i}x{j}" if j % 5 == 4 else word for j, word in enumerate(passage)]
+        texts += [(2 * i, " ".join(passage)), (2 * i + 1, " ".join(own))]
+    found = {r.doc_id: (r.n_links, r.first_other) for r in passage_chains.repeated_passages(docs(*texts)).collect()}
+    assert found == {i: (1, i ^ 1) for i in range(2 * pairs)}
+
+
 def test_passages_stitched_from_frequent_lines(docs):
     rng = random.Random(12)
     vocabulary = [f"w{i}" for i in range(4_000)]
