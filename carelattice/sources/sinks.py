@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,16 +82,40 @@ def save_parts(rows: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
     placed.repartition("part").write.partitionBy("part", "version").parquet(path)
 
 
-def _newest(files: DataFrame) -> DataFrame:
-    """The rows of every part's newest version. Parts and versions are folders, so older ones are not
-    read."""
-    newest = files.groupBy("part").agg(F.max("version").alias("version"))
-    return files.join(newest, ["part", "version"])
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Spark lists a table's folders by one task for each, up to 10,000; here as many as a shuffle has do it."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """part, version: of each file, by its name; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.where("length > 0").select("part", "version")
+
+
+def _newest(files: DataFrame, versions: DataFrame) -> DataFrame:
+    """The rows of every part's newest version. These are one short row for each folder that the driver lists,
+    so they are broadcast. Older versions are read too until they are removed, and their rows dropped here."""
+    newest = versions.groupBy("part").agg(F.max("version").alias("version"))
+    return files.join(F.broadcast(newest), ["part", "version"])
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """A table of parts as it is now."""
-    return _newest(spark.read.parquet(path)).drop("part", "version")
+    with _few_listing_tasks(spark):
+        # Listed first: what is written between the two is not read.
+        versions = _versions(spark, path)
+        return _newest(spark.read.parquet(path), versions).drop("part", "version")
 
 
 def compact_parts(
@@ -100,10 +127,13 @@ def compact_parts(
     A part whose writing is lost is written again from the same version. Returns the version
     written. Changes written before and applied again leave the same rows.
     """
-    files = spark.read.parquet(path)
-    version = files.agg(F.max("version")).first()[0] + 1
-    touched = changes.select(_part(part_rows).alias("part")).distinct()
-    held = _newest(files.join(touched, "part", "left_semi"))
-    after = current_state(held, changes).withColumn("version", F.lit(version))
-    after.repartition("part").write.mode("append").partitionBy("part", "version").parquet(path)
+    with _few_listing_tasks(spark):
+        versions = _versions(spark, path)
+        files = spark.read.parquet(path)
+        version = versions.agg(F.max("version")).first()[0] + 1
+        touched = changes.select(_part(part_rows).alias("part")).distinct()
+        held = _newest(files, versions.join(touched, "part", "left_semi"))
+        after = current_state(held, changes).withColumn("version", F.lit(version))
+        # Appending lists the folders again.
+        after.repartition("part").write.mode("append").partitionBy("part", "version").parquet(path)
     return version

@@ -135,6 +135,19 @@ def test_only_touched_parts_are_written(spark, table, tmp_path):
     assert {v for part, v in written if part == "part=0"} == {f"version={v}" for v in range(4)}
 
 
+def test_many_parts_are_listed_by_few_tasks(spark, table, tmp_path):
+    path, context = str(tmp_path / "appointments"), spark.sparkContext
+    sinks.save_parts(table("id int, status string", *[(i, "confirmed") for i in range(200)]), path, part_rows=2)
+    context.setJobGroup("listing", "the parts")
+    found = sinks.read_parts(spark, path)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages]
+    assert tasks and max(tasks) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows(found) == [(i, "confirmed") for i in range(200)]
+
+
 def test_database_tables_are_read_in_ranges(spark, table):
     """The embedded database among Spark's own jars, held in memory."""
     url = "jdbc:derby:memory:clinic;create=true"
