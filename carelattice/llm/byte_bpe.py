@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from carelattice.llm.arrowtext import flat_bytes, id_and_text, slabs
 
 #: Bytes of text handled at once, and pieces remembered by a Python worker.
-SLAB_BYTES = 2 << 20
-REMEMBERED = 1_000_000
+SLAB_BYTES = 1 << 20
+REMEMBERED = 400_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 # The endings that the pattern splits off after an apostrophe.

@@ -28,6 +28,8 @@ from carelattice.session import cut_lineage
 PRIMES = (2147483647, 2147483629)
 BASES = (1540483477, 1228688033)
 CHUNK = 1 << 16
+#: Bytes of text hashed at once, with some ten numbers of eight bytes for each.
+SLAB_BYTES = 512 << 10
 
 _PRINTS = "doc_id bigint, print bigint, n_bytes bigint, text_sha256 string"
 _ROW = ["doc_id", "print", "n_bytes", "text_sha256"]
@@ -84,7 +86,7 @@ def text_prints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(chunk, primes, bases)
-        for batch in slabs(batches, 4 << 20):
+        for batch in slabs(batches, SLAB_BYTES):
             flat, borders = flat_bytes(batch.column(1))
             view = memoryview(flat)
             prints = fingerprints(flat, borders, chunk, powers, primes, bases)

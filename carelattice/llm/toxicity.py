@@ -37,7 +37,9 @@ FUZZY_FROM = 5
 #: Words before and after a hit that make its context.
 CONTEXT = 12
 #: Words remembered by a scoring task.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
+#: Bytes of text handled at once.
+SLAB_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 # Marks and words that set a passage apart as another's.
@@ -256,7 +258,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-        for batch in slabs(batches, 8 << 20):
+        for batch in slabs(batches, SLAB_BYTES):
             counts: Counter[str] = Counter()
             for text in batch.column(1):
                 found = terms_of(set(_WORD.findall(text.as_py().lower())))
@@ -276,7 +278,7 @@ def _held_terms(rows: DataFrame, strong: frozenset[str]) -> list[list[str]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strong = shared.value
-        for batch in slabs(batches, 8 << 20):
+        for batch in slabs(batches, SLAB_BYTES):
             held = [
                 list(terms_of(set(_WORD.findall(text.as_py().lower()))) & strong)
                 for text in batch.column(1)
@@ -376,7 +378,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
-            for batch in slabs(batches, 8 << 20):
+            for batch in slabs(batches, SLAB_BYTES):
                 found = [context_features(text.as_py(), matcher) for text in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2), pa.array(found, pa.list_(pa.float64()))], ["toxic", "features"]
@@ -408,7 +410,7 @@ def toxicity_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         matcher = Matcher(model.lexicon)
-        for batch in slabs(batches, 8 << 20):
+        for batch in slabs(batches, SLAB_BYTES):
             scores = [model.score(context_features(text.as_py(), matcher)) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"]

@@ -6,6 +6,7 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +15,28 @@ from pyspark.sql import functions as F
 from carelattice.llm import byte_bpe, decontamination, simhash, toxicity
 from carelattice.llm.exact_dedup import exact_duplicates
 from carelattice.llm.registry import table
-from carelattice.session import cut_lineage
+from carelattice.session import bound_batches, cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _in_bounded_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+@_in_bounded_batches
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labelled ones of `docs`."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.reject_toxic(docs, model)
 
 
+@_in_bounded_batches
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays, and once where it is repeated.
 
@@ -38,6 +50,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
+@_in_bounded_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their SimHash, or alike in 0.8 of their five-word shingles, the one
     with the smallest id stays."""
@@ -47,11 +60,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ).select(*docs.columns)
 
 
+@_in_bounded_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_in_bounded_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids: the tokens of every document left; decoding them gives its text."""
     encoded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))

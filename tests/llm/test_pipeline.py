@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
@@ -147,3 +148,24 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_stages_take_texts_in_bounded_batches(spark, tmp_path):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    texts = [(i, f"{i} " * 20_000) for i in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        kept = corpus_pipeline.drop_exact_copies(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 4 << 20
+        assert kept.count() == len(texts)
+        # A setting of the user's own stays.
+        spark.conf.set(key, "3m")
+        corpus_pipeline.drop_exact_copies(spark, docs, "")
+        assert spark.conf.get(key) == "3m"
+    finally:
+        spark.conf.unset(key)
