@@ -50,6 +50,8 @@ _SHINGLES = 200_000
 #: 64-bit words of a text's parity sketch, and texts sketched at once.
 _SKETCH = 32
 _SKETCHED = 512
+#: Bits of the map of wanted ids, which is broadcast: at most 65,536 rows.
+_MARKS = 1 << 22
 #: Bytes of text whose shingles are held at once.
 _SLAB = 512 << 10
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -370,9 +372,9 @@ def _shared(firsts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, firsts.schema)
 
 
-def _sketches(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id, sketch of the wanted texts: a bit for each bucket of hashes, set if it has an odd number
-    of the text's shingles. Sets differ in at least as many shingles as their sketches in bits."""
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """doc_id, sketch of every text: a bit for each bucket of hashes, set if it has an odd number of the
+    text's shingles. Sets differ in at least as many shingles as their sketches in bits."""
     bits = 64 * _SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,22 +389,20 @@ def _sketches(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(borders), pa.array(held))], ["doc_id", "sketch"]
             )
 
-    chosen = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
 
 
-def _shingle_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles: distinct 64-bit hashes of the word shingles of the wanted texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
-        for batch in slabs(batches, _SLAB):
-            grams, text = _shingles(batch.column(1), words, hasher)
-            borders = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(borders), pa.array(grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), held], ["doc_id", "shingles"])
-
-    chosen = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+def _mostly_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted texts and, where very many are wanted, some others: ids are marked in a bitmap of `_MARKS`
+    bits, so that a join shuffles few texts that it does not need, however many ids there are."""
+    mark = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(_MARKS))
+    word = lambda: F.shiftright(mark(), 6).cast("int").alias("_word")
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(mark(), F.lit(64)).cast("int"))
+    marked = wanted.groupBy(word()).agg(F.bit_or(bit()).alias("_bits"))
+    return (
+        texts.withColumn("_word", word()).join(F.broadcast(marked), "_word")
+        .filter(F.col("_bits").bitwiseAND(bit()) != 0).select("doc_id", "text")
+    )
 
 
 def _both_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -423,12 +423,24 @@ def _may_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     return _both_sides(pairs, sketches, "sketch").filter(differing <= most).select("id", "lead_id")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (id, lead_id) whose shingles are similar by Jaccard."""
-    common = F.size(F.array_intersect("own", "other"))
-    most = F.size("own") + F.size("other")
-    both = _both_sides(pairs, sets, "shingles").select("id", "lead_id", common.alias("common"), most.alias("sizes"))
-    return both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("id", "lead_id")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (id, lead_id) whose shingles are similar by Jaccard. Texts meet and not their shingles, which
+    are longer and do not compress."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for batch in slabs(batches, _SLAB):
+            (own, own_row), (other, other_row) = (_shingles(batch.column(i), words, hasher) for i in (1, 2))
+            grams, row = np.append(own, other), np.append(own_row, other_row)
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            order = np.lexsort((grams, row))
+            grams, row = grams[order], row[order]
+            twice = (grams[1:] == grams[:-1]) & (row[1:] == row[:-1])
+            common = np.bincount(row[1:][twice], minlength=batch.num_rows)
+            keep = pa.array(common >= similarity * (sizes - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["id", "lead_id"]).filter(keep)
+
+    both = _both_sides(pairs, texts, "text").select("id", "own", "other", "lead_id")
+    return both.mapInArrow(run, "id bigint, lead_id bigint")
 
 
 def _free_shuffles(spark: SparkSession) -> None:
@@ -486,8 +498,8 @@ def similar_documents(
         if members.isEmpty():
             return labels.unionByName(labels.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
         if sketches is None:
-            wanted = cut_lineage(members.select("doc_id").distinct(), "sketched")
-            sketches = cut_lineage(_sketches(texts, wanted, words).dropDuplicates(["doc_id"]), "sketches")
+            # Of all texts: which ones are wanted would take a shuffle of the texts to find.
+            sketches = cut_lineage(_sketches(texts, words).dropDuplicates(["doc_id"]), "sketches")
         leads = cut_lineage(
             members.groupBy("shingle", F.pmod(F.xxhash64("doc_id"), F.lit(leads_each)).alias("part"))
             .agg(*(F.min_by(c, "doc_id").alias(f"lead_{c}") for c in ("doc_id", "place", "size", "component")))
@@ -511,8 +523,7 @@ def similar_documents(
         tried = own if tried is None else tried.unionByName(own)
         close = cut_lineage(_may_be_similar(pairs, sketches, similarity), "close-pairs")
         wanted = cut_lineage(close.select(F.explode(F.array("id", "lead_id")).alias("doc_id")).distinct(), "compared")
-        sets = _shingle_sets(texts, wanted, words)
-        links = cut_lineage(_verified(close, sets, similarity), "similar-links")
+        links = cut_lineage(_verified(close, _mostly_wanted(texts, wanted), words, similarity), "similar-links")
         if not links.isEmpty():
             known = labels.select(F.col("doc_id").alias("id"), F.col("component_id").alias("lead_id"))
             labels = _components(known.unionByName(links)).filter("doc_id != component_id")

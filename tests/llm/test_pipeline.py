@@ -169,3 +169,27 @@ def test_stages_take_texts_in_bounded_batches(spark, tmp_path):
         assert spark.conf.get(key) == "3m"
     finally:
         spark.conf.unset(key)
+
+
+def test_near_copies_shuffle_no_texts_but_the_compared_ones(spark, docs, monkeypatch):
+    """Joins with ids too many for a broadcast leave the texts where they are."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(60))) for i in range(40)]
+    texts += [(100 + i, texts[i][1] + " more") for i in range(3)]
+    plans = {}
+
+    def seen(frame, label, cut=simhash.cut_lineage):
+        plans.setdefault(label, frame._jdf.queryExecution().executedPlan().toString())
+        return cut(frame, label)
+
+    monkeypatch.setattr(simhash, "cut_lineage", seen)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(*texts)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert found == {i: i % 100 for i in (0, 1, 2, 100, 101, 102)}
+    assert "Exchange" not in plans["sketches"].split("MapInArrow", 1)[1]
+    assert "BroadcastHashJoin [_word" in plans["similar-links"]
