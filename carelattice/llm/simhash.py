@@ -524,10 +524,13 @@ def similar_documents(
         close = cut_lineage(_may_be_similar(pairs, sketches, similarity), "close-pairs")
         wanted = cut_lineage(close.select(F.explode(F.array("id", "lead_id")).alias("doc_id")).distinct(), "compared")
         links = cut_lineage(_verified(close, _mostly_wanted(texts, wanted), words, similarity), "similar-links")
+        # With many partitions, even empty shuffles are many small files.
+        _free_shuffles(docs.sparkSession)
         if not links.isEmpty():
             known = labels.select(F.col("doc_id").alias("id"), F.col("component_id").alias("lead_id"))
             labels = _components(known.unionByName(links)).filter("doc_id != component_id")
             labels = cut_lineage(labels, "similar-labels")
+            _free_shuffles(docs.sparkSession)
         members = members.drop("component").join(
             leads.select("shingle", F.col("lead_doc_id").alias("doc_id")), ["shingle", "doc_id"], "left_anti"
         )
