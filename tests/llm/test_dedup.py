@@ -319,6 +319,72 @@ def test_passages_stitched_from_frequent_lines(docs):
     assert sum(found[i].n_repeated > 0 for i in single) == 0
 
 
+def between_holders(rng, passages, size=60, line=12):
+    """Pairs of edited copies whose every seed stands in texts with smaller and with larger ids too, in pieces that
+    are no passage; no twelve seeds in a row are equal."""
+    vocabulary = [f"w{i}" for i in range(4_000)]
+    texts, pairs = [], []
+
+    def add(words):
+        texts.append((len(texts), " ".join(rng.choices(vocabulary, k=30) + words + rng.choices(vocabulary, k=30))))
+        return len(texts) - 1
+
+    whole = [rng.choices(vocabulary, k=size) for _ in range(passages)]
+    pieces = [own[at : at + 2 * line] for own in whole for at in range(0, size - line, line)]
+    for piece in pieces * 3:
+        add(piece)
+    for own in whole:
+        pairs.append([add([rng.choice(vocabulary) if j % line == other else word for j, word in enumerate(own)]) for other in (4, 10)])
+    for piece in pieces * 3:
+        add(piece)
+    return texts, pairs
+
+
+def test_no_pair_is_lost_whose_seeds_all_have_other_holders(docs):
+    texts, pairs = between_holders(random.Random(13), 20)
+    found = {r.doc_id: r for r in passage_chains.repeated_passages(docs(*texts)).collect()}
+    middle = {i for pair in pairs for i in pair}
+    for a, b in pairs:
+        assert (found[a].first_other, found[b].first_other) == (b, a)
+        assert min(found[a].n_repeated, found[b].n_repeated) >= 54
+    assert not any(found[i].n_repeated for i in range(len(texts)) if i not in middle)
+
+
+def test_all_holders_of_a_seed_on_request(docs):
+    """Beyond the bound on holders there are other links; without a bound there is nothing else."""
+    texts, pairs = between_holders(random.Random(14), 6)
+    found = {r.doc_id: r for r in passage_chains.repeated_passages(docs(*texts), holders=None).collect()}
+    assert all((found[a].first_other, found[b].first_other) == (b, a) for a, b in pairs)
+    bounded = {r.doc_id: r for r in passage_chains.repeated_passages(docs(*texts), holders=3).collect()}
+    assert all(bounded[i].n_repeated <= found[i].n_repeated for i in found)
+
+
+def test_phrases_over_and_over_within_other_words(docs):
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(4_000)]
+    texts = []
+    for words in (["of"], ["is", "on", "the"], [f"p{i}" for i in range(9)], [f"q{i}" for i in range(30)]):
+        for size in (90, 150):
+            run = (words * size)[:size]
+            texts.append((len(texts), " ".join(rng.choices(vocabulary, k=20) + run + rng.choices(vocabulary, k=20))))
+    found = {r.doc_id: r for r in passage_chains.repeated_passages(docs(*texts)).collect()}
+    for i, _ in texts:
+        assert found[i].first_other == i ^ 1 and found[i].n_repeated >= 88
+
+
+def test_texts_of_equal_words_are_one_text(docs):
+    rng = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(4_000)]
+    own = rng.choices(vocabulary, k=80)
+    part = rng.choices(vocabulary, k=30) + own[20:70]
+    texts = [(5, " ".join(own)), (3, ", ".join(own).upper()), (9, " ".join(own)), (1, " ".join(part)), (7, " ".join(own[:30]))]
+    found = {r.doc_id: r for r in passage_chains.repeated_passages(docs(*texts, *texts[:2])).collect()}
+    as_rows = lambda i: [tuple(p) for p in found[i].passages]
+    assert as_rows(3) == [(0, 80, 5), (20, 70, 1)]
+    assert as_rows(5) == as_rows(9) == [(0, 80, 3), (20, 70, 1)]
+    assert as_rows(1) == [(30, 80, 3)] and found[7].n_links == 0
+
+
 def test_chaining_equals_brute_force():
     rng = random.Random(8)
     for _ in range(60):
